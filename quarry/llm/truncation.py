@@ -25,7 +25,7 @@ from quarry.session import spread
 AT_LIMIT = 3
 #: Bodies a closing line must end (or, below many bodies, its share) to count as furniture.
 CLOSING_BODIES = 3
-PRIOR_OPEN, PRIOR_LIST, PRIOR_CLOSING = 0.9, 0.05, 0.2
+PRIOR_OPEN, PRIOR_LINE, PRIOR_LIST, PRIOR_CLOSING = 0.97, 0.9, 0.05, 0.2
 ALL = "*"
 
 _MARK = re.compile(r"(?:�|Ã|[\[(<&](?:[^\])>;\s]{0,4}|cut|more|continued|truncated)?|(?:…|\.\.\.)\s*\[?\+?\]?|\[(?:…|\.\.\.|cut|more|\+|truncated|continued)\]?|\((?:…|\.\.\.|cut|more|continued|truncated)\)?)$", re.I)
@@ -204,7 +204,7 @@ def truncated(assets: DataFrame, files: DataFrame, key: str = "hash", body: str
     backed = F.when(F.coalesce("n1", F.lit(0)) >= 3, _rate(F.col("n1"), F.col("e1"), base)).otherwise(F.least(_rate(F.col("n0"), F.col("e0"), base), F.lit(0.5)))
     rate = F.when(F.coalesce("n", F.lit(0)) >= 3, _rate(F.col("n"), F.col("ended"), base)).otherwise(backed)
     ratio = ((1 - rate) / (1 - base)) / (rate / base)
-    prior = F.when(F.col("what") == "list", PRIOR_LIST).when(F.col("what") == "closing", PRIOR_CLOSING).otherwise(PRIOR_OPEN)
+    prior = F.when(F.col("what") == "list", PRIOR_LIST).when(F.col("what") == "closing", PRIOR_CLOSING).when(F.col("what") == "line", PRIOR_LINE).otherwise(PRIOR_OPEN)
     prior = F.greatest(prior, posterior)
     ratio = F.when((F.col("what") == "closing") & (posterior < 0.5), 1.0).otherwise(ratio)
     odds = prior / (1 - prior) * ratio
