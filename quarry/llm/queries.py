@@ -11,8 +11,10 @@ from quarry.session import ship
 from quarry.tables import table
 
 from .bpe import token_ids
+from .clusters import Groups
 from .leakage import leaks
 from .neighbours import close_pairs, neighbours
+from .ranking import ranking
 from .repetition import repetition
 from .scans import Scans
 from .split import oversized_pages, split_pages
@@ -64,6 +66,21 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours(table(spark, d, "vectors"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring members, by id, of every group of clip rows."""
+    return Groups(table(spark, d, "vectors"), table(spark, d, "assets")).pairs()
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every group with its size, most typical members and most frequent tags."""
+    return Groups(table(spark, d, "vectors"), table(spark, d, "assets")).described()
+
+
+def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """One ranking of all assets for every evaluation query."""
+    return ranking(table(spark, d, "eval_queries"), table(spark, d, "assets"), table(spark, d, "vectors"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return token_ids(table(spark, d, "documents"))
@@ -90,7 +107,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_pieces, p2_found, p2_texts, p2_labels, p3_found, p3_sources, p4_found, p4_neighbours, p8_ids, p9_found, p9_leaks, p10_found, p10_shares]
+    own = [p1_found, p1_pieces, p2_found, p2_texts, p2_labels, p3_found, p3_sources, p4_found, p4_neighbours, p5_found, p5_groups, p6_ranking, p8_ids, p9_found, p9_leaks, p10_found, p10_shares]
 
     def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, d: (ship(spark), f(spark, d))[1]
