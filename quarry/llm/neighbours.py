@@ -1,11 +1,15 @@
 """Problem 4: the most similar vectors of every vector.
 
 An inverted file: coarse centroids are fitted on a bounded sample, and every usable row is put on the list of its centroid with the
-product-quantised residual to it. The lists are files in the shared folder. A task takes the rows of one list as queries, reads the
-lists around it, sums the asymmetric distance tables over the codes, keeps the best candidates and ranks those by the exact cosine.
+product-quantised residual to it. Lists are kept in files of the shared folder, similar lists in one file. A task takes the rows of a file
+as queries, block by block: the lists its rows are nearest to are opened, their rows scored by asymmetric distance, and the best
+candidates ranked by the exact cosine.
 
-There are LISTS times the square root of a space's rows of lists. A list much longer than that is split into blocks. Copies of one vector
-share a query, and a block offers only their first K + 1 ids, so a hot group of copies costs no more than a single row.
+The asymmetric distance of a query is a sum over one table per sub-quantiser. For a few queries the tables are made and added up; for a
+block, the same sums come cheaper as a product of the queries with the rows decoded from their codes.
+
+A file much fuller than usual is split by the hash of the id. Copies of one vector share a query, and a file offers only their first K + 1
+ids, so a hot group of copies costs no more than a single row.
 """
 
 from __future__ import annotations
@@ -23,16 +27,18 @@ from pyspark.sql import functions as F
 
 from quarry.session import scratch, spread
 
-from .vectorspace import LENGTHS, codebook_kmeans, codes_of, get, matrix, nearest, pieces, put, sampled, spherical_kmeans
+from .vectorspace import LENGTHS, best_columns, codebook_kmeans, codes_of, get, matrix, nearest, pieces, put, sampled, spherical_kmeans
 
 K = 10
 #: Rows per space the index is fitted on, at most (the hash of the id chooses, up to twice as many when the total is no multiple).
-SAMPLE = 32_768
-#: Sub-quantisers of 256 codes each; lists a query visits; times as many around a list whose rows are hardly alike (mean cosine to
-#: their centroid under SPARSE), where neighbours lie anywhere; candidates ranked exactly.
-SUBSPACES, PROBES, WIDER, SPARSE, RERANK = 16, 64, 4, 0.6, 80
-#: Lists of a space, as a multiple of the square root of its rows.
-LISTS = 3
+SAMPLE = 65_536
+#: Rows of a list, on average, and least rows of the sample for a list; lists in a file; sub-quantisers of 256 codes each.
+LIST_ROWS, LIST_SAMPLE, PACK, SUBSPACES = 32, 4, 32, 32
+#: Rows asked together; and where a list's rows are hardly alike (mean cosine to their centroid under SPARSE).
+BLOCK, SPARSE, SPARSE_BLOCK = 512, 0.6, 64
+#: Lists nearest to a row that are always opened for it; lists a row votes for; rows a block's lists hold in all, filled up by votes;
+#: candidates ranked exactly; queries up to which tables are added up.
+SURE, VOTES, ROWS, RERANK, FEW = 8, 64, 24_576, 64, 8
 
 
 @dataclass
@@ -41,30 +47,59 @@ class Space:
     folder: str
     centroids: np.ndarray
     books: np.ndarray  # (sub-quantiser, code, dimension)
-    blocks: list[int]  # of each list
+    rows: np.ndarray  # of each list, as the sample has it
     cohesion: np.ndarray  # mean cosine of a list's rows to the centroid
+    blocks: list[int]  # of each file
+
+    def names(self, file: int) -> list[str]:
+        return [f"{self.folder}/{self.name}/{file}-{b}" for b in range(self.blocks[file])]
+
+    def encode(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of the residual's direction, the residual's length) of each row."""
+        rest, length = _directions(x - self.centroids[at])
+        rest = rest.reshape(len(x), SUBSPACES, -1)
+        return np.stack([codes_of(rest[:, m], self.books[m]) for m in range(SUBSPACES)], 1).astype(np.uint8), length
+
+    def decode(self, codes: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.concatenate([self.books[m][codes[:, m]] for m in range(SUBSPACES)], 1)
+        out *= length[:, None]
+        out += self.centroids[at]
+        return out
+
+    def distances(self, q: np.ndarray, codes: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The asymmetric products of queries with coded rows."""
+        if len(q) > FEW:
+            return q @ self.decode(codes, length, at).T
+        sub = q.reshape(len(q), SUBSPACES, -1)
+        rest = np.zeros((len(q), len(at)), np.float32)
+        for m in range(SUBSPACES):
+            rest += np.take(sub[:, m] @ self.books[m].T, codes[:, m], axis=1)
+        return np.take(q @ self.centroids.T, at, axis=1) + rest * length
 
-    def files(self, lists: np.ndarray) -> list[str]:
-        return [f"{self.folder}/{self.name}/{i}-{b}" for i in lists.tolist() for b in range(self.blocks[i])]
 
-    def encode(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        rest = (x - self.centroids[at]).reshape(len(x), SUBSPACES, -1)
-        return np.stack([codes_of(rest[:, m], self.books[m]) for m in range(SUBSPACES)], 1).astype(np.uint8)
+def _directions(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals at length one, and their lengths: tight and loose lists then share the codebooks on equal terms."""
+    length = np.linalg.norm(rest, axis=1).astype(np.float32)
+    return rest / np.maximum(length, 1e-6)[:, None], length
 
 
 def fit(vectors: DataFrame, space: str, total: int, folder: str) -> Space:
-    """Centroids and codebooks of one space, on the driver, from the bounded sample; and from its spread, which lists need blocks."""
+    """Centroids and codebooks of one space, on the driver, from the bounded sample; and from its spread, which files need blocks."""
     x = sampled(vectors, space, SAMPLE, total)
-    lists = max(1, min(round(LISTS * math.sqrt(max(total, 1))), max(1, len(x) // 8)))
-    c = spherical_kmeans(x, lists, 5) if len(x) else np.zeros((1, LENGTHS[space]), np.float32)
+    lists = max(1, min(round(total / LIST_ROWS), len(x) // LIST_SAMPLE))
+    c = spherical_kmeans(x, lists, 3) if len(x) else np.zeros((1, LENGTHS[space]), np.float32)
+    files = -(-len(c) // PACK)
+    if files > 1:  # similar lists next to each other
+        c = c[np.argsort(nearest(c, spherical_kmeans(c, files, 3))[0], kind="stable")]
     at, score = nearest(x, c) if len(x) else (np.zeros(0, int), np.zeros(0, np.float32))
-    rest = (x - c[at])[:16_384].reshape(-1, SUBSPACES, LENGTHS[space] // SUBSPACES)
+    rest = _directions((x - c[at])[:16_384])[0].reshape(-1, SUBSPACES, LENGTHS[space] // SUBSPACES)
     books = np.stack([codebook_kmeans(rest[:, m], 256, 6) for m in range(SUBSPACES)]).astype(np.float32)
     count = np.bincount(at, minlength=len(c))
     cohesion = np.bincount(at, weights=score, minlength=len(c)) / np.maximum(count, 1)
-    usual = max(256.0, total / len(c))
-    blocks = [max(1, math.ceil(n / max(1, len(x)) * total / (4 * usual))) for n in count]
-    return Space(space, folder, c, books, blocks, cohesion)
+    rows = count / max(1, len(x)) * total
+    usual = max(256.0, total / files)
+    blocks = [max(1, math.ceil(rows[f * PACK : (f + 1) * PACK].sum() / (4 * usual))) for f in range(files)]
+    return Space(space, folder, c, books, rows, cohesion, blocks)
 
 
 def _assign(vectors: DataFrame, spaces: dict[str, Space], id_column: str, vec: str) -> DataFrame:
@@ -81,15 +116,14 @@ def _assign(vectors: DataFrame, spaces: dict[str, Space], id_column: str, vec: s
                 x, at = matrix(batch.column(2).take(pa.array(own)), LENGTHS[space])
                 if not len(at):
                     continue
-                home, score = nearest(x, centroids)
+                home, _ = nearest(x, centroids)
                 offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([space] * len(x)), pa.array(home.astype(np.int32)), batch.column(0).take(pa.array(own[at])), pa.array(score), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))],
-                    names=["space", "list", "id", "score", "vec"],
+                    [pa.array([space] * len(x)), pa.array(home.astype(np.int32)), batch.column(0).take(pa.array(own[at])), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["space", "list", "id", "vec"]
                 )
 
     rows = vectors.where(F.col("space").isin(list(spaces)) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), "space", vec)
-    return spread(rows).mapInArrow(run, "space string, list int, id long, score float, vec array<float>")
+    return spread(rows).mapInArrow(run, "space string, list int, id long, vec array<float>")
 
 
 def build(vectors: DataFrame, id_column: str = "id", vec: str = "vec") -> dict[str, Space]:
@@ -100,125 +134,162 @@ def build(vectors: DataFrame, id_column: str = "id", vec: str = "vec") -> dict[s
     spaces = {s: fit(vectors, s, n, folder) for s, n in sorted(totals.items())}
     if not spaces:
         return {}
-    rows = _assign(vectors, spaces, id_column, vec).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast("int"))
+    rows = _assign(vectors, spaces, id_column, vec).withColumn("file", F.floor(F.col("list") / PACK).cast("int"))
     blocks = F.create_map(*[y for s, index in spaces.items() for y in (F.lit(s), F.array(*[F.lit(n) for n in index.blocks]))])
-    rows = rows.withColumn("block", F.pmod("salt", blocks[F.col("space")][F.col("list")]))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks[F.col("space")][F.col("file")]))
     sent = spark.sparkContext.broadcast(spaces)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "key"):
-            space, at, block = json.loads(part.column("key")[0].as_py())
+            space, file, block = json.loads(part.column("key")[0].as_py())
             index = sent.value[space]
-            vecs = part.column("vec").combine_chunks()
-            x = vecs.values.to_numpy(zero_copy_only=False).reshape(-1, LENGTHS[space]) if vecs.offsets[0].as_py() == 0 else matrix(vecs, LENGTHS[space])[0]
-            ids = part.column("id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], x[order]
-            # copies of a vector: one entry, the ids in order behind it
-            view = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 4))).ravel()
+            x = part.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            ids, at = part.column("id").to_numpy(), part.column("list").to_numpy()
+            order = np.lexsort((ids, at))
+            ids, x, at = ids[order], np.ascontiguousarray(x[order]), at[order]
+            # copies of a vector: one entry, the ids in order behind it; entries in order of their list
+            view = x.view(np.dtype((np.void, x.shape[1] * 4))).ravel()
             _, first, group = np.unique(view, return_index=True, return_inverse=True)
-            group = group.ravel()
-            members = np.argsort(group, kind="stable")
-            size = np.bincount(group)
-            distinct = x[first]
-            put(f"{index.folder}/{space}/{at}-{block}", {"ids": ids[members], "sizes": size.astype(np.int64), "vecs": distinct, "codes": index.encode(distinct, np.full(len(distinct), at))})
-            yield pa.RecordBatch.from_arrays([pa.array([space]), pa.array([at], pa.int32()), pa.array([len(ids)], pa.int64())], names=["space", "list", "n"])
-
-    keyed = rows.select(F.format_string('["%s", %d, %d]', "space", "list", "block").alias("key"), "id", "vec")
-    keyed.repartition("key").sortWithinPartitions("key").mapInArrow(write, "space string, list int, n long").agg(F.sum("n")).collect()
+            by = np.argsort(at[first], kind="stable")
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            group, first = place[group.ravel()], first[by]
+            members, size = np.argsort(group, kind="stable"), np.bincount(group, minlength=len(first))
+            codes, length = index.encode(x[first], at[first])
+            put(f"{index.folder}/{space}/{file}-{block}", {"ids": ids[members], "sizes": size.astype(np.int64), "lists": at[first].astype(np.int64), "vecs": x[first], "codes": codes, "lengths": length})
+            yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64())], names=["n"])
+
+    keyed = rows.select(F.format_string('["%s", %d, %d]', "space", "file", "block").alias("key"), "list", "id", "vec")
+    keyed.repartition("key").sortWithinPartitions("key").mapInArrow(write, "n long").agg(F.sum("n")).collect()
     return spaces
 
 
-class _Lists:
-    """Lists a worker has open, the most recently used ones."""
+class _Files:
+    """Files a worker has open, the most recently used ones."""
 
-    def __init__(self, bound: int = 1024):
-        self.open: OrderedDict[str, tuple] = OrderedDict()
+    def __init__(self, bound: int = 512):
+        self.open: OrderedDict[str, tuple | None] = OrderedDict()
         self.bound = bound
 
-    def __call__(self, file: str, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        if file not in self.open:
-            data = get(file)
+    def __call__(self, name: str, d: int) -> tuple | None:
+        """(ids, copies of each entry, where an entry's ids begin, vectors, codes, list of each entry, residual lengths) or None for a file nothing fell into."""
+        if name not in self.open:
+            data = get(name)
             if data:
-                ids, sizes = np.frombuffer(data["ids"], np.int64), np.frombuffer(data["sizes"], np.int64)
-                entry = (ids, sizes, np.frombuffer(data["vecs"], np.float32).reshape(-1, d), np.frombuffer(data["codes"], np.uint8).reshape(-1, SUBSPACES))
+                sizes = np.frombuffer(data["sizes"], np.int64)
+                self.open[name] = (
+                    np.frombuffer(data["ids"], np.int64), sizes, np.cumsum(sizes) - sizes, np.frombuffer(data["vecs"], np.float32).reshape(-1, d),
+                    np.frombuffer(data["codes"], np.uint8).reshape(-1, SUBSPACES), np.frombuffer(data["lists"], np.int64), np.frombuffer(data["lengths"], np.float32),
+                )
             else:
-                entry = None
-            self.open[file] = entry
+                self.open[name] = None
             if len(self.open) > self.bound:
                 self.open.popitem(last=False)
-        self.open.move_to_end(file)
-        return self.open[file]
-
-
-def _search(index: Space, file: str, home: int, lists: _Lists, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, neighbour ids, cosines), k neighbours a query in order, for the rows of one file. Missing neighbours have id -1."""
+        self.open.move_to_end(name)
+        return self.open[name]
+
+
+def _visited(index: Space, q: np.ndarray) -> np.ndarray:
+    """The lists a block of queries looks into, in order."""
+    sims = q @ index.centroids.T
+    votes = best_columns(sims, min(VOTES, len(index.centroids)))
+    value = np.take_along_axis(sims, votes, 1)
+    sure = np.take_along_axis(votes, np.argsort(-value, axis=1)[:, :SURE], 1)
+    wanted = np.unique(sure)
+    count = np.bincount(votes.ravel(), minlength=len(index.centroids))
+    count[wanted] = 0
+    more = np.argsort(-count, kind="stable")
+    more = more[count[more] > 0]
+    room = ROWS - index.rows[wanted].sum()
+    more = more[np.cumsum(index.rows[more]) <= room]
+    if len(index.centroids) > len(wanted) + len(more) and index.rows[wanted].sum() + index.rows[more].sum() < ROWS / 2:
+        # few lists were asked for: look around the block's middle as well
+        rest = np.setdiff1d(np.arange(len(index.centroids)), np.concatenate([wanted, more]))
+        rest = rest[np.argsort(-sims[:, rest].mean(0), kind="stable")]
+        more = np.concatenate([more, rest[np.cumsum(index.rows[rest]) <= ROWS / 2 - index.rows[wanted].sum() - index.rows[more].sum()]])
+    return np.sort(np.concatenate([wanted, more]))
+
+
+def _search(index: Space, name: str, files: _Files, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, neighbour ids, cosines), k neighbours a query in order, for the rows of one file. Missing neighbours have cosine -2."""
     d = index.centroids.shape[1]
-    own = lists(file, d)
+    own = files(name, d)
     if own is None:
         return
-    ids, sizes, queries, _ = own
-    starts = np.cumsum(sizes) - sizes
-    probes = min(len(index.centroids), PROBES * (WIDER if index.cohesion[home] < SPARSE else 1))
-    near = index.centroids @ index.centroids[home]
-    near[home] = np.inf
-    visited = np.argpartition(-near, probes - 1)[:probes]
-    found = [(m, entry) for m in visited.tolist() for f in index.files(np.array([m])) if (entry := lists(f, d)) is not None]
-    base_codes = np.concatenate([e[3] for _, e in found])
-    base_list = np.repeat([m for m, _ in found], [len(e[1]) for _, e in found])
-    base_vecs = [e[2] for _, e in found]
-    base_from = np.cumsum([0, *(len(v) for v in base_vecs)])
-    base_sizes = np.concatenate([np.minimum(e[1], k + 1) for _, e in found])
-    base_ids = [e[0] for _, e in found]
-    base_first = np.concatenate([np.cumsum(e[1]) - e[1] for _, e in found])
-    codes = np.ascontiguousarray(base_codes.T).astype(np.intp)
-    take = min(RERANK, len(base_list))
-    step = max(16, min(512, (1 << 24) // max(1, len(base_list))))
-    for a in range(0, len(queries), step):
-        q = queries[a : a + step]
-        sub = q.reshape(len(q), SUBSPACES, -1)
-        scores = np.take(q @ index.centroids.T, base_list, axis=1)
-        for m in range(SUBSPACES):
-            scores += np.take(sub[:, m] @ index.books[m].T, codes[m], axis=1)
-        best = np.argpartition(scores, len(base_list) - take, axis=1)[:, len(base_list) - take :] if take < len(base_list) else np.broadcast_to(np.arange(len(base_list)), scores.shape)
-        flat = best.ravel()
-        at = np.searchsorted(base_from, flat, side="right") - 1
-        vecs = np.empty((len(flat), d), np.float32)
-        for f in np.unique(at):
-            mine = at == f
-            vecs[mine] = base_vecs[f][flat[mine] - base_from[f]]
-        exact = np.einsum("qd,qrd->qr", q.astype(np.float64), vecs.reshape(len(q), take, d).astype(np.float64))
-        # the entries' ids: up to k + 1 copies each
-        size = base_sizes[best]
-        query_row = np.repeat(np.repeat(np.arange(len(q)), take), size.ravel())
-        cosine = np.repeat(exact.ravel(), size.ravel())
-        first = base_first[flat]
-        total = np.cumsum(size.ravel())
-        inner = np.arange(total[-1]) - np.repeat(total - size.ravel(), size.ravel())
-        owner = np.repeat(at, size.ravel())
-        where = np.repeat(first, size.ravel()) + inner
-        other = np.empty(total[-1], np.int64)
-        for f in np.unique(owner):
-            mine = owner == f
-            other[mine] = base_ids[f][where[mine]]
-        order = np.lexsort((other, -np.round(cosine, 12), query_row))
-        query_row, cosine, other = query_row[order], cosine[order], other[order]
-        begin = np.searchsorted(query_row, np.arange(len(q)))
-        end = np.append(begin[1:], len(query_row))
-        wide = np.arange(k + 1)
-        pick = begin[:, None] + wide
-        valid = pick < end[:, None]
-        pick = np.minimum(pick, len(query_row) - 1)
-        top, score = np.where(valid, other[pick], -1), np.where(valid, cosine[pick], -2.0)
-        # every copy of the query's vector is a query; it drops itself
-        copies = sizes[a : a + step]
-        member = np.repeat(starts[a : a + step] - (np.cumsum(copies) - copies), copies) + np.arange(copies.sum())
-        who = ids[member]
-        top, score = np.repeat(top, copies, axis=0), np.repeat(score, copies, axis=0)
-        itself = top == who[:, None]
-        drop = np.where(itself.any(1), itself.argmax(1), k)
-        keep = np.arange(k + 1)[None, :] != drop[:, None]
-        yield who, top[keep].reshape(-1, k), np.clip(score[keep].reshape(-1, k), -2.0, 1.0)
+    ids, sizes, starts, queries, _, home, _ = own
+    loose = index.cohesion[home] < SPARSE
+    for rows, step in ((np.flatnonzero(~loose), BLOCK), (np.flatnonzero(loose), SPARSE_BLOCK)):
+        for a in range(0, len(rows), step):
+            mine = rows[a : a + step]
+            q = queries[mine]
+            lists = _visited(index, q)
+            parts = []
+            for file in np.unique(lists // PACK).tolist():
+                inside = lists[lists // PACK == file]
+                for n in index.names(file):
+                    if (entry := files(n, d)) is not None:
+                        lo, hi = np.searchsorted(entry[5], inside), np.searchsorted(entry[5], inside, side="right")
+                        take = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange((hi - lo).sum())
+                        if len(take):
+                            parts.append((entry, take))
+            at = np.concatenate([e[5][i] for e, i in parts])
+            codes = np.concatenate([e[4][i] for e, i in parts])
+            length = np.concatenate([e[6][i] for e, i in parts])
+            source = np.repeat(np.arange(len(parts)), [len(i) for _, i in parts])
+            entry_at = np.concatenate([i for _, i in parts])
+            many = np.minimum(np.concatenate([e[1][i] for e, i in parts]), k + 1)
+            take = min(RERANK, len(at))
+            best = best_columns(index.distances(q, codes, length, at), take)
+            flat = best.ravel()
+            vecs = np.empty((len(flat), d), np.float32)
+            by = np.argsort(source[flat], kind="stable")
+            bounds = np.searchsorted(source[flat][by], np.arange(len(parts) + 1))
+            for f, (entry, _) in enumerate(parts):
+                hit = by[bounds[f] : bounds[f + 1]]
+                if len(hit):
+                    vecs[hit] = entry[3][entry_at[flat[hit]]]
+            exact = np.einsum("qd,qrd->qr", q, vecs.reshape(len(q), take, d))
+            # only the front is ranked, in double
+            front = min(take, 2 * (k + 1))
+            order = np.argpartition(-exact, front - 1, axis=1)[:, :front]
+            best = np.take_along_axis(best, order, 1)
+            near = np.take_along_axis(vecs.reshape(len(q), take, d), order[:, :, None], 1).astype(np.float64)
+            near /= np.linalg.norm(near, axis=2, keepdims=True)
+            whole = q.astype(np.float64)
+            whole /= np.linalg.norm(whole, axis=1, keepdims=True)
+            exact = np.einsum("qd,qrd->qr", whole, near)
+            flat = best.ravel()
+            size = many[flat]
+            query_row = np.repeat(np.repeat(np.arange(len(q)), front), size)
+            cosine = np.repeat(exact.ravel(), size)
+            total = np.cumsum(size)
+            inner = np.arange(total[-1]) - np.repeat(total - size, size)
+            owner = np.repeat(source[flat], size)
+            place = np.repeat(entry_at[flat], size)
+            other = np.empty(total[-1], np.int64)
+            by = np.argsort(owner, kind="stable")
+            bounds = np.searchsorted(owner[by], np.arange(len(parts) + 1))
+            for f, (entry, _) in enumerate(parts):
+                hit = by[bounds[f] : bounds[f + 1]]
+                if len(hit):
+                    other[hit] = entry[0][entry[2][place[hit]] + inner[hit]]
+            order = np.lexsort((other, -np.round(cosine, 12), query_row))
+            query_row, cosine, other = query_row[order], cosine[order], other[order]
+            begin = np.searchsorted(query_row, np.arange(len(q)))
+            end = np.append(begin[1:], len(query_row))
+            pick = begin[:, None] + np.arange(k + 1)
+            valid = pick < end[:, None]
+            pick = np.minimum(pick, len(query_row) - 1)
+            top, score = np.where(valid, other[pick], -1), np.where(valid, cosine[pick], -2.0)
+            # every copy of the query's vector is a query; it drops itself
+            copies = sizes[mine]
+            member = np.repeat(starts[mine] - (np.cumsum(copies) - copies), copies) + np.arange(copies.sum())
+            who = ids[member]
+            top, score = np.repeat(top, copies, axis=0), np.repeat(score, copies, axis=0)
+            itself = (top == who[:, None]) & (score > -1.5)
+            drop = np.where(itself.any(1), itself.argmax(1), k)
+            keep = np.arange(k + 1)[None, :] != drop[:, None]
+            yield who, top[keep].reshape(-1, k), np.minimum(score[keep].reshape(-1, k), 1.0)
 
 
 def neighbours(vectors: DataFrame, id_column: str = "id", vec: str = "vec", k: int = K) -> DataFrame:
@@ -229,28 +300,26 @@ def neighbours(vectors: DataFrame, id_column: str = "id", vec: str = "vec", k: i
     """
     spark = vectors.sparkSession
     spaces = build(vectors, id_column, vec)
-    files = [(s, i, f) for s, index in spaces.items() for i in range(len(index.centroids)) for f in index.files(np.array([i]))]
+    schema = "id long, space string, rank int, neighbour long, cosine double"
+    names = [(s, n) for s, index in spaces.items() for f in range(len(index.blocks)) for n in index.names(f)]
+    if not names:
+        return spark.createDataFrame([], schema)
     sent = spark.sparkContext.broadcast(spaces)
-    if not files:
-        return spark.createDataFrame([], "id long, space string, rank int, neighbour long, cosine double")
-    # neighbouring lists in one task, so that it opens each list once
-    order = sorted(files, key=lambda x: (x[0], int((spaces[x[0]].centroids[x[1]] @ spaces[x[0]].centroids[: 64].T).argmax()), x[1]))
-    jobs = spark.createDataFrame([(n, *f) for n, f in enumerate(order)], "n int, space string, list int, file string")
-    parts = min(len(order), 6 * spark.sparkContext.defaultParallelism)
+    jobs = spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "n int, space string, file string")
+    parts = min(len(names), 8 * spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = _Lists()
+        files = _Files()
         for batch in batches:
-            for space, home, file in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                for who, other, cosine in _search(sent.value[space], file, home, lists, k):
+            for space, name in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for who, other, cosine in _search(sent.value[space], name, files, k):
                     rank = np.tile(np.arange(1, k + 1, dtype=np.int32), len(who))
-                    real = other.ravel() >= 0 if other.size else np.zeros(0, bool)
-                    real &= cosine.ravel() > -1.5
+                    real = cosine.ravel() > -1.5
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.repeat(who, k)[real]), pa.array([space] * int(real.sum())), pa.array(rank[real]), pa.array(other.ravel()[real]), pa.array(cosine.ravel()[real])], names=["id", "space", "rank", "neighbour", "cosine"]
                     )
 
-    return jobs.repartitionByRange(parts, "n").mapInArrow(run, "id long, space string, rank int, neighbour long, cosine double")
+    return jobs.repartitionByRange(parts, "n").mapInArrow(run, schema)
 
 
 def close_pairs(found: DataFrame, least: float = 0.96) -> DataFrame:

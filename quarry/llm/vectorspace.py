@@ -51,8 +51,9 @@ def sampled(vectors: DataFrame, space: str, bound: int, total: int, id_column: s
     return x[order][: 2 * bound]
 
 
-def nearest(x: np.ndarray, centroids: np.ndarray, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the most similar centroid, similarity) of each row."""
+    block = max(64, (1 << 24) // max(1, len(centroids)))
     best = np.empty(len(x), np.int64)
     score = np.empty(len(x), np.float32)
     for a in range(0, len(x), block):
@@ -62,6 +63,23 @@ def nearest(x: np.ndarray, centroids: np.ndarray, block: int = 4096) -> tuple[np
     return best, score
 
 
+def best_columns(scores: np.ndarray, take: int, width: int = 16) -> np.ndarray:
+    """The columns of the ``take`` greatest values of each row, in no order. Strips of ``width`` columns are reduced to their greatest
+    value first: the best values lie in the best strips, so only these are looked into."""
+    rows, n = scores.shape
+    if take >= n:
+        return np.broadcast_to(np.arange(n), scores.shape)
+    strips = n // width
+    if strips <= 2 * take:
+        return np.argpartition(scores, n - take, axis=1)[:, n - take :]
+    body = scores[:, : strips * width].reshape(rows, width, strips)
+    top = np.argpartition(body.max(1), strips - take, axis=1)[:, strips - take :]
+    columns = (top[:, None, :] + strips * np.arange(width)[None, :, None]).reshape(rows, -1)
+    columns = np.concatenate([columns, np.broadcast_to(np.arange(strips * width, n), (rows, n - strips * width))], 1)
+    inner = np.argpartition(np.take_along_axis(scores, columns, 1), columns.shape[1] - take, axis=1)[:, columns.shape[1] - take :]
+    return np.take_along_axis(columns, inner, 1)
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 7) -> np.ndarray:
     """Centroids of unit length; seeds are rows at random, so that dense regions get their share."""
     rng = np.random.default_rng(seed)
