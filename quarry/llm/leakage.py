@@ -218,6 +218,8 @@ def occurrences(phrases: Phrases, texts: list[str | None]) -> tuple[np.ndarray,
 
 def _union(group: np.ndarray, at: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, start, end) of the merged stretches [at, at + run) of each group; touching stretches are merged."""
+    if not len(at):
+        return group, at, at
     order = np.lexsort((at, group))
     group, at = group[order], at[order]
     new = np.concatenate([[True], (group[1:] != group[:-1]) | (at[1:] > at[:-1] + run)])
