@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from functools import cache
 
@@ -75,6 +76,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), product)
 
 
+def vector(values) -> Column:
+    """A vector as a literal of doubles, parsed at once instead of element by element."""
+    return F.expr("array(" + ", ".join(f"{float(x)!r}D" if math.isfinite(x) else f"double('{float(x)}')" for x in values) + ")") if len(values) else F.array().cast("array<double>")
+
+
 def unit(v: Column) -> Column:
     """The vector at length one; a zero vector stays as it is."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

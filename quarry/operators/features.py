@@ -2,25 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.scalar import dot, unit
+from quarry.functions.scalar import dot, vector
 
 TAGS, LEAST = 5, 0.2
 
 
 def mean_vectors(vectors: DataFrame, space: str, length: int, key: str = "hash") -> DataFrame:
-    """(key, vec): the mean of each asset's vectors of one length, at length one. One partial sum per dimension: no asset's vectors are
-    gathered. NaN anywhere makes the mean NaN in that place; such vectors are left out first."""
-    rows = vectors.where((F.col("space") == space) & (F.size("vec") == length) & ~F.exists("vec", lambda x: F.isnan(x)))
-    means = rows.groupBy(key).agg(*[F.avg(F.col("vec")[i].cast("double")).alias(f"m{i}") for i in range(length)])
-    return means.select(key, unit(F.array(*[f"m{i}" for i in range(length)])).alias("vec"))
+    """(key, vec): the mean of each asset's vectors of one length, at length one; a zero mean stays. Vectors with a NaN are left out. Each
+    batch adds up its rows of an asset before the shuffle, so what meets in a task is a row per asset and batch."""
+    kind = vectors.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, n long, total array<double>"
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, length).astype(np.float64)
+            good = np.flatnonzero(~np.isnan(x).any(1))
+            if not len(good):
+                continue
+            keys = batch.column(0).take(pa.array(good)).dictionary_encode()
+            code = keys.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            present, start = np.unique(code[order], return_index=True)
+            n = np.add.reduceat(batch.column(1).to_numpy()[good][order], start)
+            offsets = pa.array(np.arange(len(present) + 1, dtype=np.int32) * length)
+            yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(present)), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(np.add.reduceat(x[good][order], start, axis=0).ravel()))], names=[key, "n", "total"])
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            for batch in added(iter(pa.Table.from_batches(rows).combine_chunks().to_batches())):
+                x = batch.column(2).flatten().to_numpy().reshape(-1, length) / batch.column(1).to_numpy()[:, None]
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                x = x / np.where(norm == 0, 1.0, norm)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(batch.column(2).offsets, pa.array(x.ravel()))], names=[key, "vec"])
+
+    rows = vectors.where((F.col("space") == space) & (F.size("vec") == length) & F.col(key).isNotNull())
+    parts = rows.select(key, F.lit(1).cast("long").alias("n"), "vec").mapInArrow(added, schema)
+    return parts.repartition(key).mapInArrow(means, f"`{key}` {kind}, vec array<double>")
 
 
 def zero_shot_tags(means: DataFrame, tags: list[tuple[str, list[float]]], key: str = "hash", most: int = TAGS, least: float = LEAST) -> DataFrame:
     """(key, tags): up to ``most`` tags whose vector has at least ``least`` similarity, most similar first, then by name. The tag vectors
     are a fixed vocabulary, given as literals."""
-    entries = F.array(*[F.struct((-dot(F.col("vec"), F.array(*[F.lit(float(x)) for x in v]))).alias("d"), F.lit(t).alias("tag")) for t, v in tags])
+    entries = F.array(*[F.struct((-dot(F.col("vec"), vector(v))).alias("d"), F.lit(t).alias("tag")) for t, v in tags])
     good = F.filter(entries, lambda e: e["d"] <= -least)
     return means.select(key, F.transform(F.slice(F.array_sort(good), 1, most), lambda e: e["tag"]).alias("tags"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.scalar import dot
+from quarry.functions.scalar import dot, vector
 
 #: Rows of ``vectors`` a match tells about.
 MATCH = ("source", "ref", "thumb", "label")
@@ -28,8 +28,7 @@ def best_per_asset(rows: DataFrame, query: Sequence[float]) -> DataFrame:
     query, and products that aren't numbers, are left out. Everything is in one partial aggregation: what is shuffled is one row per
     asset and partition.
     """
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = rows.where(F.size("vec") == len(query)).withColumn("sim", dot(F.col("vec"), q)).where(~F.isnan("sim"))
+    scored = rows.where(F.size("vec") == len(query)).withColumn("sim", dot(F.col("vec"), vector(query))).where(~F.isnan("sim"))
     best = F.max(F.struct("sim", (-F.col("id")).alias("n"), *MATCH))
     summary = F.max(F.when(F.col("source") == "pdf_summary", F.struct("id", "sim")))
     out = scored.groupBy("hash").agg(best.alias("b"), summary.alias("s"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions.scalar import cleaned_query, detected_kind, query_terms
 from quarry.operators.filters import Filters, allowed, browse
 from quarry.operators.fusion import explained, fused, top
-from quarry.operators.keyword import bm25, documents
+from quarry.operators.keyword import KeywordIndex, bm25, documents
 from quarry.operators.signals import best_per_asset, finished_vectors, zscored
 
 #: Embeds a cleaned query; None where a space has no encoder.
@@ -35,7 +35,7 @@ class Response:
 
 def parsed(spark: SparkSession, query: str) -> tuple[str, str | None, list[str]]:
     """(text to embed, kind the query names, keyword terms)."""
-    q = spark.range(1).select(F.lit(query).alias("q"))
+    q = spark.sql("SELECT * FROM VALUES (:q) AS t(q)", args={"q": query})  # a local relation: the optimizer evaluates it, no job runs
     clean = q.select("q", cleaned_query(F.col("q")).alias("c"))
     r = clean.select("c", detected_kind(F.col("q")).alias("k"), query_terms(F.col("c")).alias("t")).first()
     return r["c"], r["k"], list(r["t"])
@@ -49,11 +49,14 @@ class HybridSearcher:
         self.clip, self.text, self.stems = clip, text, stems
         self._version: str | None = None
         self._kept: dict[str, DataFrame] = {}
+        self.keywords: KeywordIndex | None = None
 
-    def keep_fresh(self, version: str, read: Callable[[], DataFrame]) -> None:
-        """Hold the finished vectors in memory until ``version`` changes, then read them anew."""
+    def keep_fresh(self, version: str, read: Callable[[], DataFrame], path: str | None = None) -> None:
+        """Hold the finished vectors in memory, and with ``path`` the keyword postings there, until ``version`` changes; then make them anew."""
         if version == self._version:
             return
+        if path:
+            self.keywords = KeywordIndex(documents(self.assets, self.files), f"{path}/{version}", stems=self.stems)
         for df in self._kept.values():
             df.unpersist()
         self.vectors = read()
@@ -93,6 +96,7 @@ class HybridSearcher:
 
         visual = tried("visual", lambda: near("clip", clip_vec, self.clip))
         semantic = tried("text", lambda: near("text", text_vec, self.text))
-        keyword = tried("keyword", lambda: bm25(documents(self.assets, self.files), terms, stems=self.stems)) if terms else None
+        rank = self.keywords.search if self.keywords else lambda t: bm25(documents(self.assets, self.files), t, stems=self.stems)
+        keyword = tried("keyword", lambda: rank(terms)) if terms else None
         rows = explained(fused(found, visual, semantic, keyword, kind))
         return Response(query, clean, kind, top(rows, top_k), rows, warnings)

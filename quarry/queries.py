@@ -16,10 +16,10 @@ from quarry.operators import reports as r
 from quarry.operators.filters import Filters, allowed, browse, located
 from quarry.operators.fusion import explained, fused, top
 from quarry.operators.incremental import work_since
-from quarry.operators.keyword import bm25, documents
+from quarry.operators.keyword import KeywordIndex, bm25, documents
 from quarry.operators.signals import best_per_asset, best_per_asset_many, finished_vectors, zscored
-from quarry.plans.search import HybridSearcher
-from quarry.session import ship
+from quarry.plans.search import HybridSearcher, Response
+from quarry.session import scratch, ship
 from quarry.tables import table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -283,6 +283,13 @@ def bm25_normalised(spark: SparkSession, d: str) -> DataFrame:
     return bm25(documents(t(spark, d, "assets"), t(spark, d, "files")), _TERMS).select("hash", F.round("keyword", 4).alias("keyword"))
 
 
+@query(f"WITH {_bm25(_FIELDS, _TERMS)} SELECT hash, round(bm25, 4) AS bm25 FROM kw")
+def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The same from postings."""
+    index = KeywordIndex(documents(t(spark, d, "assets"), t(spark, d, "files")), scratch(spark, "postings"))
+    return index.search(_TERMS).select("hash", F.round("bm25", 4).alias("bm25"))
+
+
 @query()
 def bm25_porter(spark: SparkSession, d: str) -> DataFrame:
     return bm25(documents(t(spark, d, "assets"), t(spark, d, "files")), _TERMS, stems=True).select("hash", F.round("bm25", 4).alias("bm25"))
@@ -308,7 +315,14 @@ def _fusion(intent: str | None) -> str:
 def _searched(spark: SparkSession, d: str, filters: Filters | None = None, stems: bool = False):
     q = t(spark, d, "eval_queries").where(F.col("id") == ROW).first()
     searcher = HybridSearcher(t(spark, d, "assets"), t(spark, d, "files"), t(spark, d, "vectors"), stems=stems)
-    return searcher.search(TEXT, filters, 24, q["clip_vec"], q["text_vec"])
+    return _whole(searcher.search(TEXT, filters, 24, q["clip_vec"], q["text_vec"]))
+
+
+def _whole(response: Response) -> Response:
+    """A registered query has all its signals; what a search would warn of is an error here."""
+    if response.warnings:
+        raise RuntimeError("; ".join(response.warnings))
+    return response
 
 
 @query(_fusion("image") + " SELECT hash, kind, score, relevance, CASE WHEN score >= 2 THEN 'high' WHEN score >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM final ORDER BY score DESC, place LIMIT 24")
@@ -321,6 +335,23 @@ def fused_ranking_stemmed(spark: SparkSession, d: str) -> DataFrame:
     return _searched(spark, d, stems=True).results.select("hash", "kind", "score", "relevance", "confidence")
 
 
+_SEARCHERS: dict[tuple[str, str], HybridSearcher] = {}
+
+
+@query(_fusion("image") + " SELECT hash, kind, score, relevance, CASE WHEN score >= 2 THEN 'high' WHEN score >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM final ORDER BY score DESC, place LIMIT 24")
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same search by a searcher that keeps its vectors and postings until the catalogue's version changes."""
+    own = (spark.sparkContext.applicationId, d)
+    if own not in _SEARCHERS:
+        _SEARCHERS[own] = HybridSearcher(t(spark, d, "assets"), t(spark, d, "files"), t(spark, d, "vectors"), stems=False)
+    searcher = _SEARCHERS[own]
+    version = t(spark, d, "meta").where(F.col("key") == "vectors_version").first()["value"]
+    searcher.keep_fresh(version, lambda: t(spark, d, "vectors"), scratch(spark, "postings"))
+    q = t(spark, d, "eval_queries").where(F.col("id") == ROW).first()
+    found = _whole(searcher.search(TEXT, None, 24, q["clip_vec"], q["text_vec"])).results
+    return found.select("hash", "kind", "score", "relevance", "confidence")
+
+
 @query(_fusion("image") + " SELECT kind, count(*) AS n, round(avg(score), 3) AS mean_score, max(score) AS best FROM final GROUP BY kind")
 def intent_boost(spark: SparkSession, d: str) -> DataFrame:
     return _searched(spark, d).candidates.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("score"), 3).alias("mean_score"), F.max("score").alias("best"))

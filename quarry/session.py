@@ -8,8 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A side is broadcast only when its measured size is under this; see ``small_enough``.
-BROADCAST_BYTES = 8 << 20
+#: A scan with fewer bytes than this for each core is spread over the cores.
+SMALL_SPLIT = 4 << 20
 
 
 def get_session(cores: int | str = "*", app: str = "quarry") -> SparkSession:
@@ -43,27 +43,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, inside this application's own; ``clean`` removes them all."""
+    return f"{shared_dir(spark).rstrip('/')}/quarry-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder, which survives the loss of an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def clean(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder. Call it when its results have been read: they are lazy."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/quarry-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder: smaller than a checkpoint and prunable by column."""
+    """Cut the lineage with a Parquet table in the shared folder. It survives the loss of executors, is read by column, and computes a plan
+    once that is used several times."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
-    """Give a costly stage one partition a core when the input came in fewer (one small file); a larger input stays as it is read."""
-    want = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+def spread(scan: DataFrame, per_core: int = 1) -> DataFrame:
+    """Give a costly stage over a small scan (one file, one row group) a partition a core; a larger scan stays as it is read. The size
+    comes from the plan's statistics, so nothing runs to find out. For plans that are scans, perhaps filtered: joins have no size."""
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism * per_core
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(cores) if size < cores * SMALL_SPLIT else scan
 
 
 def ship(spark: SparkSession) -> None:

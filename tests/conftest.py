@@ -17,7 +17,7 @@ os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{os.environ.get('PYTHONPATH', '')
 def spark():
     from pyspark.sql import SparkSession
 
-    from quarry.session import ship
+    from quarry.session import clean, ship
 
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
@@ -26,4 +26,5 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     ship(s)
     yield s
+    clean(s)
     s.stop()
