@@ -233,14 +233,14 @@ class Groups:
 
     def __init__(self, vectors: DataFrame, assets: DataFrame | None = None, step: float = STEP, least: int = LEAST):
         self.spark = vectors.sparkSession
-        clip = vectors.where((F.col("space") == "clip") & (F.size("vec") == VEC) & F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), "hash", "vec")
+        clip = spread(vectors.where((F.col("space") == "clip") & (F.size("vec") == VEC) & F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), "hash", "vec"))
         if assets is not None:
             tags = assets.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.first("tags", ignorenulls=True).alias("tags"))
             clip = clip.join(tags, "hash", "left").select("id", "hash", "vec", "tags")
         else:
             clip = clip.withColumn("tags", F.lit(None).cast("array<string>"))
         keyed = lambda df: df.withColumns({"k1": F.xxhash64("vec"), "k2": F.hash("vec")})
-        self.rows = written(featured(spread(clip)), "features")
+        self.rows = written(featured(clip), "features")
         vec = F.slice("feature", 1, VEC)
         marked = self.rows.select("id", vec.alias("vec"))
         copies = keyed(marked).groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
