@@ -505,9 +505,9 @@ def status_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_DIFF}, hashed AS (SELECT *, sha256(path) AS h FROM diff), st AS (SELECT *, {_KIND} AS k, CASE WHEN {_KIND} IS NULL THEN 'unsupported' WHEN size = 0 THEN 'unreadable' WHEN size > 2048 * 1048576::BIGINT THEN 'too_large' ELSE 'ok' END AS s FROM hashed)
-    SELECT st.path, coalesce(old_id, (SELECT max(id) FROM files) + row_number() OVER (PARTITION BY old_id IS NULL ORDER BY st.path COLLATE C)) AS id,
+    SELECT st.path, coalesce(old_id, (SELECT max(id) FROM files) + row_number() OVER (PARTITION BY old_id IS NULL ORDER BY st.path)) AS id,
     CASE WHEN change IN ('new', 'changed') THEN s ELSE f.file_status END AS file_status, CASE WHEN change IN ('new', 'changed') THEN CASE WHEN s = 'ok' THEN h END ELSE f.hash END AS hash,
-    CASE WHEN change IN ('new', 'changed', 'unchanged') THEN true WHEN change = 'missing' THEN false ELSE f.present END AS present, coalesce(f.first_seen, {NOW!r}::DOUBLE) AS first_seen FROM st LEFT JOIN files f ON st.path = f.path""".replace(" COLLATE C", ""))
+    CASE WHEN change IN ('new', 'changed', 'unchanged') THEN true WHEN change = 'missing' THEN false ELSE f.present END AS present, coalesce(f.first_seen, {NOW!r}::DOUBLE) AS first_seen FROM st LEFT JOIN files f ON st.path = f.path""")
 def next_files(spark: SparkSession, d: str) -> DataFrame:
     files = t(spark, d, "files")
     diff = c.scan_diff(t(spark, d, "listing"), files)
