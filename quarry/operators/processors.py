@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.scalar import chunks, first_line, joined_caption, summary_text, video_body
@@ -78,6 +78,11 @@ def embedded(texts: DataFrame, models) -> DataFrame:
     return texts.where(F.coalesce("text", F.lit("")) != "").select("hash", "source", "ref", "text").mapInPandas(run, VECTOR)
 
 
+def spoken(segments: Column) -> Column:
+    """The text of speech segments (text, no_speech_prob) that are likely speech."""
+    return F.array_join(F.transform(F.filter(segments, lambda x: x["no_speech_prob"] < 0.6), lambda x: F.btrim(x["text"])), " ")
+
+
 def process_images(images: DataFrame, models) -> tuple[DataFrame, DataFrame]:
     """Images (hash, colour) to (results, vectors). Results: hash, caption, body (null), warnings."""
     seen = captioned(images.withColumn("ref", F.lit(None).cast("double")), models)

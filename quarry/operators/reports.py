@@ -109,3 +109,9 @@ def dataset_markdown(files: DataFrame, assets: DataFrame) -> str:
     m = media_totals(assets).first()
     out += ["", f"Videos: {m['videos']}, {(m['seconds'] or 0) / 60:.0f} min, {m['frames'] or 0} frames, {m['with_speech'] or 0} with speech. PDF pages: {m['pages'] or 0}."]
     return "\n".join(out) + "\n"
+
+
+def write_manifest(files: DataFrame, sources: DataFrame, path: str) -> None:
+    """A CSV of (file, type, source, query, url, license) for the files of ``sources`` that are present."""
+    here = _present(files).select(F.col("path").alias("file"), F.col("kind").alias("type"))
+    here.join(sources, "file").select("file", "type", "source", "query", "url", "license").write.mode("overwrite").csv(path, header=True)
