@@ -23,14 +23,15 @@ from quarry.session import spread
 
 #: Texts of one length and source that end openly, from which that length is a candidate limit.
 AT_LIMIT = 3
-#: Bodies a closing line must end (or, below many bodies, its share) to count as furniture.
-CLOSING_BODIES = 3
-PRIOR_OPEN, PRIOR_LINE, PRIOR_LIST, PRIOR_CLOSING = 0.97, 0.9, 0.05, 0.2
+#: A last line is a closing line if it ends so many bodies, and this share of all bodies that end in a line of their own.
+CLOSING_BODIES, CLOSING_SHARE = 2, 0.02
+#: How often an ending of each kind is a cut, before its words are looked at; the most that a word nobody else uses may speak for an end.
+PRIOR_OPEN, PRIOR_LINE, PRIOR_LIST, PRIOR_CLOSING, UNKNOWN_ENDS = 0.97, 0.9, 0.05, 0.3, 0.3
 ALL = "*"
 
 _MARK = re.compile(r"(?:�|Ã|[\[(<&](?:[^\])>;\s]{0,4}|cut|more|continued|truncated)?|(?:…|\.\.\.)\s*\[?\+?\]?|\[(?:…|\.\.\.|cut|more|\+|truncated|continued)\]?|\((?:…|\.\.\.|cut|more|continued|truncated)\)?)$", re.I)
 _STOP = re.compile(r"[.!?。！？:]['\"”’»)\]]*$")
-_FURNITURE = re.compile(r"^\W*(?:(?:page|seite|página|pagina|p\.|s\.)\s*)?(?:\d{1,5}|[ivxlc]{1,7})(?:\s*(?:/|of|von|de|sur)\s*\d{1,5})?\W*$|^\W+$", re.I)
+_FURNITURE = re.compile(r"^\W*(?:(?:page|seite|página|pagina|p\.|s\.)\s*)?(?:\d{1,5}|[ivxlc]{1,7})(?:\s*(?:/|of|von|de|sur)\s*\d{1,5})?\W*$|^\W+$|^\(.{3,40}\)$", re.I)
 _ITEM = re.compile(r"^\s*(?:[-*•–]|\d+[.)])\s+")
 _CAPTION = re.compile(r"(?:^|\| )\[\d+s\] ")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -182,7 +183,8 @@ def truncated(assets: DataFrame, files: DataFrame, key: str = "hash", body: str
     everywhere = per.groupBy("length").agg(F.sum("n").alias("n"), F.sum("open").alias("open")).select(F.lit(ALL).alias("source"), "length", "n", "open")
     found = per.unionByName(everywhere).groupBy("source").applyInPandas(limits, "source string, limit int, posterior double, mu double, sigma double")
     own, pooled = found.where(F.col("source") != ALL), found.where(F.col("source") == ALL)
-    closing = ends.where("what in ('line', 'closing')").groupBy("line").agg(F.count("*").alias("closers"))
+    alone = ends.where("what in ('line', 'closing')")
+    closing = alone.groupBy("line").agg(F.count("*").alias("closers")).crossJoin(F.broadcast(alone.agg(F.count("*").alias("lines"))))
     counts = finals(bodies, body)
     words = counts.groupBy("last").agg(F.sum("n").alias("n1"), F.sum("ended").alias("e1"))
     before = counts.groupBy("previous").agg(F.sum("n").alias("n0"), F.sum("ended").alias("e0"))
@@ -201,14 +203,13 @@ def truncated(assets: DataFrame, files: DataFrame, key: str = "hash", body: str
         .join(before, "previous", "left")
     )
     posterior = F.greatest(F.coalesce("own", F.lit(0.0)), F.coalesce("pooled", F.lit(0.0)))
-    backed = F.when(F.coalesce("n1", F.lit(0)) >= 3, _rate(F.col("n1"), F.col("e1"), base)).otherwise(F.least(_rate(F.col("n0"), F.col("e0"), base), F.lit(0.5)))
+    backed = F.when(F.coalesce("n1", F.lit(0)) >= 3, _rate(F.col("n1"), F.col("e1"), base)).otherwise(F.least(_rate(F.col("n0"), F.col("e0"), base), F.lit(UNKNOWN_ENDS)))
     rate = F.when(F.coalesce("n", F.lit(0)) >= 3, _rate(F.col("n"), F.col("ended"), base)).otherwise(backed)
     ratio = ((1 - rate) / (1 - base)) / (rate / base)
     prior = F.when(F.col("what") == "list", PRIOR_LIST).when(F.col("what") == "closing", PRIOR_CLOSING).when(F.col("what") == "line", PRIOR_LINE).otherwise(PRIOR_OPEN)
     prior = F.greatest(prior, posterior)
-    ratio = F.when((F.col("what") == "closing") & (posterior < 0.5), 1.0).otherwise(ratio)
     odds = prior / (1 - prior) * ratio
-    closes = F.col("what").isin("line", "closing") & (F.coalesce("closers", F.lit(0)) >= CLOSING_BODIES) & (posterior < 0.5)
+    closes = F.col("what").isin("line", "closing") & (F.coalesce("closers", F.lit(0)) >= F.greatest(F.lit(CLOSING_BODIES), CLOSING_SHARE * F.col("lines")))
     unsettled = unsettled.withColumn("probability", F.when(closes, 0.01).otherwise(odds / (1 + odds)))
     settled = settled.withColumn("probability", F.when(F.col("what") == "mark", 0.99).otherwise(0.01))
     columns = [F.col(key), "source", "length", "what", F.when(posterior > 0, F.col("length")).alias("cut_limit"), posterior.alias("length_posterior"), "probability", (F.col("probability") > 0.5).alias("cut")]
