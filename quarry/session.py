@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="quarry-")
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
