@@ -8,9 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A scan with fewer bytes than this for each core is spread over the cores.
-SMALL_SPLIT = 4 << 20
-
 
 def get_session(cores: int | str = "*", app: str = "quarry") -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller brings its own."""
@@ -63,13 +60,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame, per_core: int = 1) -> DataFrame:
-    """Give a costly stage over a small scan (one file, one row group) a partition a core; a larger scan stays as it is read. The size
-    comes from the plan's statistics, so nothing runs to find out. For plans that are scans, perhaps filtered: joins have no size."""
-    spark = scan.sparkSession
-    cores = spark.sparkContext.defaultParallelism * per_core
-    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return scan.repartition(cores) if size < cores * SMALL_SPLIT else scan
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a costly stage over a scan a partition a core when the scan has fewer (one small file); a larger scan stays as it is read.
+    Planning a scan runs nothing. A plan with an exchange is left alone: asking for its partitions would run it."""
+    if "Exchange" in scan._jdf.queryExecution().executedPlan().toString():
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def ship(spark: SparkSession) -> None:
