@@ -27,6 +27,8 @@ STEP, LEAST = 0.75, 5
 TAG_DIMS, TAG_WEIGHT = 32, 0.1
 #: Rounds of oversampling and of k-means; cells a record is sent to; rows from which a cell gets more centroids, one for each FILL rows.
 SEED_ROUNDS, MEAN_ROUNDS, CELLS, FULL, FILL = 4, 2, 3, 4096, 1024
+#: A record whose nearest centroid is under this cosine lies between cells, and is sent to so many.
+LOOSE, LOOSE_CELLS = 0.7, 10
 TYPICAL, TAGS = 5, 5
 VEC = LENGTHS["clip"]
 
@@ -271,7 +273,7 @@ class Groups:
     def _labelled(reps: DataFrame, centroids: np.ndarray, step: float) -> DataFrame:
         """(id, label) for each cell of each record: label is the least id of its chain in the cell."""
         sent = reps.sparkSession.sparkContext.broadcast(centroids)
-        width = min(CELLS, len(centroids))
+        width, wide = min(CELLS, len(centroids)), min(LOOSE_CELLS, len(centroids))
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -279,13 +281,16 @@ class Groups:
                 for a in range(0, len(x), 4096):
                     part = x[a : a + 4096]
                     s = part @ sent.value.T
-                    near = np.argpartition(-s, width - 1, axis=1)[:, :width]
                     vec = part[:, :VEC] / np.linalg.norm(part[:, :VEC], axis=1, keepdims=True)
-                    flat = np.repeat(vec, width, axis=0)
-                    offsets = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * VEC)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(near.ravel().astype(np.int32)), pa.array(np.repeat(batch.column(0).to_numpy()[a : a + 4096], width)), pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], names=["cell", "id", "vec"]
-                    )
+                    ids = batch.column(0).to_numpy()[a : a + 4096]
+                    loose = s.max(1) < LOOSE
+                    for rows, n in ((np.flatnonzero(~loose), width), (np.flatnonzero(loose), wide)):
+                        if not len(rows):
+                            continue
+                        near = np.argpartition(-s[rows], n - 1, axis=1)[:, :n]
+                        flat = np.repeat(vec[rows], n, axis=0)
+                        offsets = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * VEC)
+                        yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), pa.array(np.repeat(ids[rows], n)), pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], names=["cell", "id", "vec"])
 
         def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for cell in pieces(batches, "cell"):
