@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import spread
+from quarry.session import spread, written
 
 #: Texts of one length and source that end openly, from which that length is a candidate limit.
 AT_LIMIT = 3
@@ -34,7 +34,10 @@ _STOP = re.compile(r"[.!?。！？:]['\"”’»)\]]*$")
 _FURNITURE = re.compile(r"^\W*(?:(?:page|seite|página|pagina|p\.|s\.)\s*)?(?:\d{1,5}|[ivxlc]{1,7})(?:\s*(?:/|of|von|de|sur)\s*\d{1,5})?\W*$|^\W+$|^\(.{3,40}\)$", re.I)
 _ITEM = re.compile(r"^\s*(?:[-*•–]|\d+[.)])\s+")
 _CAPTION = re.compile(r"(?:^|\| )\[\d+s\] ")
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_ONE = r"[^\W_]+(?:['’][^\W_]+)*"
+_WORD = re.compile(_ONE)
+# where a sentence, a caption or a list item ends
+_END = re.compile(r"[.!?]| \| |\n[\n-]")
 
 
 def ending(body: str) -> tuple[str, str, str, str]:
@@ -91,19 +94,16 @@ def finals(bodies: DataFrame, body: str = "body") -> DataFrame:
             pairs: Counter = Counter()
             stops: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                text = text.rstrip()
-                line_lists = "\n- " in text
-                before, spans = "", _WORD.finditer(text.lower())
-                for m in spans:
-                    w, at = m.group(), m.end()
-                    after = text[at : at + 3]
-                    if not after:
-                        break  # the text's own end is what is judged
-                    two = (before, w)
-                    pairs[two] += 1
-                    if after[0] in ".!?" or after == " | " or (after[0] == "\n" and (after[1:2] in "\n-" or line_lists)):
-                        stops[two] += 1
-                    before = w
+                text = text.rstrip().lower()
+                words = _WORD.findall(text)
+                if words and text.endswith(words[-1]):
+                    words.pop()  # the text's own end is what is judged
+                pairs.update(zip(["", *words], words, strict=False))
+                for m in _END.finditer(text):
+                    at = m.start()
+                    if at and text[at - 1].isalnum():
+                        two = _WORD.findall(text, max(0, at - 64), at)[-2:]
+                        stops[two[0] if len(two) > 1 else "", two[-1]] += 1
             keys = list(pairs)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([pairs[k] for k in keys], pa.int64()), pa.array([stops[k] for k in keys], pa.int64())],
@@ -177,7 +177,7 @@ def truncated(assets: DataFrame, files: DataFrame, key: str = "hash", body: str
     bodies = spread(assets.where(F.col(body).isNotNull() & (F.length(F.trim(F.col(body))) > 0)).select(key, body))
     ends = _endings(bodies, key, body).where("what <> 'blank'")
     sources = first_folders(files).withColumnRenamed("hash", "_hash")
-    ends = ends.join(sources, F.col(key) == F.col("_hash"), "left").drop("_hash")
+    ends = written(ends.join(sources, F.col(key) == F.col("_hash"), "left").drop("_hash"), "endings")
     open_ = F.col("what").isin("open", "line", "mark").cast("int")
     per = ends.groupBy(F.coalesce("source", F.lit("")).alias("source"), "length").agg(F.count("*").alias("n"), F.sum(open_).alias("open"))
     everywhere = per.groupBy("length").agg(F.sum("n").alias("n"), F.sum("open").alias("open")).select(F.lit(ALL).alias("source"), "length", "n", "open")
@@ -185,7 +185,7 @@ def truncated(assets: DataFrame, files: DataFrame, key: str = "hash", body: str
     own, pooled = found.where(F.col("source") != ALL), found.where(F.col("source") == ALL)
     alone = ends.where("what in ('line', 'closing')")
     closing = alone.groupBy("line").agg(F.count("*").alias("closers")).crossJoin(F.broadcast(alone.agg(F.count("*").alias("lines"))))
-    counts = finals(bodies, body)
+    counts = written(finals(bodies, body), "finals")
     words = counts.groupBy("last").agg(F.sum("n").alias("n1"), F.sum("ended").alias("e1"))
     before = counts.groupBy("previous").agg(F.sum("n").alias("n0"), F.sum("ended").alias("e0"))
     base = 0.08
