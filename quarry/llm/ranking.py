@@ -4,8 +4,9 @@ Three scores of every asset and query: the best cosine in each vector space, and
 aggregation makes them one ranking: in each score an asset has its rank among the assets of its kind, as a share of them; assets are
 ordered by the weighted median of these, then their mean, then the hash. No score's range plays a part, nor how many vectors a kind has.
 
-Scores are compared on a fixed grid of LEVELS; equal ones share the average rank. Ranks come from counts per level, so no query's assets
-are ever sorted to rank them. Scores and ranks of an asset stay together in one row for all queries until the last step.
+Scores are compared as they are, in single precision; equal ones share the average rank. Levels of a score only part the work: counts per
+level say how many assets lie above, and ranges of levels are sorted apart, at most about RANGE scores each. A range is never cut inside a
+level. Ranks travel in blocks of assets, so an asset's ranks for all queries meet in one row.
 """
 
 from __future__ import annotations
@@ -17,18 +18,22 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.session import scratch, spread, written
 
-from .vectorspace import LENGTHS, get, matrix, put
+from .vectorspace import LENGTHS, get, matrix, pieces, put
 
 #: Weight of the scores by clip vector, text vector and words.
 WEIGHTS = np.array([1.0, 1.0, 0.75])
 #: Levels of a score; queries handled in one pass; assets of one query that are put in order together.
 LEVELS, QUERIES, TOGETHER = 8192, 128, 4000
+#: Assets of a block; scores of one query that are sorted together.
+BLOCK, RANGE = 512, 1_000_000
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"[^\W_]+")
 # Words of the query language that say nothing about the content.
@@ -84,7 +89,8 @@ def _best(vectors: DataFrame, wanted: dict[str, np.ndarray]) -> DataFrame:
                 code = hashes.indices.to_numpy()
                 order = np.argsort(code, kind="stable")
                 present, start = np.unique(code[order], return_index=True)
-                best = np.maximum.reduceat((x @ q.T)[order], start, axis=0)
+                # summed in double: copies of a vector get equal scores in whatever batch they are
+                best = np.maximum.reduceat((x.astype(np.float64) @ q.T.astype(np.float64)).astype(np.float32)[order], start, axis=0)
                 offsets = pa.array(np.arange(len(present) + 1, dtype=np.int32) * q.shape[0])
                 yield pa.RecordBatch.from_arrays([hashes.dictionary.take(pa.array(present)), pa.array([space] * len(present)), pa.ListArray.from_arrays(offsets, pa.array(best.ravel()))], names=["hash", "space", "best"])
 
@@ -121,8 +127,16 @@ def _level(score: np.ndarray) -> np.ndarray:
     return np.clip(np.round((score + 1) * (LEVELS / 2)), 0, LEVELS).astype(np.int16)
 
 
-def levels(assets: DataFrame, vectors: DataFrame, rows: list) -> DataFrame:
-    """(hash, kind, level): the level of each score of each query, row-major by score; -1 where the asset has no such score."""
+def _levels(values: np.ndarray, n: int) -> np.ndarray:
+    """The levels of a batch's scores (row, 3 n), -1 where there is none. They never fall as a score grows."""
+    x = values.astype(np.float64)
+    x[:, 2 * n :] /= x[:, 2 * n :] + 2.0
+    return np.where(np.isnan(x), -1, _level(np.nan_to_num(x))).astype(np.int64)
+
+
+def scores(assets: DataFrame, vectors: DataFrame, rows: list) -> DataFrame:
+    """(block, row, hash, kind, value): each score of each query, row-major by score; NaN where the asset has no such score. A block is a
+    number of at most BLOCK assets, a row the place in it."""
     n = len(rows)
     wanted = {}
     for space, column in (("clip", "clip_vec"), ("text", "text_vec")):
@@ -151,11 +165,12 @@ def levels(assets: DataFrame, vectors: DataFrame, rows: list) -> DataFrame:
     names = [x.split()[0] for x in ending.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = TaskContext.get().partitionId() << 40
         for part in whole_groups(batches, 0):
             part = part.combine_chunks()
             code = part.column("hash").combine_chunks().dictionary_encode()
             hashes, code = code.dictionary, code.indices.to_numpy()
-            out = np.full((len(hashes), 3, n), -1, np.int16)
+            out = np.full((len(hashes), 3, n), np.nan, np.float32)
             kinds: list = [None] * len(hashes)
             own = np.zeros(len(hashes), bool)
             spaces = part.column("space").to_pylist()
@@ -176,7 +191,7 @@ def levels(assets: DataFrame, vectors: DataFrame, rows: list) -> DataFrame:
                 score = np.zeros((len(mine), n))
                 for a in range(0, len(flat), 1 << 15):
                     np.add.at(score, doc[a : a + (1 << 15)], weight[a : a + (1 << 15), None] * uses[flat[a : a + (1 << 15)]])
-                out[at, 2] = np.where(score > 0, _level(score / (score + 2.0)), -1)
+                out[at, 2] = np.where(score > 0, score, np.nan)
             for s, space in enumerate(("clip", "text")):
                 mine = [i for i, x in enumerate(spaces) if x == space]
                 if mine:
@@ -186,22 +201,30 @@ def levels(assets: DataFrame, vectors: DataFrame, rows: list) -> DataFrame:
                     np.maximum.at(merged, at, cosine)
                     got = np.zeros((len(hashes), n), bool)
                     got[np.unique(at)[:, None], given[space]] = True
-                    out[:, s] = np.where(got, _level(merged), -1)
+                    out[:, s] = np.where(got, merged, np.nan)
             keep = np.flatnonzero(own)
             offsets = pa.array(np.arange(len(keep) + 1, dtype=np.int32) * (3 * n))
-            yield pa.RecordBatch.from_arrays([hashes.take(pa.array(keep)), pa.array([kinds[i] or "" for i in keep.tolist()]), pa.ListArray.from_arrays(offsets, pa.array(out[keep].ravel()))], names=["hash", "kind", "level"])
+            number = done + np.arange(len(keep))
+            done += len(keep)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(number // BLOCK), pa.array((number % BLOCK).astype(np.int32)), hashes.take(pa.array(keep)), pa.array([kinds[i] or "" for i in keep.tolist()]), pa.ListArray.from_arrays(offsets, pa.array(out[keep].ravel()))],
+                names=["block", "row", "hash", "kind", "value"],
+            )
 
-    return both.select(*names).repartition("hash").sortWithinPartitions("hash").mapInArrow(run, "hash string, kind string, level array<short>")
+    return both.select(*names).repartition("hash").sortWithinPartitions("hash").mapInArrow(run, "block long, row int, hash string, kind string, value array<float>")
+
+
+def _values(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3 * n)
 
 
 def _tables(scored: DataFrame, n: int, kinds: list[str], folder: str) -> None:
-    """A file for each score and query: the share-of-rank at every level, by kind."""
-    sizes = dict(scored.groupBy("kind").agg(F.count("*").alias("n")).collect())
+    """A file for each score and query: by kind, how many assets lie above every level; and the range each level belongs to."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = np.searchsorted(kinds, np.array(batch.column(0).to_pylist(), object).astype(str))
-            level = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(kind), -1).astype(np.int64)
+            level = _levels(_values(batch.column(1), n), n)
             key = (kind[:, None] * (3 * n) + np.arange(3 * n)) * (LEVELS + 1) + level
             value, number = np.unique(key[level >= 0], return_counts=True)
             yield pa.RecordBatch.from_arrays(
@@ -214,17 +237,71 @@ def _tables(scored: DataFrame, n: int, kinds: list[str], folder: str) -> None:
             score = part.column("score").to_numpy()
             for s in np.unique(score):
                 mine = score == s
-                table = np.zeros((len(kinds), LEVELS + 1))
+                table = np.zeros((len(kinds), LEVELS + 1), np.int64)
                 np.add.at(table, (part.column("kind").to_numpy()[mine], part.column("level").to_numpy()[mine]), part.column("n").to_numpy()[mine])
                 above = table[:, ::-1].cumsum(1)[:, ::-1] - table
-                total = np.array([max(1, sizes.get(k, 1)) for k in kinds])[:, None]
-                put(f"{folder}/{s}", {"rank": ((above + (table + 1) / 2) / total).astype(np.float32)})
+                level = table.sum(0)
+                put(f"{folder}/{s}", {"above": above, "range": ((level.cumsum() - level) // RANGE).astype(np.int32)})
                 yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32())], names=["score"])
 
-    counted = scored.select("kind", "level").mapInArrow(count, "score int, kind int, level int, n long").groupBy("score", "kind", "level").agg(F.sum("n").alias("n"))
+    counted = scored.select("kind", "value").mapInArrow(count, "score int, kind int, level int, n long").groupBy("score", "kind", "level").agg(F.sum("n").alias("n"))
     counted.repartition("score").sortWithinPartitions("score").mapInArrow(store, "score int").agg(F.count("*")).collect()
 
 
+def _shares(scored: DataFrame, n: int, kinds: list[str], sizes: dict[str, int], folder: str) -> DataFrame:
+    """(block, score, row, share): the rank of each score among all of its kind, as a share of the kind's assets; a row per block and range."""
+    total = np.array([sizes[k] for k in kinds], np.float64)
+
+    def part_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges = np.zeros((3 * n, LEVELS + 1), np.int32)
+        for s in range(3 * n):
+            if data := get(f"{folder}/{s}"):
+                ranges[s] = np.frombuffer(data["range"], np.int32)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                asset = part.column(0).to_numpy() * BLOCK + part.column(1).to_numpy()
+                kind = np.searchsorted(kinds, np.array(part.column(2).to_pylist(), object).astype(str)).astype(np.int32)
+                value = _values(part.column(3), n)
+                level = _levels(value, n)
+                s, row = np.nonzero(level.T >= 0)
+                if not len(s):
+                    continue
+                within = ranges[s, level[row, s]]
+                order = np.lexsort((within, s))
+                s, row, within = s[order], row[order], within[order]
+                start = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (within[1:] != within[:-1])]))
+                offsets = pa.array(np.append(start, len(s)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (asset[row], kind[row], value[row, s])]
+                yield pa.RecordBatch.from_arrays([pa.array((s[start].astype(np.int64) << 32) + within[start]), *lists], names=["key", "asset", "kind", "value"])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "key"):
+            s = part.column("key")[0].as_py() >> 32
+            above = np.frombuffer(get(f"{folder}/{s}")["above"], np.int64).reshape(len(kinds), -1)
+            asset, kind, value = (part.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("asset", "kind", "value"))
+            order = np.lexsort((-value, kind))
+            asset, kind, value = asset[order], kind[order], value[order]
+            first = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (value[1:] != value[:-1])]))
+            size = np.diff(np.append(first, len(kind)))
+            begins = np.searchsorted(kind, np.arange(len(kinds)))
+            # above the range of levels: what is above the level of its best score
+            x = value[np.minimum(begins, len(value) - 1)].astype(np.float64)
+            over = above[np.arange(len(kinds)), _level(x / (x + 2.0) if s >= 2 * n else x)]
+            here = kind[first]
+            share = np.repeat((over[here] + first - begins[here] + (size + 1) / 2) / total[here], size)
+            order = np.argsort(asset, kind="stable")
+            block, row, share = asset[order] // BLOCK, (asset[order] % BLOCK).astype(np.int32), share[order]
+            start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            offsets = pa.array(np.append(start, len(block)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block[start]), pa.array(np.full(len(start), s, np.int32)), pa.ListArray.from_arrays(offsets, pa.array(row)), pa.ListArray.from_arrays(offsets, pa.array(share))], names=["block", "score", "rows", "shares"]
+            )
+
+    parted = scored.select("block", "row", "kind", "value").mapInArrow(part_scores, "key long, asset array<long>, kind array<int>, value array<float>")
+    return parted.repartition("key").sortWithinPartitions("key").mapInArrow(rank, "block long, score int, rows array<int>, shares array<double>")
+
+
 def weighted_median(share: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(weighted lower median, weighted mean) over axis 1, NaN left out; NaN where nothing is left."""
     there = ~np.isnan(share)
@@ -253,38 +330,39 @@ def ranking(queries: DataFrame, assets: DataFrame, vectors: DataFrame, weights:
 
 def _ranked(rows: list, assets: DataFrame, vectors: DataFrame, weights: np.ndarray) -> DataFrame:
     spark, n = assets.sparkSession, len(rows)
-    schema = "query_id int, hash string, kind string, median_rank float, mean_rank float, scores int"
+    schema = "query_id int, hash string, kind string, median_rank double, mean_rank double, scores int"
     if not n:
         return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("position"), "hash", "kind", "median_rank", "mean_rank", "scores")
-    scored = written(levels(assets, vectors, rows), "levels")
-    kinds = sorted(r["kind"] for r in scored.select("kind").distinct().collect())
-    total = scored.count()
+    scored = written(scores(assets, vectors, rows), "scores")
+    sizes = {r["kind"]: r["n"] for r in scored.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    kinds, total = sorted(sizes), sum(sizes.values())
     folder = scratch(spark, "ranks")
     _tables(scored, n, kinds, folder)
     ids = np.array([int(r["id"]) for r in rows], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.full((3 * n, len(kinds), LEVELS + 1), np.nan, np.float32)
-        for s in range(3 * n):
-            if data := get(f"{folder}/{s}"):
-                table[s] = np.frombuffer(data["rank"], np.float32).reshape(len(kinds), -1)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                m = part.num_rows
-                kind = np.searchsorted(kinds, np.array(part.column(1).to_pylist(), object).astype(str))
-                level = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(m, 3 * n).astype(np.int64)
-                share = table[np.arange(3 * n)[None, :], kind[:, None], level]
-                share[level < 0] = np.nan
-                share = share.reshape(m, 3, n)
-                median, mean = weighted_median(share, weights)
-                row, q = np.nonzero(~np.isnan(median))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[q]), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(median[row, q].astype(np.float32)), pa.array(mean[row, q].astype(np.float32)), pa.array((~np.isnan(share)).sum(1)[row, q].astype(np.int32))],
-                    names=["query_id", "hash", "kind", "median_rank", "mean_rank", "scores"],
-                )
-
-    ranked = scored.mapInArrow(run, schema)
+        for part in pieces(batches, "block"):
+            head = part.filter(pa.compute.is_null(part.column("score")))
+            place, hashes, kind = head.column("row").to_numpy(), head.column("hash").combine_chunks(), head.column("kind").combine_chunks()
+            body = part.filter(pa.compute.is_valid(part.column("score")))
+            share = np.full((BLOCK, 3 * n), np.nan)
+            if body.num_rows:
+                lists = body.column("rows").combine_chunks()
+                score = np.repeat(body.column("score").to_numpy(), np.diff(lists.offsets.to_numpy()))
+                share[lists.flatten().to_numpy(), score] = body.column("shares").combine_chunks().flatten().to_numpy()
+            share = share[place].reshape(len(place), 3, n)
+            median, mean = weighted_median(share, weights)
+            row, q = np.nonzero(~np.isnan(median))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[q]), hashes.take(pa.array(row)), kind.take(pa.array(row)), pa.array(median[row, q]), pa.array(mean[row, q]), pa.array((~np.isnan(share)).sum(1)[row, q].astype(np.int32))],
+                names=["query_id", "hash", "kind", "median_rank", "mean_rank", "scores"],
+            )
+
+    none = {"score": "int", "rows": "array<int>", "shares": "array<double>"}
+    heads = scored.select("block", "row", "hash", "kind").withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+    shares = _shares(scored, n, kinds, sizes, folder).withColumns({c: F.lit(None).cast(t) for c, t in {"row": "int", "hash": "string", "kind": "string"}.items()})
+    met = heads.unionByName(shares).repartition("block").sortWithinPartitions("block")
+    ranked = written(met.mapInArrow(run, schema), "ranked")
     buckets = max(1, total // TOGETHER)
     ranked = ranked.withColumn("bucket", F.least(F.floor(F.col("median_rank") * buckets), F.lit(buckets)).cast("int"))
     placed = ranked.withColumn("inner", F.row_number().over(W.partitionBy("query_id", "bucket").orderBy("median_rank", "mean_rank", "hash")))

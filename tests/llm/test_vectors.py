@@ -182,3 +182,30 @@ def test_ranking(spark, table):
             assert float(got[got.hash == h].median_rank.iloc[0]) == pytest.approx(share, abs=2e-2)
     assert ranking(queries.limit(0), assets, df).count() == 0
     assert ranking(queries, assets.limit(0), df).count() == 0
+
+
+@pytest.mark.parametrize("apart", [1_000_000, 7])
+def test_ranking_tells_close_scores_apart(spark, monkeypatch, apart):
+    import quarry.llm.ranking as module
+
+    monkeypatch.setattr(module, "RANGE", apart, raising=False)
+    rng = np.random.default_rng(5)
+    q = np.zeros(96, np.float32)
+    q[0] = 1
+    # cosines about 1e-5 apart, some 24 of them on one level
+    cosine = 0.3 + 1e-5 * rng.permutation(600)
+    rows = []
+    for i, c in enumerate(cosine):
+        v = np.zeros(96)
+        v[0], v[1 + i % 95] = c, np.sqrt(1 - c * c)
+        rows.append((i, f"h{i:03d}", "clip", [float(x) for x in v]))
+    rows += [(700 + i, f"t{i}", "clip", [2 * x for x in rows[9][3]]) for i in range(3)]
+    vectors = spark.createDataFrame(rows, "id long, hash string, space string, vec array<float>").repartition(5)
+    assets = spark.createDataFrame([(r[1], "image" if r[0] % 2 else "pdf", None, None) for r in rows], "hash string, kind string, caption string, body string")
+    queries = spark.createDataFrame([(1, None, q.tolist(), None)], "id int, query string, clip_vec array<float>, text_vec array<float>")
+    got = {r["hash"]: r["median_rank"] for r in module.ranking(queries, assets, vectors).collect()}
+    kind = np.array([r[0] % 2 for r in rows])
+    score = np.append(cosine, [cosine[9]] * 3)
+    for (_, h, _, _), k, x in zip(rows, kind, score, strict=True):
+        same = score[kind == k]
+        assert got[h] == pytest.approx(((same > x).sum() + ((same == x).sum() + 1) / 2) / len(same), abs=1e-9)
