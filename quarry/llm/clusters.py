@@ -3,7 +3,8 @@
 Records are vectorised with hashed weighted features: the unit vector, and the record's tags hashed into a few more dimensions at a low
 weight. Distributed k-means, seeded by parallel oversampling, cuts the records into cells; a cell that stays too full gets more
 centroids from its own rows. Every record goes to its nearest cells, where chains of similar records are followed exactly; cells are
-joined through the records they share by label propagation over the few links between cells' groups.
+joined through the records they share by label propagation over the few links between cells' groups. A pass over the pairs that share no
+cell, bounded by their angles to the centres, then finds every link that is left, so the groups are exact.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import spread, written
+from quarry.session import scratch, spread, written
 
-from .vectorspace import LENGTHS, matrix, nearest, pieces
+from .vectorspace import LENGTHS, get, matrix, nearest, pieces, put
 
 #: A step of a chain has at least this cosine; a group at least so many records.
 STEP, LEAST = 0.75, 5
@@ -29,6 +30,8 @@ TAG_DIMS, TAG_WEIGHT = 32, 0.1
 SEED_ROUNDS, MEAN_ROUNDS, CELLS, FULL, FILL = 4, 2, 3, 4096, 1024
 #: A record whose nearest centroid is under this cosine lies between cells, and is sent to so many.
 LOOSE, LOOSE_CELLS = 0.7, 10
+#: In the exact pass a row of at least this cosine to its centre is compared by its angles; rows taken together of the others.
+TIGHT, LOOSE_ROWS = 0.8, 4096
 TYPICAL, TAGS = 5, 5
 VEC = LENGTHS["clip"]
 
@@ -226,6 +229,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _centres(centroids: np.ndarray) -> np.ndarray:
+    """The centroids without their tags, at length one."""
+    c = centroids[:, :VEC]
+    return (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+
 class Groups:
     """Groups of the usable clip rows.
 
@@ -258,11 +267,13 @@ class Groups:
             self.sizes = self.spark.createDataFrame([], "root long, size long")
             return
         cells = Cells(reps, total)
-        labelled = written(self._labelled(reps, cells.centroids, step), "cells")
+        folder = scratch(self.spark, "homes")
+        labelled = written(self._labelled(reps, cells.centroids, step, folder), "cells")
         own = labelled.groupBy("id").agg(F.min("label").alias("low"))
         links = labelled.join(own, "id").where("label <> low").select(F.col("low").alias("a"), F.col("label").alias("b")).distinct()
         roots = components(links)
         single = own.join(roots, F.col("low") == F.col("node"), "left").select("id", F.coalesce("root", "low").alias("root"))
+        single = self._across(labelled, written(single, "inside"), cells.centroids, step, folder)
         followers = keyed(marked).join(twins, ["k1", "k2"]).where("id <> rep").select("id", F.col("rep"))
         followers = followers.join(single.select(F.col("id").alias("rep"), "root"), "rep").select("id", "root")
         every = single.unionByName(followers)
@@ -270,10 +281,11 @@ class Groups:
         self.members = written(every.join(self.sizes, "root").select("id", "root"), "members")
 
     @staticmethod
-    def _labelled(reps: DataFrame, centroids: np.ndarray, step: float) -> DataFrame:
-        """(id, label) for each cell of each record: label is the least id of its chain in the cell."""
-        sent = reps.sparkSession.sparkContext.broadcast(centroids)
-        width, wide = min(CELLS, len(centroids)), min(LOOSE_CELLS, len(centroids))
+    def _labelled(reps: DataFrame, centroids: np.ndarray, step: float, folder: str) -> DataFrame:
+        """(id, label, home, cosine) for each cell of each record: label is the least id of its chain in the cell; home is the cell if it is
+        the record's nearest one, else null, and cosine that to its centre. Ids and vectors of the records at home are left in files."""
+        sent, centre = reps.sparkSession.sparkContext.broadcast(centroids), reps.sparkSession.sparkContext.broadcast(_centres(centroids))
+        width, wide, tight = min(CELLS, len(centroids)), min(LOOSE_CELLS, len(centroids)), TIGHT
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -288,9 +300,10 @@ class Groups:
                         if not len(rows):
                             continue
                         near = np.argpartition(-s[rows], n - 1, axis=1)[:, :n]
+                        home = np.arange(n) == np.take_along_axis(s[rows], near, 1).argmax(1)[:, None]
                         flat = np.repeat(vec[rows], n, axis=0)
                         offsets = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * VEC)
-                        yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), pa.array(np.repeat(ids[rows], n)), pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], names=["cell", "id", "vec"])
+                        yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), pa.array(np.repeat(ids[rows], n)), pa.array(home.ravel()), pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], names=["cell", "id", "home", "vec"])
 
         def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for cell in pieces(batches, "cell"):
@@ -298,10 +311,97 @@ class Groups:
                 column = cell.column("vec").combine_chunks()
                 x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
                 order = np.argsort(ids, kind="stable")
-                label = ids[order][chains(x[order], step)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[order]), pa.array(label)], names=["id", "label"])
+                ids, x, home = ids[order], x[order], cell.column("home").to_numpy()[order]
+                number = cell.column("cell")[0].as_py()
+                cosine = x @ centre.value[number]
+                for name, mine in (("near", home & (cosine >= tight)), ("far", home & (cosine < tight))):
+                    if mine.any():
+                        put(f"{folder}/{number}-{name}", {"ids": ids[mine], "vecs": x[mine]})
+                label = ids[chains(x, step)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label), pa.array(np.full(len(ids), number, np.int32), mask=~home), pa.array(cosine)], names=["id", "label", "home", "cosine"])
+
+        sorted_ = reps.mapInArrow(assign, "cell int, id long, home boolean, vec array<float>").repartition("cell").sortWithinPartitions("cell")
+        return sorted_.mapInArrow(follow, "id long, label long, home int, cosine float")
+
+    def _across(self, labelled: DataFrame, single: DataFrame, centroids: np.ndarray, step: float, folder: str) -> DataFrame:
+        """(id, root) with the links between rows that share no cell. Nothing is left out but what the angle forbids: two rows within
+        acos(step) of each other differ by no more than that in their angle to any centre. Rows near their own centre (cosine TIGHT) meet
+        only rows within that of the cell's greatest angle; the others are taken together from several cells and meet each other in full."""
+        spark, near, tight_at = self.spark, len(centroids), TIGHT
+        sent = spark.sparkContext.broadcast(_centres(centroids))
+        homes = labelled.where("home is not null")
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in pieces(batches, "home"):
+                ids = part.column("id").to_numpy()
+                order = np.argsort(ids)
+                put(f"{folder}/{part.column('home')[0].as_py()}-root", {"ids": ids[order], "roots": part.column("root").to_numpy()[order]})
+                yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64())], names=["n"])
+
+        homes.select("id", "home").join(single, "id").select("home", "id", "root").repartition("home").sortWithinPartitions("home").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+        told = homes.groupBy("home", (F.col("cosine") >= F.lit(tight_at).cast("float")).alias("near")).agg(F.min("cosine").alias("least"), F.count("*").alias("n")).orderBy("home").collect()
+        tight = np.array([r["home"] for r in told if r["near"]], np.int64)
+        away = [(r["home"], r["n"]) for r in told if not r["near"]]
+        bundle = (np.cumsum([n for _, n in away]) - 1) // LOOSE_ROWS if away else np.zeros(0, np.int64)
+        loose = {near + int(b): [away[i][0] for i in np.flatnonzero(bundle == b)] for b in np.unique(bundle)}
+        # cosine to the centre below which no row reaches one of the cell; the angles a little wider, as single precision may have them less
+        angle = np.arccos(np.clip([r["least"] for r in told if r["near"]], -1, 1)) + 1e-3
+        reach = np.cos(np.minimum(np.pi, angle + np.arccos(step)))
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            opened: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+            def rows(file: int) -> tuple[np.ndarray, np.ndarray]:
+                if file not in opened:
+                    if len(opened) >= 64:
+                        opened.pop(next(iter(opened)))
+                    roots, vecs = [], []
+                    for cell in loose[file] if file >= near else [file]:
+                        data, known = get(f"{folder}/{cell}-{'far' if file >= near else 'near'}"), get(f"{folder}/{cell}-root")
+                        at = np.searchsorted(np.frombuffer(known["ids"], np.int64), np.frombuffer(data["ids"], np.int64))
+                        roots.append(np.frombuffer(known["roots"], np.int64)[at])
+                        vecs.append(np.frombuffer(data["vecs"], np.float32).reshape(-1, VEC))
+                    opened[file] = np.concatenate(roots), np.concatenate(vecs)
+                return opened[file]
 
-        return reps.mapInArrow(assign, "cell int, id long, vec array<float>").repartition("cell").sortWithinPartitions("cell").mapInArrow(follow, "id long, label long")
+            for batch in batches:
+                for file in batch.column(0).to_pylist():
+                    root, x = rows(file)
+                    before = tight[tight < file]
+                    may = x @ sent.value[before].T >= reach[: len(before)]
+                    links = set()
+                    todo = [(int(before[j]), np.flatnonzero(may[:, j])) for j in np.flatnonzero(may.any(0)).tolist()]
+                    todo += [(f, np.arange(len(x))) for f in loose if f <= file]
+                    if file < near:
+                        todo.append((file, np.arange(len(x))))
+                    for f, mine in todo:
+                        other, y = rows(f)
+                        if file < near and f != file:
+                            back = np.flatnonzero(y @ sent.value[file] >= reach[len(before)])
+                            other, y = other[back], y[back]
+                        if not len(y):
+                            continue
+                        for a in range(0, len(mine), 1024):
+                            part = mine[a : a + 1024]
+                            for b in range(0, len(y), 4096):
+                                hit = x[part] @ y[b : b + 4096].T >= step
+                                if hit.any():
+                                    hit &= root[part][:, None] != other[b : b + 4096]
+                                    i, k = np.nonzero(hit)
+                                    u, v = root[part[i]], other[b + k]
+                                    links |= set(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), strict=True))
+                    if links:
+                        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links]), pa.array([b for _, b in links])], names=["a", "b"])
+
+        # the long ones, which meet all others, are dealt out first
+        order = [*sorted(loose, reverse=True), *reversed(tight.tolist())]
+        parts = min(len(order), 8 * spark.sparkContext.defaultParallelism)
+        jobs = spark.createDataFrame([(i % parts, f) for i, f in enumerate(order)], "part int, file long").repartitionByRange(parts, "part").select("file")
+        links = written(jobs.mapInArrow(compare, "a long, b long").distinct(), "across")
+        if not links.limit(1).count():
+            return single
+        roots = components(links).select("node", F.col("root").alias("joined"))
+        return single.join(roots, F.col("root") == F.col("node"), "left").select("id", F.coalesce("joined", "root").alias("root"))
 
     def pairs(self, rows_a_bucket: int = 50_000) -> DataFrame:
         """(id_a, id_b): each member with the member of the same group that has the next greater id. Groups are cut into ranges of ids,

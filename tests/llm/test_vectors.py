@@ -209,3 +209,24 @@ def test_ranking_tells_close_scores_apart(spark, monkeypatch, apart):
     for (_, h, _, _), k, x in zip(rows, kind, score, strict=True):
         same = score[kind == k]
         assert got[h] == pytest.approx(((same > x).sum() + ((same == x).sum() + 1) / 2) / len(same), abs=1e-9)
+
+
+@pytest.mark.parametrize("tight", [0.8, 0.99, 0.0])
+def test_links_between_rows_that_share_no_cell(spark, monkeypatch, tight):
+    import quarry.llm.clusters as module
+
+    for name, value in (("CELLS", 1), ("LOOSE_CELLS", 1), ("TIGHT", tight), ("LOOSE_ROWS", 50)):
+        monkeypatch.setattr(module, name, value, raising=False)
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(6):  # long chains by small steps, and rows of no group
+        at = rng.normal(size=96)
+        for _ in range(60):
+            at /= np.linalg.norm(at)
+            rows.append(at)
+            at = at + 0.6 * rng.normal(size=96) / np.sqrt(96)
+    rows += list(rng.normal(size=(60, 96)))
+    data = [(i, f"h{i}", "clip", [float(v) for v in x]) for i, x in enumerate(rows)]
+    ids, x = usable(data, "clip")
+    want = {p for g in brute_groups(x) if len(g) >= 5 for p in zip(ids[g].tolist(), ids[g].tolist()[1:], strict=False)}
+    assert {tuple(r) for r in module.Groups(spark.createDataFrame(data, "id long, hash string, space string, vec array<float>")).pairs().collect()} == want and len(want) > 300
