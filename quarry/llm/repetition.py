@@ -205,10 +205,12 @@ def _measured(docs: DataFrame, key: str | None, text: str, model: Trees | None =
 def repetition(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """(key, words, repeated_share, score, selected, repeated) of every document.
 
-    ``selected``: the trees' score reaches their cut; ``repeated``: selected and at least SHARE of the words are repeated. Null, empty
-    and wordless texts have 0 words and share 0. A repeated key is measured as often as it occurs.
+    ``selected``: the trees' score reaches their cut, or the repeated starts are enough to cover SHARE of the words, so that no repeated
+    document is left out, whatever the sample held; ``repeated``: selected and at least SHARE of the words are repeated. Null, empty and
+    wordless texts have 0 words and share 0. A repeated key is measured as often as it occurs.
     """
     model = train(docs, key, text, sample)
     m = _measured(spread(docs.select(key, text)), key, text, model)
-    selected = F.col("score") >= F.lit(model.cut)
+    # a repeated start covers STRETCH words at most
+    selected = (F.col("score") >= F.lit(model.cut)) | (F.col("repeat_8") * STRETCH >= SHARE - 1e-9)
     return m.select(key, F.col("words").cast("long").alias("words"), "repeated_share", "score", selected.alias("selected"), (selected & (F.col("repeated_share") >= SHARE)).alias("repeated"))

@@ -125,6 +125,21 @@ def test_repetition_equals_brute_force(spark):
     assert repetition(rows.limit(0)).count() == 0
 
 
+def test_repetition_unlike_the_sample_is_found(spark, monkeypatch):
+    import quarry.llm.repetition as module
+
+    # trees that refuse everything: the selection must not lose a document for it
+    monkeypatch.setattr(module, "train", lambda *_: module.Trees(np.zeros((1, 7), np.int64), np.full((1, 7), np.inf), np.zeros((1, 8)), -5.0, 0.0))
+    letters = "abcdefghij"
+    fresh = iter("".join(letters[int(d)] for d in str(n)) for n in range(10**6))
+    sentence = "this one sentence of eight words comes again"
+    scattered = " ".join(" ".join(next(fresh) for _ in range(8)) + " " + sentence for _ in range(12))
+    once = " ".join(next(fresh) for _ in range(200))
+    rows = spark.createDataFrame([(1, scattered), (2, once), (3, None)], "doc_id long, text string")
+    assert brute(scattered)[1] >= 0.3
+    assert [r["doc_id"] for r in module.repetition(rows).where("repeated").collect()] == [1]
+
+
 def test_trees_are_monotone():
     rng = np.random.default_rng(1)
     x = rng.random((800, len(FEATURES)))
