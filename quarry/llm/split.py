@@ -98,8 +98,8 @@ def strengths(text: str, paragraphs: set[int]) -> np.ndarray:
 def pieces(text: str, paragraphs: set[int], limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST_OVERLAP) -> list[tuple[int, int, int]]:
     """(start, end, strength of the cut at the end) of each piece; the first starts at 0, the last ends with the text.
 
-    Pieces are at most ``limit`` long; a piece ends in the later half of what is allowed. Consecutive pieces share ``least`` to
-    ``overlap`` characters. A text within the limit is one piece, an empty text none.
+    Pieces are at most ``limit`` long; a piece ends in the later half of what is allowed, or before it where only there is a boundary
+    between words. Consecutive pieces share ``least`` to ``overlap`` characters. A text within the limit is one piece, an empty text none.
     """
     if not 0 <= least <= overlap < limit // 2:
         raise ValueError("need 0 <= least <= overlap < limit // 2")
@@ -115,6 +115,9 @@ def pieces(text: str, paragraphs: set[int], limit: int = LIMIT, overlap: int = O
     out, at = [], 0
     while n - at > limit:
         end = ends.query(at + (limit + 1) // 2, at + limit)
+        if strength[end] < WORD:  # the next piece still has to begin behind this one's begin
+            early = ends.query(at + overlap + 1, at + (limit + 1) // 2)
+            end = early if strength[early] >= WORD else end
         out.append((at, end, int(strength[end])))
         at = starts.query(end - overlap, end - least)
         if text[at] == " ":

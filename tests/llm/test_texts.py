@@ -56,6 +56,14 @@ def test_pieces_prefer_the_strongest_boundary():
         pieces("a", set(), 100, 60)
 
 
+def test_pieces_end_between_words_before_a_long_run():
+    text = "word " * 40 + "f" * 1400 + " end" * 300
+    cuts = pieces(text, set())
+    # the run itself has to be cut; what comes before it isn't cut inside
+    assert (cuts[0][0], cuts[0][1]) == (0, 199) and cuts[0][2] >= 2
+    assert all(b < d and a < c and 40 <= b - c <= 90 for (a, b, _), (c, d, _) in zip(cuts, cuts[1:], strict=False)) and cuts[-1][1] == len(text)
+
+
 def test_split_pages(spark):
     rows = spark.createDataFrame([("a", "\f" + "word. " * 300 + "\f", "x"), ("a", "\f" + "word. " * 300 + "\f", "y"), ("b", None, "x"), ("c", "", "x"), ("d", " \n\f \t", "x"), (None, "short", "x")], "hash string, body string, ref string")
     cut = split_pages(rows)
