@@ -317,9 +317,10 @@ class Scans:
         return rows.mapInArrow(run, f"`{k}` {kind}, paragraphs int, text string, fixed int")
 
     def labels(self, vectors: DataFrame) -> DataFrame:
-        """(id, label): the labels of the vectors of these bodies, with the same words put right; a null label stays null."""
+        """(id, label): the labels of the vectors of these bodies, split and misread words put right; a null label stays null."""
         known = self.fixes.select(F.col(self.key).alias("_k"), F.map_from_entries(F.filter("fixes", lambda f: f["fix"].isNotNull())).alias("fixes"))
-        rows = vectors.where(F.col("source").isin("page", "pdf_text", "pdf_summary")).select("id", "hash", "label").join(known, F.col("hash") == F.col("_k")).select("id", "label", "fixes")
+        rows = vectors.where(F.col("source").isin("page", "pdf_text", "pdf_summary")).select("id", "hash", "label").join(self.bodies.select(F.col(self.key).alias("_b")), F.col("hash") == F.col("_b"), "left_semi")
+        rows = rows.join(known, F.col("hash") == F.col("_k"), "left").select("id", "label", "fixes")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

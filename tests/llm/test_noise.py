@@ -60,6 +60,12 @@ def test_labels(spark, noisy):
     assert {r["id"]: r["label"] for r in Scans(noisy).labels(vectors).collect()} == {1: "a kitchen and a garden", 2: None}
 
 
+def test_labels_of_bodies_without_misread_words(spark):
+    rows = spark.createDataFrame([("clean", "pdf", "A quiet garden is here."), ("clean", "pdf", "A quiet garden is here."), ("blank", "pdf", " "), ("image", "image", "A quiet garden.")], "hash string, kind string, body string")
+    vectors = spark.createDataFrame([(1, "clean", "page", "a gar- den"), (2, "clean", "pdf_summary", None), (3, "clean", "caption", "x"), (4, "blank", "page", "x"), (5, "image", "page", "x")], "id long, hash string, source string, label string")
+    assert sorted((r["id"], r["label"]) for r in Scans(rows).labels(vectors).collect()) == [(1, "a garden"), (2, None)]
+
+
 def test_no_bodies(spark, noisy):
     scans = Scans(noisy.limit(0))
     assert scans.defects().count() == 0 and scans.texts().count() == 0
