@@ -39,6 +39,8 @@ BLOCK, SPARSE, SPARSE_BLOCK = 512, 0.6, 64
 #: Lists nearest to a row that are always opened for it; lists a row votes for; rows a block's lists hold in all, filled up by votes;
 #: candidates ranked exactly; queries up to which tables are added up.
 SURE, VOTES, ROWS, RERANK, FEW = 8, 64, 24_576, 64, 8
+#: Entries of a space from which the rows of a block's lists grow.
+GROWS = 131_072
 
 
 @dataclass
@@ -47,13 +49,18 @@ class Space:
     folder: str
     centroids: np.ndarray
     books: np.ndarray  # (sub-quantiser, code, dimension)
-    rows: np.ndarray  # of each list, as the sample has it
+    rows: np.ndarray  # entries of each list, copies in one file as one: as the sample has it, after build as counted
     cohesion: np.ndarray  # mean cosine of a list's rows to the centroid
     blocks: list[int]  # of each file
 
     def names(self, file: int) -> list[str]:
         return [f"{self.folder}/{self.name}/{file}-{b}" for b in range(self.blocks[file])]
 
+    @property
+    def room(self) -> int:
+        """Entries a block's lists hold in all: ROWS, and beyond GROWS entries more by the root of their number."""
+        return round(ROWS * max(1.0, math.sqrt(self.rows.sum() / GROWS)))
+
     def encode(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes of the residual's direction, the residual's length) of each row."""
         rest, length = _directions(x - self.centroids[at])
@@ -86,8 +93,15 @@ def _directions(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(vectors: DataFrame, space: str, total: int, folder: str) -> Space:
     """Centroids and codebooks of one space, on the driver, from the bounded sample; and from its spread, which files need blocks."""
     x = sampled(vectors, space, SAMPLE, total)
-    lists = max(1, min(round(total / LIST_ROWS), len(x) // LIST_SAMPLE))
+    every = len(x)
+    # copies count once: a hot group gets one list, not one for each of its rows drawn as a seed
+    first, copies = np.unique(np.round(x, 5), axis=0, return_index=True, return_counts=True)[1:] if every else (np.zeros(0, int), np.zeros(0, int))
+    order = np.argsort(first)
+    x, copies = x[first[order]], copies[order]
+    lists = max(1, min(round(total * len(x) / max(1, every) / LIST_ROWS), len(x) // LIST_SAMPLE))
     c = spherical_kmeans(x, lists, 3) if len(x) else np.zeros((1, LENGTHS[space]), np.float32)
+    if len(x):  # no empty lists, which would fill a query's nearest ones
+        c = c[np.bincount(nearest(x, c)[0], minlength=len(c)) > 0]
     files = -(-len(c) // PACK)
     if files > 1:  # similar lists next to each other
         c = c[np.argsort(nearest(c, spherical_kmeans(c, files, 3))[0], kind="stable")]
@@ -96,10 +110,11 @@ def fit(vectors: DataFrame, space: str, total: int, folder: str) -> Space:
     books = np.stack([codebook_kmeans(rest[:, m], 256, 6) for m in range(SUBSPACES)]).astype(np.float32)
     count = np.bincount(at, minlength=len(c))
     cohesion = np.bincount(at, weights=score, minlength=len(c)) / np.maximum(count, 1)
-    rows = count / max(1, len(x)) * total
+    scale = total / max(1, every)
+    whole = np.bincount(at, weights=copies, minlength=len(c)) * scale
     usual = max(256.0, total / files)
-    blocks = [max(1, math.ceil(rows[f * PACK : (f + 1) * PACK].sum() / (4 * usual))) for f in range(files)]
-    return Space(space, folder, c, books, rows, cohesion, blocks)
+    blocks = [max(1, math.ceil(whole[f * PACK : (f + 1) * PACK].sum() / (4 * usual))) for f in range(files)]
+    return Space(space, folder, c, books, count * scale, cohesion, blocks)
 
 
 def _assign(vectors: DataFrame, spaces: dict[str, Space], id_column: str, vec: str) -> DataFrame:
@@ -157,10 +172,15 @@ def build(vectors: DataFrame, id_column: str = "id", vec: str = "vec") -> dict[s
             members, size = np.argsort(group, kind="stable"), np.bincount(group, minlength=len(first))
             codes, length = index.encode(x[first], at[first])
             put(f"{index.folder}/{space}/{file}-{block}", {"ids": ids[members], "sizes": size.astype(np.int64), "lists": at[first].astype(np.int64), "vecs": x[first], "codes": codes, "lengths": length})
-            yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64())], names=["n"])
+            own, entries = np.unique(at[first], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([space] * len(own)), pa.array(own.astype(np.int32)), pa.array(entries.astype(np.int64))], names=["space", "list", "n"])
 
     keyed = rows.select(F.format_string('["%s", %d, %d]', "space", "file", "block").alias("key"), "list", "id", "vec")
-    keyed.repartition("key").sortWithinPartitions("key").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    told = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(write, "space string, list int, n long").groupBy("space", "list").agg(F.sum("n").alias("n")).collect()
+    for index in spaces.values():
+        index.rows = np.zeros(len(index.centroids))
+    for r in told:
+        spaces[r["space"]].rows[r["list"]] = r["n"]
     return spaces
 
 
@@ -189,25 +209,35 @@ class _Files:
         return self.open[name]
 
 
+def _fitting(order: np.ndarray, rows: np.ndarray, room: float) -> np.ndarray:
+    """The lists of ``order`` that fit, in turn; one that doesn't is passed over."""
+    taken = [order[:0]]
+    while len(order := order[rows[order] <= room]):
+        n = int(np.searchsorted(np.cumsum(rows[order]), room, side="right"))
+        taken.append(order[:n])
+        room -= rows[order[:n]].sum()
+        order = order[n:]
+    return np.concatenate(taken)
+
+
 def _visited(index: Space, q: np.ndarray) -> np.ndarray:
-    """The lists a block of queries looks into, in order."""
-    sims = q @ index.centroids.T
-    votes = best_columns(sims, min(VOTES, len(index.centroids)))
+    """The lists a block of queries looks into, in order. Empty ones are no lists."""
+    alive, limit = np.flatnonzero(index.rows > 0), index.room
+    sims, rows = q @ index.centroids[alive].T, index.rows[alive]
+    votes = best_columns(sims, min(VOTES, len(alive)))
     value = np.take_along_axis(sims, votes, 1)
     sure = np.take_along_axis(votes, np.argsort(-value, axis=1)[:, :SURE], 1)
     wanted = np.unique(sure)
-    count = np.bincount(votes.ravel(), minlength=len(index.centroids))
+    count = np.bincount(votes.ravel(), minlength=len(alive))
     count[wanted] = 0
     more = np.argsort(-count, kind="stable")
-    more = more[count[more] > 0]
-    room = ROWS - index.rows[wanted].sum()
-    more = more[np.cumsum(index.rows[more]) <= room]
-    if len(index.centroids) > len(wanted) + len(more) and index.rows[wanted].sum() + index.rows[more].sum() < ROWS / 2:
+    more = _fitting(more[count[more] > 0], rows, limit - rows[wanted].sum())
+    if len(alive) > len(wanted) + len(more) and rows[wanted].sum() + rows[more].sum() < limit / 2:
         # few lists were asked for: look around the block's middle as well
-        rest = np.setdiff1d(np.arange(len(index.centroids)), np.concatenate([wanted, more]))
+        rest = np.setdiff1d(np.arange(len(alive)), np.concatenate([wanted, more]))
         rest = rest[np.argsort(-sims[:, rest].mean(0), kind="stable")]
-        more = np.concatenate([more, rest[np.cumsum(index.rows[rest]) <= ROWS / 2 - index.rows[wanted].sum() - index.rows[more].sum()]])
-    return np.sort(np.concatenate([wanted, more]))
+        more = np.concatenate([more, _fitting(rest, rows, limit / 2 - rows[wanted].sum() - rows[more].sum())])
+    return alive[np.sort(np.concatenate([wanted, more]))]
 
 
 def _search(index: Space, name: str, files: _Files, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -219,6 +249,7 @@ def _search(index: Space, name: str, files: _Files, k: int) -> Iterator[tuple[np
     ids, sizes, starts, queries, _, home, _ = own
     loose = index.cohesion[home] < SPARSE
     for rows, step in ((np.flatnonzero(~loose), BLOCK), (np.flatnonzero(loose), SPARSE_BLOCK)):
+        step = max(FEW, step * ROWS // index.room)  # more rows a block, fewer queries: the same memory
         for a in range(0, len(rows), step):
             mine = rows[a : a + step]
             q = queries[mine]

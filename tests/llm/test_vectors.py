@@ -230,3 +230,23 @@ def test_links_between_rows_that_share_no_cell(spark, monkeypatch, tight):
     ids, x = usable(data, "clip")
     want = {p for g in brute_groups(x) if len(g) >= 5 for p in zip(ids[g].tolist(), ids[g].tolist()[1:], strict=False)}
     assert {tuple(r) for r in module.Groups(spark.createDataFrame(data, "id long, hash string, space string, vec array<float>")).pairs().collect()} == want and len(want) > 300
+
+
+def test_copies_take_no_lists_and_no_room(spark):
+    import quarry.llm.neighbours as module
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 96))
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, "clip", [float(v) for v in r]) for i, r in enumerate(x)], "id long, space string, vec array<float>")
+    index = fit(df, "clip", len(x), "/nowhere")
+    assert len(np.unique(np.round(index.centroids, 4), axis=0)) == len(index.centroids) and (index.rows > 0).all() and index.rows.sum() < 1400
+    built = module.build(df)["clip"]
+    assert built.rows.sum() < 1400 and built.rows.max() < 600
+    # a list too full for the room is passed over, those behind it are opened; an empty one isn't
+    rows = np.full(40, 10.0)
+    rows[[8, 30]] = 10 * module.ROWS, 0
+    c = np.eye(96, dtype=np.float32)[:40]
+    space = module.Space("clip", "", c, index.books, rows, np.ones(40), [1, 1])
+    q = np.linspace(1, 0.5, 96, dtype=np.float32)[None, :]
+    assert module._visited(space, q).tolist() == [i for i in range(40) if i not in (8, 30)]
