@@ -212,28 +212,53 @@ def survey(bodies: DataFrame, key: str, body: str) -> DataFrame:
     return bodies.mapInArrow(run, f"`{key}` {kind}, hyphen int, header boolean, pageno boolean, words array<string>")
 
 
+#: Share of all words above which a word counts less as a neighbour.
+SUBSAMPLE = 1e-3
+
+
 @lru_cache(maxsize=1 << 17)
 def hashed(word: str) -> np.ndarray:
     bits = np.unpackbits(np.frombuffer(zlib.crc32(word.encode()).to_bytes(4, "little"), np.uint8))[:DIMS]
     return bits.astype(np.float32) * 2 - 1
 
 
+def _tokens(value: str) -> list[str]:
+    return _WORD.findall(_SPLIT.sub(_joined, value).lower())
+
+
+def subsampled(bodies: DataFrame, body: str) -> dict[str, float]:
+    """The weight of each word that is more than SUBSAMPLE of all the words of all bodies; fewer than 1 / SUBSAMPLE words can be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met: dict[str, int] = {}
+            for value in batch.column(0).to_pylist():
+                for w in _tokens(value):
+                    met[w] = met.get(w, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string()), pa.array(list(met.values()), pa.int64())], names=["word", "n"])
+
+    counted = written(bodies.select(body).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return {r["word"]: float(np.sqrt(SUBSAMPLE * total / r["n"])) for r in counted.where(F.col("n") > SUBSAMPLE * total).collect()}
+
+
 def skipgrams(bodies: DataFrame, body: str) -> DataFrame:
     """(word, v0 ... ): the skip-gram vector of every word, summed over all bodies."""
     columns = [f"v{i}" for i in range(DIMS)]
+    weights = subsampled(bodies, body)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids: dict[str, int] = {}
             tokens: list[int] = []
             for value in batch.column(0).to_pylist():
-                tokens += [ids.setdefault(w, len(ids)) for w in _WORD.findall(_SPLIT.sub(_joined, value).lower())]
+                tokens += [ids.setdefault(w, len(ids)) for w in _tokens(value)]
                 tokens += [-1] * WINDOW
             if not ids:
                 continue
             t = np.array(tokens)
             count = np.bincount(t[t >= 0], minlength=len(ids))
-            weight = np.minimum(1.0, np.sqrt(1e-3 * count.sum() / count)).astype(np.float32)
+            weight = np.array([weights.get(w, 1.0) for w in ids], np.float32)
             base = np.stack([hashed(w) for w in ids]) * weight[:, None]
             base = np.concatenate([base, np.zeros((1, DIMS), np.float32)])
             around = np.zeros((len(t), DIMS), np.float32)

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from quarry.llm.scans import Scans, clean, digit_inside, furniture, hyphens, misread, repaired, skeleton
+from quarry.llm.scans import Scans, clean, digit_inside, furniture, hyphens, misread, repaired, skeleton, skipgrams
 from quarry.llm.truncation import cut_share, ending, fit_lengths, truncated
 
 WORDS = "the modern kitchen opens towards a quiet garden while visitors measure every corridor and describe framed windows behind the station".split()
@@ -66,6 +66,14 @@ def test_labels_of_bodies_without_misread_words(spark):
     assert sorted((r["id"], r["label"]) for r in Scans(rows).labels(vectors).collect()) == [(1, "a garden"), (2, None)]
 
 
+def test_skipgrams_depend_on_no_partitioning(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(sentence(rng) for _ in range(1 + 20 * (i % 2))) + f" rare{'abcdefgh'[i % 8]} the the") for i in range(24)]
+    df = spark.createDataFrame(rows, "id long, body string")
+    one, many = ({r["word"]: np.array(r[1:]) for r in skipgrams(df.repartition(k, "id"), "body").collect()} for k in (1, 12))
+    assert one.keys() == many.keys() and all(np.allclose(one[w], many[w], atol=1e-3) for w in one)
+
+
 def test_no_bodies(spark, noisy):
     scans = Scans(noisy.limit(0))
     assert scans.defects().count() == 0 and scans.texts().count() == 0
