@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.scalar import kind_for_ext, spoken_filename
+from quarry.session import numbered
 
 ATTEMPTS = 3
 BODY, ERROR = 20_000, 2_000
@@ -98,12 +98,9 @@ def next_files(diff: DataFrame, hashes: DataFrame, now: float) -> DataFrame:
     )
     known, fresh = out.where("id is not null"), out.where("id is null").drop("id")
     top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    # ids of new paths: offsets of hash-free ranges of the path, so that no single task numbers them all
-    ranged = fresh.repartitionByRange("path").sortWithinPartitions("path").withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id())
-    starts = ranged.groupBy("_part").agg(F.count("*").alias("c"), F.min("_n").alias("_first"))
-    starts = starts.select("_part", "_first", F.coalesce(F.sum("c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    numbered = ranged.join(F.broadcast(starts), "_part").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_before") + F.col("_n") - F.col("_first") + 1)
-    return known.unionByName(numbered.select(*known.columns))
+    # ids of new paths: places in the order of path, without one task that numbers them all
+    given = numbered(fresh, ["path"], "new-paths").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_place") + 1)
+    return known.unionByName(given.select(*known.columns))
 
 
 def new_assets(files: DataFrame, assets: DataFrame) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def get_session(cores: int | str = "*", app: str = "quarry") -> SparkSession:
@@ -60,6 +63,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, by: Sequence[str], name: str, place: str = "_place") -> DataFrame:
+    """``df`` with the place of each row, from 0, in the order of the columns ``by``. Ranges are sorted apart and written once; how many rows
+    lie before each range (one row a range) is read from that table, so both sides of the join see the same ranges whatever the
+    planner does with partitions."""
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    ranged = written(rows, name)
+    part = F.shiftright("_at", 33)
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.col("_at") - F.shiftleft(part, 33)
+    return ranged.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(place, F.col("_before") + inside).drop("_part", "_before", "_at")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give a costly stage over a scan a partition a core when the scan has fewer (one small file); a larger scan stays as it is read.
     Planning a scan runs nothing. A plan with an exchange is left alone: asking for its partitions would run it."""

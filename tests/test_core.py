@@ -21,6 +21,7 @@ from quarry.operators.fusion import fused
 from quarry.operators.keyword import bm25
 from quarry.operators.signals import best_per_asset, best_per_asset_many, zscored
 from quarry.plans.search import HybridSearcher
+from quarry.session import numbered
 from quarry.settings import Settings
 
 META = "struct<width:int,height:int,format:string,duration:double,fps:double,frames_sampled:int,candidates_checked:int,has_speech:boolean,pages:int,title:string,has_text:boolean,ocr_pages:int>"
@@ -306,3 +307,27 @@ def test_settings(tmp_path):
     env.write_text("TOP_K=7\nENABLE_SPEECH=no\n# x\nMAX_FILE_MB=\n")
     got = Settings.load({"TOP_K": "9"}, str(env))
     assert (got.top_k, got.enable_speech, got.max_file_mb) == (9, False, 2048) and got.signature().endswith("|noasr")
+
+
+def test_places_and_new_ids_under_many_partitions(spark):
+    """Every new path gets one id, in order of path, whatever the planner does with 200 partitions."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        n = 600_000
+        seen = spark.range(n).select(F.concat(F.lit("m/"), F.sha2(F.col("id").cast("string"), 256)).alias("path"))
+        listing = seen.select("path", F.lit("m").alias("folder"), F.lit("x.jpg").alias("filename"), F.lit(".jpg").alias("ext"), F.lit(5).cast("long").alias("size"), F.lit(1.0).alias("mtime"), F.lit(1.0).alias("listed_at"))
+        files = spark.createDataFrame([file(41, "m/known", "h")], FILES)
+        got = c.next_files(c.scan_diff(listing, files), seen.select("path", F.lit("h").alias("content_hash")), 2.0)
+        assert got.count() == n + 1
+        fresh = got.where("id > 41").selectExpr("count(*) n", "count(distinct id) ids", "min(id) low", "max(id) high").first()
+        assert tuple(fresh) == (n, n, 42, 41 + n)
+        first = got.where("id in (42, 43, 300000)").orderBy("id").select("path").collect()
+        every = seen.orderBy("path").select("path").toPandas()["path"]
+        assert [r["path"] for r in first] == [every[0], every[1], every[300000 - 42]]
+        placed = numbered(seen.limit(0), ["path"], "none")
+        assert placed.count() == 0 and placed.columns == ["path", "_place"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
