@@ -18,7 +18,7 @@ from quarry.functions.scalar import kind_for_ext
 from quarry.operators import catalogue as c
 from quarry.operators.reports import first_path
 from quarry.operators.versions import FILE, PLACE, VersionedTable
-from quarry.session import written
+from quarry.session import numbered, written
 
 META = "struct<width:int,height:int,format:string,duration:double,fps:double,frames_sampled:int,candidates_checked:int,has_speech:boolean,pages:int,title:string,has_text:boolean,ocr_pages:int>"
 #: The catalogue's tables.
@@ -138,34 +138,39 @@ class Ingest:
         return counters
 
     def _work(self, number: int, queue: DataFrame, total: int, counters: dict) -> None:
-        """Assets in working order, ``batch`` at a time: each batch is started, processed and committed before the next."""
-        from pyspark.sql import Window as W
-
-        # places in the queue from its sort order, by kind and size, without one task for all
-        ranged = queue.repartitionByRange("place", "size", "hash").sortWithinPartitions("place", "size", "hash").withColumns({"_p": F.spark_partition_id(), "_n": F.monotonically_increasing_id()})
-        starts = ranged.groupBy("_p").agg(F.count("*").alias("c"), F.min("_n").alias("_first"))
-        starts = starts.select("_p", "_first", F.coalesce(F.sum("c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-        numbered = written(ranged.join(F.broadcast(starts), "_p").select("hash", "kind", (F.col("_before") + F.col("_n") - F.col("_first")).alias("n")), "numbered")
+        """Assets in working order, ``batch`` at a time: each batch is started, processed and committed before the next. Where the rows of
+        the queue and their old vectors lie is found in one pass over each table; a batch then reads and writes only its own."""
+        assets, vectors = self.table("assets"), self.table("vectors")
+        names = [x.split()[0] for x in _columns(SCHEMAS["assets"])]
+        placed = assets.snapshot(places=True).join(queue.select("hash", F.col("place").alias("_order")), "hash")
         paths = first_path(self.read("files").where("present"))
+        placed = numbered(placed.join(paths, "hash"), ["_order", "size", "hash"], "queue", "n")
+        placed = written(placed.select("n", "path", FILE, PLACE, *names), "numbered")
+        had = vectors.snapshot(places=True).select("hash", FILE, PLACE).join(placed.select("hash", "n"), "hash") if vectors.version() else self.spark.createDataFrame([], f"hash string, {FILE} string, {PLACE} long, n long")
+        had = written(had.repartitionByRange("n").sortWithinPartitions("n"), "had-vectors")
+        free = (self.read("vectors").agg(F.max("id")).first()[0] or 0) + 1
         for begin in range(0, total, self.batch):
             if self.stop.is_set():
                 return
-            part = numbered.where((F.col("n") >= begin) & (F.col("n") < begin + self.batch))
-            own = self.read("assets").join(part.select("hash"), "hash", "left_semi")
-            self._merge("assets", c.started(own, part))
-            results, vectors = self.process(part.join(paths, "hash").select("hash", "kind", "path"))
+            inside = (F.col("n") >= begin) & (F.col("n") < begin + self.batch)
+            part = placed.where(inside)
+            at = assets.commit(c.started(part.select(*names), part), part.select(FILE, PLACE), base=assets.version())
+            results, made = self.process(part.select("hash", "kind", "path"))
             results = written(results.select(*[x.split()[0] for x in _columns(RESULTS)]), "results")
-            started = self.read("assets").join(part.select("hash"), "hash", "left_semi")
             good = results.where("error is null").select("hash")
-            base = self.read("vectors").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-            vectors = written(vectors.join(good, "hash", "left_semi").withColumn("id", base + 1 + F.monotonically_increasing_id()), "vectors")
-            # vectors first: a run that dies between the two commits makes them again, and the merge replaces them
+            made = numbered(made.join(good, "hash", "left_semi"), ["hash"], "vectors", "_n")
+            made = written(made.withColumn("id", F.lit(free) + F.col("_n")).drop("_n"), "vectors")
+            # vectors first: a run that dies between the two commits makes them again, and their places are found anew
             empty = self.spark.createDataFrame([], SCHEMAS["vectors"])
-            self._merge("vectors", empty.unionByName(vectors, allowMissingColumns=True))
-            self._merge("assets", c.finished(started, results, self.signature))
+            vectors.commit(empty.unionByName(made, allowMissingColumns=True), had.where(inside).join(good, "hash", "left_semi").select(FILE, PLACE), base=vectors.version())
+            free += made.count()
+            now = written(assets.added(at), "started")
+            assets.commit(c.finished(now.drop(FILE, PLACE), results, self.signature), now.select(FILE, PLACE), base=at)
             counters["processed"] += good.count()
             counters["failed"] += results.where("error is not null").count()
             self._job(number, processed=counters["processed"], failed=counters["failed"], current=f"{min(begin + self.batch, total)} of {total}")
+        for name in ("assets", "vectors", "jobs"):
+            self.table(name).compact()
 
 
 def _columns(ddl: str) -> list[str]:
