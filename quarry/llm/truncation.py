@@ -1,9 +1,11 @@
 """Problem 3: texts cut off before their end, and how often each source cuts.
 
-Two kinds of evidence meet. *Length*: per source, and over all sources, a log-normal length distribution is fitted by maximum
-likelihood, right-censored at candidate limits; the share of texts at a limit that the fitted density can't explain is the posterior of
-censoring there. *Ending*: leftover marks, closing punctuation, page furniture and recurring closing lines settle most texts; for the
-rest, the rate at which the corpus ends a sentence after the same last two words is turned into a likelihood ratio.
+Two kinds of evidence meet. *Length*: per source, and over the sources that have no limit there, a log-normal length distribution is
+fitted by maximum likelihood, right-censored at candidate limits; the share of texts at a limit that the fitted density can't explain is
+the posterior of censoring there. It is the prior of every text of that length; elsewhere the prior is the rate of cuts off the limits.
+*Ending*: what the text ends in, and how often the corpus ends a sentence after the same last two words. How often cut and whole texts
+have each such ending isn't set but learned: the texts at the limits are cut for their lengths alone, whatever they end in, and show it. A text is cut if prior and
+ending together make it likelier than not.
 """
 
 from __future__ import annotations
@@ -21,12 +23,21 @@ from pyspark.sql import functions as F
 
 from quarry.session import spread, written
 
-#: Texts of one length and source that end openly, from which that length is a candidate limit.
-AT_LIMIT = 3
+#: Texts of one length and source that end openly, from which that length may be a limit, and the chance that one is found where none is.
+AT_LIMIT, CHANCE = 2, 0.01
 #: A last line is a closing line if it ends so many bodies, and this share of all bodies that end in a line of their own.
 CLOSING_BODIES, CLOSING_SHARE = 2, 0.02
-#: How often an ending of each kind is a cut, before its words are looked at; the most that a word nobody else uses may speak for an end.
-PRIOR_OPEN, PRIOR_LINE, PRIOR_LIST, PRIOR_CLOSING, UNKNOWN_ENDS = 0.97, 0.9, 0.05, 0.3, 0.3
+#: The rate of a sentence's end after two words that is taken as usual, and the most that a word nobody else uses may speak for an end.
+BASE, UNKNOWN_ENDS = 0.08, 0.3
+#: Where the learning of endings starts: how much likelier each is in a cut text; the weight of that start, in texts; the rate of cuts off the limits.
+START = {"mark": 300.0, "open": 100.0, "line": 20.0, "list": 0.2, "closing": 0.4, "closes": 0.05, "furniture": 0.001, "stop": 0.001}
+START_TEXTS, START_RATE = 4.0, 0.03
+#: Endings that aren't learned: a mark comes after the cut, so no limit shows it; a stop or page furniture isn't inside a sentence.
+KEPT = ("mark", "stop", "furniture")
+#: Off the limits, cut texts may have an ending so many times as often as at them.
+MORE = 2.0
+#: Steps of the likelihood ratio of the last words, as powers of ten: half steps from -STEPS to STEPS.
+STEPS = 2
 ALL = "*"
 
 _MARK = re.compile(r"(?:�|Ã|[\[(<&](?:[^\])>;\s]{0,4}|cut|more|continued|truncated)?|(?:…|\.\.\.)\s*\[?\+?\]?|\[(?:…|\.\.\.|cut|more|\+|truncated|continued)\]?|\((?:…|\.\.\.|cut|more|continued|truncated)\)?)$", re.I)
@@ -142,18 +153,83 @@ def fit_lengths(length: np.ndarray, n: np.ndarray, censored: np.ndarray, rounds:
     return mu, sigma
 
 
+def _tail(count: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """A bound on the chance that a Poisson number with this mean reaches ``count`` or more."""
+    k = np.maximum(count, mean)
+    return np.exp(k - mean - k * np.log(np.maximum(k, 1e-12) / np.maximum(mean, 1e-12)))
+
+
 def limits(group: pd.DataFrame) -> pd.DataFrame:
-    """From the lengths of one source (length, n, open): its candidate limits with their posterior of censoring."""
+    """From the lengths of one source (length, n, open): its candidate limits with their posterior of censoring. A candidate has more open
+    endings than chance puts at any of the source's lengths, all of them tried."""
     length, n, open_ = (group[c].to_numpy(float) for c in ("length", "n", "open"))
-    candidate = open_ >= AT_LIMIT
-    mu, sigma = fit_lengths(length, n, np.where(candidate, open_, 0.0))
+    first = open_ >= AT_LIMIT
+    mu, sigma = fit_lengths(length, n, np.where(first, open_, 0.0))
     z = (np.log(np.maximum(length, 1.0)) - mu) / sigma
-    expected = n.sum() * np.exp(-z * z / 2) / (np.maximum(length, 1.0) * sigma * math.sqrt(2 * math.pi))
-    posterior = np.clip(1 - np.maximum(expected, 0.02) / np.maximum(n, 1), 0.0, 0.999)
+    expected = np.maximum(n.sum() * np.exp(-z * z / 2) / (np.maximum(length, 1.0) * sigma * math.sqrt(2 * math.pi)), 0.02)
+    share = max(1e-3, float(open_[~first].sum()) / max(1.0, float(n[~first].sum())))
+    candidate = first & (_tail(open_, expected * share) * len(length) < CHANCE)
+    posterior = np.clip(1 - expected / np.maximum(n, 1), 0.0, 0.999)
     out = pd.DataFrame({"source": group["source"].iloc[0], "limit": length.astype("int32"), "posterior": posterior, "mu": mu, "sigma": sigma})
     return out[candidate]
 
 
+def _learned(names: list[str], start: np.ndarray, where: np.ndarray, known: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """(the log likelihood ratio of each ending, cut to whole; the rate of cuts off the limits), from where the learning starts and the rows
+    (ending, limit posterior or nan, texts)."""
+    kept = np.array([w in KEPT for w in names])
+    off = np.isnan(known)
+    if off.all():  # no limit, nothing to learn from
+        return np.log(start), START_RATE
+    there = lambda x: np.bincount(where, x, len(names))
+    share = there(n) / n.sum()
+    begin_cut, begin_whole = START_TEXTS * share * start / (share * start).sum(), START_TEXTS * share
+    unlimited = there(np.where(off, n, 0.0))
+    prior = np.clip(np.nan_to_num(known), 1e-6, 1 - 1e-6)
+    ratio, rate = np.log(start), START_RATE
+    for _ in range(rounds):
+        cut = np.where(off, 0.0, n / (1 + np.exp(-(np.log(prior / (1 - prior)) + ratio[where]))))
+        seen = there(cut)
+        of_cut = (seen + begin_cut) / (seen.sum() + START_TEXTS)
+        # off the limits: the least ratio of texts to cut ones, by their greater half
+        order = np.argsort(unlimited / of_cut)
+        order = order[~kept[order]]
+        half = order[: 1 + int(np.searchsorted(np.cumsum(of_cut[order]), 0.5 * of_cut[order].sum()))]
+        held = unlimited[half].sum() / max(1e-12, of_cut[half].sum())
+        held = (seen[half].sum() * held + START_TEXTS * START_RATE * unlimited.sum()) / (seen[half].sum() + START_TEXTS)
+        explained = MORE * held * of_cut
+        noise = 2 * np.sqrt(unlimited + explained * MORE * held / max(1.0, seen.sum()))
+        whole = np.maximum(0.0, unlimited - explained - noise) + there(np.where(off, 0.0, n - cut))
+        of_whole = (whole + begin_whole) / (whole.sum() + START_TEXTS)
+        before, ratio = ratio, np.where(kept, np.log(start), np.log(of_cut) - np.log(of_whole))
+        rate = float(np.clip(held / max(1.0, unlimited.sum()), 1e-4, 0.5))
+        if np.abs(ratio - before).max() < 1e-4:
+            break
+    return ratio, rate
+
+
+def learn_endings(cells: list[tuple[str, int, float | None, int]]) -> tuple[dict[tuple[str, int], float], float]:
+    """From (ending, step, limit posterior or None off the limits, texts): (the log likelihood ratio of each ending and step, cut to whole; the
+    rate of cuts off the limits). Endings are learned first, then their steps, which start from the
+    ratio of the ending and half that of the step, as words that follow each other aren't independent.
+
+    Cut texts are seen at the limits, whole and cut ones mixed off them. Of the mixture cut texts are given as great a share as it can hold: that
+    of the endings most of which are cut. What an ending has beyond MORE times that share, and two deviations, is whole. KEPT endings
+    keep their start.
+    """
+    if not cells:
+        return {}, START_RATE
+    known = np.array([np.nan if c[2] is None else c[2] for c in cells])
+    n = np.array([c[3] for c in cells], float)
+    whats = sorted({c[0] for c in cells})
+    ratio, _ = _learned(whats, np.array([START[w] for w in whats]), np.array([whats.index(c[0]) for c in cells]), known, n)
+    of = dict(zip(whats, ratio.tolist(), strict=True))
+    names = sorted({(c[0], c[1]) for c in cells})
+    start = np.exp([np.clip(of[w] + math.log(10) * k / 4, -12, 12) for w, k in names])
+    ratio, rate = _learned([w for w, _ in names], start, np.array([names.index((c[0], c[1])) for c in cells]), known, n)
+    return dict(zip(names, ratio.tolist(), strict=True)), rate
+
+
 def first_folders(files: DataFrame) -> DataFrame:
     """(hash, source): the first folder of the path of each asset's file with the smallest id; a file outside any folder has source ''."""
     return (
@@ -171,49 +247,51 @@ def _rate(n: Column, ended: Column, base: float) -> Column:
 def truncated(assets: DataFrame, files: DataFrame, key: str = "hash", body: str = "body") -> DataFrame:
     """(hash, source, length, what, cut_limit, length_posterior, probability, cut) of every asset with a body that isn't blank.
 
-    An asset without a file has source null and is judged with the lengths of all sources. A null or blank body has no row. Repeated
-    hashes are judged each.
+    ``length_posterior`` is the posterior of censoring by the length alone, at a limit of the source or of the other sources together, else the
+    learned rate of cuts off the limits; ``probability`` adds the ending. An asset without a file has source null and is judged like one
+    outside any folder. A null or blank body has no row. Repeated hashes are judged each.
     """
+    spark = assets.sparkSession
     bodies = spread(assets.where(F.col(body).isNotNull() & (F.length(F.trim(F.col(body))) > 0)).select(key, body))
     ends = _endings(bodies, key, body).where("what <> 'blank'")
     sources = first_folders(files).withColumnRenamed("hash", "_hash")
     ends = written(ends.join(sources, F.col(key) == F.col("_hash"), "left").drop("_hash"), "endings")
     open_ = F.col("what").isin("open", "line", "mark").cast("int")
-    per = ends.groupBy(F.coalesce("source", F.lit("")).alias("source"), "length").agg(F.count("*").alias("n"), F.sum(open_).alias("open"))
-    everywhere = per.groupBy("length").agg(F.sum("n").alias("n"), F.sum("open").alias("open")).select(F.lit(ALL).alias("source"), "length", "n", "open")
-    found = per.unionByName(everywhere).groupBy("source").applyInPandas(limits, "source string, limit int, posterior double, mu double, sigma double")
-    own, pooled = found.where(F.col("source") != ALL), found.where(F.col("source") == ALL)
+    folder = F.coalesce("source", F.lit(""))
+    per = ends.groupBy(folder.alias("source"), "length").agg(F.count("*").alias("n"), F.sum(open_).alias("open"))
+    shape = "source string, limit int, posterior double, mu double, sigma double"
+    own = written(per.groupBy("source").applyInPandas(limits, shape), "limits").select(F.col("source").alias("_s"), F.col("limit").alias("_l"), F.col("posterior").alias("own"))
+    others = per.join(own, (F.col("source") == F.col("_s")) & (F.col("length") == F.col("_l")), "left_anti")
+    pooled = others.groupBy("length").agg(F.sum("n").alias("n"), F.sum("open").alias("open")).select(F.lit(ALL).alias("source"), "length", "n", "open")
+    pooled = pooled.groupBy("source").applyInPandas(limits, shape).select(F.col("limit").alias("length"), F.col("posterior").alias("pooled"))
     alone = ends.where("what in ('line', 'closing')")
     closing = alone.groupBy("line").agg(F.count("*").alias("closers")).crossJoin(F.broadcast(alone.agg(F.count("*").alias("lines"))))
     counts = written(finals(bodies, body), "finals")
     words = counts.groupBy("last").agg(F.sum("n").alias("n1"), F.sum("ended").alias("e1"))
     before = counts.groupBy("previous").agg(F.sum("n").alias("n0"), F.sum("ended").alias("e0"))
-    base = 0.08
-    judged = (
-        ends.join(own.select(F.col("source").alias("_s"), F.col("limit").alias("_l"), F.col("posterior").alias("own")), (F.coalesce("source", F.lit("")) == F.col("_s")) & (F.col("length") == F.col("_l")), "left")
-        .drop("_s", "_l")
-        .join(pooled.select(F.col("limit").alias("length"), F.col("posterior").alias("pooled")), "length", "left")
-    )
-    settled = judged.where(F.col("what").isin("stop", "furniture", "mark"))
-    unsettled = judged.where(F.col("what").isin("open", "line", "closing", "list"))
-    unsettled = (
-        unsettled.join(closing, "line", "left")
-        .join(counts, ["previous", "last"], "left")
-        .join(words, "last", "left")
-        .join(before, "previous", "left")
+    judged = ends.join(own, (folder == F.col("_s")) & (F.col("length") == F.col("_l")), "left").drop("_s", "_l").join(pooled, "length", "left").withColumn("known", F.coalesce("own", "pooled"))
+    columns = [key, "source", "length", "what", "known", "ending", "step"]
+    settled = judged.where(F.col("what").isin("stop", "furniture", "mark")).withColumns({"ending": F.col("what"), "step": F.lit(0)}).select(*columns)
+    worded = (
+        judged.where(F.col("what").isin("open", "line", "closing", "list"))
+        .join(closing, "line", "left").join(counts, ["previous", "last"], "left").join(words, "last", "left").join(before, "previous", "left")
     )
-    posterior = F.greatest(F.coalesce("own", F.lit(0.0)), F.coalesce("pooled", F.lit(0.0)))
-    backed = F.when(F.coalesce("n1", F.lit(0)) >= 3, _rate(F.col("n1"), F.col("e1"), base)).otherwise(F.least(_rate(F.col("n0"), F.col("e0"), base), F.lit(UNKNOWN_ENDS)))
-    rate = F.when(F.coalesce("n", F.lit(0)) >= 3, _rate(F.col("n"), F.col("ended"), base)).otherwise(backed)
-    ratio = ((1 - rate) / (1 - base)) / (rate / base)
-    prior = F.when(F.col("what") == "list", PRIOR_LIST).when(F.col("what") == "closing", PRIOR_CLOSING).when(F.col("what") == "line", PRIOR_LINE).otherwise(PRIOR_OPEN)
-    prior = F.greatest(prior, posterior)
-    odds = prior / (1 - prior) * ratio
+    backed = F.when(F.coalesce("n1", F.lit(0)) >= 3, _rate(F.col("n1"), F.col("e1"), BASE)).otherwise(F.least(_rate(F.col("n0"), F.col("e0"), BASE), F.lit(UNKNOWN_ENDS)))
+    rate = F.when(F.coalesce("n", F.lit(0)) >= 3, _rate(F.col("n"), F.col("ended"), BASE)).otherwise(backed)
+    step = F.least(F.greatest(F.round(2 * F.log10(((1 - rate) / (1 - BASE)) / (rate / BASE))), F.lit(-2 * STEPS)), F.lit(2 * STEPS)).cast("int")
     closes = F.col("what").isin("line", "closing") & (F.coalesce("closers", F.lit(0)) >= F.greatest(F.lit(CLOSING_BODIES), CLOSING_SHARE * F.col("lines")))
-    unsettled = unsettled.withColumn("probability", F.when(closes, 0.01).otherwise(odds / (1 + odds)))
-    settled = settled.withColumn("probability", F.when(F.col("what") == "mark", 0.99).otherwise(0.01))
-    columns = [F.col(key), "source", "length", "what", F.when(posterior > 0, F.col("length")).alias("cut_limit"), posterior.alias("length_posterior"), "probability", (F.col("probability") > 0.5).alias("cut")]
-    return settled.select(*columns).unionByName(unsettled.select(*columns))
+    worded = worded.withColumns({"ending": F.when(closes, "closes").otherwise(F.col("what")), "step": step}).select(*columns)
+    rows = written(settled.unionByName(worded), "judged")
+    # a table of at most 8 endings, 9 steps and 1001 posteriors
+    cells = rows.groupBy("ending", "step", F.round("known", 3).alias("known")).agg(F.count("*").alias("texts")).collect()
+    ratio, off = learn_endings([(r["ending"], r["step"], r["known"], r["texts"]) for r in cells])
+    told = spark.createDataFrame([(e, k, v) for (e, k), v in ratio.items()], "ending string, step int, ratio double")
+    prior = F.coalesce("known", F.lit(off))
+    bounded = F.least(F.greatest(prior, F.lit(1e-6)), F.lit(1 - 1e-6))
+    probability = 1 / (1 + F.exp(-(F.log(bounded / (1 - bounded)) + F.col("ratio"))))
+    return rows.join(F.broadcast(told), ["ending", "step"]).select(
+        key, "source", "length", "what", F.when(F.col("known").isNotNull(), F.col("length")).alias("cut_limit"), prior.alias("length_posterior"), probability.alias("probability"), (probability > 0.5).alias("cut")
+    )
 
 
 def cut_share(judged: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quarry.llm.scans import Scans, clean, digit_inside, furniture, hyphens, misread, repaired, skeleton, skipgrams
-from quarry.llm.truncation import cut_share, ending, fit_lengths, truncated
+from quarry.llm.truncation import cut_share, ending, fit_lengths, learn_endings, limits, truncated
 
 WORDS = "the modern kitchen opens towards a quiet garden while visitors measure every corridor and describe framed windows behind the station".split()
 
@@ -100,6 +102,27 @@ def test_censored_lengths_are_fitted():
     assert mu == pytest.approx(7.0, abs=0.05) and sigma == pytest.approx(0.6, abs=0.05)
 
 
+def test_the_length_decides_where_the_ending_does_not():
+    """The same ending is a cut at a limit and none off it; and what isn't seen at limits stays whole."""
+    cells = [("stop", 0, None, 14_000), ("stop", 0, 0.99, 3), ("open", 2, None, 110), ("open", 2, 0.99, 100), ("list", -1, None, 1000), ("list", -1, 0.99, 3), ("list", -3, None, 900), ("mark", 0, None, 40)]
+    ratio, rate = learn_endings(cells)
+    sure = lambda prior, what, step: math.log(prior / (1 - prior)) + ratio[what, step] > 0
+    assert 0.004 < rate < 0.02
+    assert sure(0.99, "list", -1) and not sure(rate, "list", -1) and not sure(rate, "list", -3)
+    assert sure(0.99, "open", 2) and sure(rate, "open", 2) and sure(rate, "mark", 0)
+    assert not sure(0.99, "stop", 0) and not sure(rate, "stop", 0)
+    # without a limit the start holds
+    assert learn_endings([("open", 0, None, 5)])[0]["open", 0] == pytest.approx(math.log(100))
+    assert learn_endings([]) == ({}, 0.03)
+
+
+def test_limits_are_no_chance():
+    """A length with two open endings among thousands isn't a limit; one with twenty is."""
+    lengths = pd.DataFrame({"source": "s", "length": [*range(300, 2000), 1024], "n": [5] * 1700 + [30], "open": [2 if i % 425 == 200 else i % 17 == 0 for i in range(1700)] + [20]})
+    found = limits(lengths)
+    assert found["limit"].tolist() == [1024] and found["posterior"].iloc[0] > 0.7
+
+
 def test_truncated(spark):
     rng = random.Random(9)
     bodies, files = [], []
