@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from quarry.llm import bpe
 from quarry.llm.leakage import RUN, FMIndex, Phrases, leaks, occurrences, suffix_array
-from quarry.llm.repetition import FEATURES, fit_trees, measure, repetition
+from quarry.llm.repetition import BOUNDS, FEATURES, SLACK, fit_trees, least_score, repeated_share, repetition, statistics, words_of
 from quarry.llm.split import StrongestCut, normalised, oversized_pages, pieces, split_pages
 
 VOCABULARY = f"{bpe.TOKENIZERS}/byte_bpe_50k.json"
@@ -123,35 +123,54 @@ def test_repetition_equals_brute_force(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choice("a b c d e f g hé".split()) for _ in range(rng.randrange(80))) for _ in range(200)]
     texts += ["", None, "1 2 3", "A b C d E f G h " * 9, "word " * 8, "word " * 9, "é́ " * 20, "x" * 50_000]
-    got = measure(texts)
-    for t, row in zip(texts, got, strict=True):
-        assert (row[0], row[1]) == pytest.approx(brute(t))
+    w = words_of(texts)
+    for t, n, share, row in zip(texts, np.bincount(w.doc, minlength=len(texts)), repeated_share(w), statistics(w), strict=True):
+        assert (n, share) == pytest.approx(brute(t))
+        # what the cut rests on: the statistics of words and pairs bound the share
+        told = dict(zip([f for f, _ in FEATURES], row, strict=True))
+        assert share <= min(1 - told["new_words"], told["repeat_2"] * 8 / 7, told["run_2"]) + 1e-9 and (share == 0 or told["longest_run"] >= BOUNDS["longest_run"])
     rows = spark.createDataFrame([(i % 200, t, i) for i, t in enumerate(texts)], "doc_id long, text string, score long")
     out = repetition(rows)
     want = sorted(i % 200 for i, t in enumerate(texts) if brute(t)[1] >= 0.3)
     assert sorted(r["doc_id"] for r in out.where("repeated").collect()) == want and out.count() == len(texts)
+    assert sorted(round(r["repeated_share"], 9) for r in out.collect()) == sorted(round(brute(t)[1], 9) for t in texts)
+    assert sorted(r["doc_id"] for r in repetition(rows, every=False).where("repeated").collect()) == want
     assert repetition(rows.limit(0)).count() == 0
 
 
-def test_repetition_unlike_the_sample_is_found(spark, monkeypatch):
-    import quarry.llm.repetition as module
-
-    # trees that refuse everything: the selection must not lose a document for it
-    monkeypatch.setattr(module, "train", lambda *_: module.Trees(np.zeros((1, 7), np.int64), np.full((1, 7), np.inf), np.zeros((1, 8)), -5.0, 0.0))
+def test_repetition_unlike_the_sample_is_found(spark):
+    """The trees see only documents that repeat as a block; sentences that come again here and there are found all the same."""
     letters = "abcdefghij"
     fresh = iter("".join(letters[int(d)] for d in str(n)) for n in range(10**6))
-    sentence = "this one sentence of eight words comes again"
-    scattered = " ".join(" ".join(next(fresh) for _ in range(8)) + " " + sentence for _ in range(12))
-    once = " ".join(next(fresh) for _ in range(200))
-    rows = spark.createDataFrame([(1, scattered), (2, once), (3, None)], "doc_id long, text string")
+    new = lambda n: " ".join(next(fresh) for _ in range(n))
+    block = [(100 + i, " ".join([new(30)] * 4) if i % 8 == 0 else new(120)) for i in range(200)]
+    scattered = " ".join(new(8) + " this one sentence of eight words comes again" for _ in range(12))
     assert brute(scattered)[1] >= 0.3
-    assert [r["doc_id"] for r in module.repetition(rows).where("repeated").collect()] == [1]
+    x = statistics(words_of([t for _, t in block]))
+    model = fit_trees(x, np.array([i % 8 == 0 for i in range(200)], float), np.array([d for _, d in FEATURES]))
+    model.cut = least_score(model, BOUNDS)
+    assert model.score(statistics(words_of([scattered])))[0] >= model.cut
+    rows = spark.createDataFrame([*block, (1, scattered), (2, new(200)), (3, None)], "doc_id long, text string")
+    assert {r["doc_id"] for r in repetition(rows, sample=50).where("repeated").collect()} == {1, *(100 + i for i in range(0, 200, 8))}
+
+
+def test_no_case_scores_under_the_cut():
+    rng = np.random.default_rng(2)
+    x = rng.random((600, len(FEATURES))) * np.array([8, 1, 1, 1, 1, 6])
+    y = (x[:, 4] + x[:, 0] / 20 + 0.4 * rng.random(600) > 0.8).astype(float)
+    model = fit_trees(x, y, np.array([d for _, d in FEATURES]))
+    cut = least_score(model, BOUNDS)
+    cases = rng.random((20_000, len(FEATURES))) * np.array([8, 1, 1, 1, 1, 6])
+    for i, (name, direction) in enumerate(FEATURES):
+        if name in BOUNDS:
+            cases[:, i] = np.minimum(cases[:, i], BOUNDS[name]) if direction < 0 else np.maximum(cases[:, i], BOUNDS[name] - SLACK / 2)
+    assert (model.score(cases) >= cut).all() and (model.score(x) < cut).any()
 
 
 def test_trees_are_monotone():
     rng = np.random.default_rng(1)
     x = rng.random((800, len(FEATURES)))
-    y = (x[:, 5] + 0.3 * rng.random(800) > 0.7).astype(float)
+    y = (x[:, 4] + 0.3 * rng.random(800) > 0.7).astype(float)
     model = fit_trees(x, y, np.array([d for _, d in FEATURES]))
     assert ((model.score(x) > 0) == (y > 0)).mean() > 0.9
     base = rng.random((50, len(FEATURES)))
