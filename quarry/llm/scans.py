@@ -1,18 +1,15 @@
 """Problem 2: noise in the text of scanned pages.
 
-Words of all bodies are counted; a rare word is linked to a frequent one when plausible glyph edits turn the frequent one into it, which
-an equi-join on a skeleton (look-alike glyphs made equal) finds without comparing pairs. Skip-gram vectors, learned over all bodies,
-must agree before a link is a correction. Then running headers and page numbers are removed, words split over line ends are joined, and
-lines are reflowed into paragraphs.
-
-The skip-gram vectors are the count form of that model: sums of the hashed vectors of subsampled neighbours, two words to either side.
+Words of all PDF bodies are counted; a rare word is linked to a frequent one when plausible glyph edits turn the frequent one into it, which
+an equi-join on a skeleton (look-alike glyphs made equal) finds without comparing pairs. Skip-gram vectors are learned over all these bodies
+(``skipgram``); a link is a correction only if both words stand among neighbours whose vectors agree, the more strictly the more often the
+rare word was met. A body shows misread characters if it has a word with a correction. Then running headers and page numbers are
+removed, words split over line ends are joined, and lines are reflowed into paragraphs.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,10 +22,12 @@ from pyspark.sql import types as T
 
 from quarry.session import spread, written
 
+from .skipgram import DIMS, WINDOW, Vectors, indexed, learn
+
 #: A frequent word occurs in at least this many bodies, and in this many times the bodies of the rare word.
 FREQUENT, RATIO = 4, 8.0
-#: Least cosine of the skip-gram vectors of a rare word and its correction; DIMS: their length; WINDOW: words to either side.
-LIKE, DIMS, WINDOW = 0.25, 24, 2
+#: The neighbours of a rare word and of its correction have vectors with a cosine of 1 - UNLIKE / sqrt(bodies of the rare word) at least.
+UNLIKE = 0.45
 
 # Glyphs that recognition confuses, what is printed and what is read.
 GLYPHS = (("o", "0"), ("l", "1"), ("i", "1"), ("i", "l"), ("s", "5"), ("g", "9"), ("b", "8"), ("z", "2"), ("e", "c"), ("h", "b"), ("a", "o"), ("t", "f"), ("d", "cl"), ("m", "rn"), ("w", "vv"), ("n", "ri"), ("u", "ii"))
@@ -106,8 +105,9 @@ def _header_key(line: str) -> str:
 def furniture(pages: list[list[str]]) -> tuple[set[tuple[int, int]], bool, bool]:
     """(the (page, line) positions of furniture, whether there is a running header, whether page numbers are printed).
 
-    A running header is a line among the first two or last two of a page that recurs, misreadings aside, in that place on two or more
-    pages and on a fifth of them. Page numbers count up with the pages.
+    A running header is a line among the first two or last two of a page that recurs, misreadings aside, on two or more pages and on more
+    than half of them; or, where left and right pages have their own, on more than half of the pages of one side, if such lines together stand on
+    more than half of all. Page numbers count up with the pages, on two or more and on more than half of them.
     """
     edges: list[dict[int, str]] = []
     for lines in pages:
@@ -123,7 +123,7 @@ def furniture(pages: list[list[str]]) -> tuple[set[tuple[int, int]], bool, bool]
     some = sum(1 for e in edges if e)
     for places in numbers.values():
         covered = {p for p, _ in places}
-        if len(covered) >= 2 and len(covered) >= some / 3:
+        if len(covered) >= 2 and len(covered) > some / 2:
             counted |= places
     if some == 1 and not counted:  # a single page: its number stands alone at an edge, and not in a column of numbers
         p = next(i for i, e in enumerate(edges) if e)
@@ -133,23 +133,26 @@ def furniture(pages: list[list[str]]) -> tuple[set[tuple[int, int]], bool, bool]
             deeper = filled[-3] if i == filled[-1] else filled[2]
             if _value(pages[p][i].strip()) and not (_value(pages[p][deeper].strip()) or len(_WORD.findall(pages[p][inner])) < 2 and not re.search(r"[.!?]\W*$", pages[p][inner])):
                 counted.add((p, i))
-    keys: Counter = Counter()
     where: dict[str, set[tuple[int, int]]] = {}
     for p, lines in enumerate(edges):
-        seen = set()
         for i, line in lines.items():
             if (p, i) in counted or len(line) > 80:
                 continue
             key = _header_key(line)
             if len(key) >= 4:
-                if key not in seen:
-                    keys[key] += 1
-                    seen.add(key)
                 where.setdefault(key, set()).add((p, i))
     header: set[tuple[int, int]] = set()
-    for key, n in keys.items():
-        if n >= 2 and n >= some / 5:
-            header |= where[key]
+    sides = [sum(1 for p, e in enumerate(edges) if e and p % 2 == side) for side in range(2)]
+    sided: set[tuple[int, int]] = set()
+    for places in where.values():
+        met = {p for p, _ in places}
+        side = next(iter(met)) % 2
+        if len(met) >= 2 and len(met) > some / 2:
+            header |= places
+        elif len(met) >= 2 and all(p % 2 == side for p in met) and len(met) > sides[side] / 2:
+            sided |= places
+    if len({p for p, _ in header | sided}) > some / 2:
+        header |= sided
     drop = counted | header
     return drop, bool(header), bool(counted)
 
@@ -171,11 +174,6 @@ def clean(body: str) -> tuple[str, int, bool, bool]:
     return _SPLIT.sub(_joined, text), hyphens(body), header, pageno
 
 
-def digit_inside(word: str) -> bool:
-    """Whether a digit stands among lower-case letters, as only a misread letter does."""
-    return bool(re.fullmatch(r"(?=.*[^\W\d_]{2})[^\W\d_]*(?:[015892](?:[^\W\d_]+|$))+", word)) and not word[:1].isdigit()
-
-
 @F.pandas_udf(T.StringType())
 def _skeletons(words: pd.Series) -> pd.Series:
     return words.map(skeleton)
@@ -186,11 +184,6 @@ def _edits(fix: pd.Series, word: pd.Series) -> pd.Series:
     return fix.combine(word, misread)
 
 
-@F.pandas_udf(T.BooleanType())
-def _inside(words: pd.Series) -> pd.Series:
-    return words.map(digit_inside)
-
-
 def survey(bodies: DataFrame, key: str, body: str) -> DataFrame:
     """(key, hyphen, header, pageno, words): what a body shows by itself, and its distinct words, lower-case, in which a leading '^' marks a
     word only met capitalised."""
@@ -201,7 +194,10 @@ def survey(bodies: DataFrame, key: str, body: str) -> DataFrame:
             rows = []
             for value in batch.column(1).to_pylist():
                 text, split, header, pageno = clean(value)
-                met = set(_WORD.findall(text))
+                words = _WORD.findall(text)
+                if words and text.rstrip().endswith(words[-1]):
+                    words.pop()  # a body may be cut inside its last word
+                met = set(words)
                 lower = {w for w in met if not w[0].isupper()}
                 rows.append((split, header, pageno, [*lower, *{"^" + w.lower() for w in met if w[0].isupper() and w.lower() not in lower}]))
             yield pa.RecordBatch.from_arrays(
@@ -212,54 +208,22 @@ def survey(bodies: DataFrame, key: str, body: str) -> DataFrame:
     return bodies.mapInArrow(run, f"`{key}` {kind}, hyphen int, header boolean, pageno boolean, words array<string>")
 
 
-#: Share of all words above which a word counts less as a neighbour.
-SUBSAMPLE = 1e-3
-
-
-@lru_cache(maxsize=1 << 17)
-def hashed(word: str) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(zlib.crc32(word.encode()).to_bytes(4, "little"), np.uint8))[:DIMS]
-    return bits.astype(np.float32) * 2 - 1
-
-
 def _tokens(value: str) -> list[str]:
     return _WORD.findall(_SPLIT.sub(_joined, value).lower())
 
 
-def subsampled(bodies: DataFrame, body: str) -> dict[str, float]:
-    """The weight of each word that is more than SUBSAMPLE of all the words of all bodies; fewer than 1 / SUBSAMPLE words can be."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            met: dict[str, int] = {}
-            for value in batch.column(0).to_pylist():
-                for w in _tokens(value):
-                    met[w] = met.get(w, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string()), pa.array(list(met.values()), pa.int64())], names=["word", "n"])
-
-    counted = written(bodies.select(body).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    return {r["word"]: float(np.sqrt(SUBSAMPLE * total / r["n"])) for r in counted.where(F.col("n") > SUBSAMPLE * total).collect()}
-
-
-def skipgrams(bodies: DataFrame, body: str) -> DataFrame:
-    """(word, v0 ... ): the skip-gram vector of every word, summed over all bodies."""
+def contexts(bodies: DataFrame, body: str, vectors: Vectors, chance: dict[str, float]) -> DataFrame:
+    """(word, v0 ... ): of every word of all bodies, the sum of its neighbours' vectors; frequent neighbours count less."""
     columns = [f"v{i}" for i in range(DIMS)]
-    weights = subsampled(bodies, body)
+    sent = bodies.sparkSession.sparkContext.broadcast((vectors, chance))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, chance = sent.value
         for batch in batches:
-            ids: dict[str, int] = {}
-            tokens: list[int] = []
-            for value in batch.column(0).to_pylist():
-                tokens += [ids.setdefault(w, len(ids)) for w in _tokens(value)]
-                tokens += [-1] * WINDOW
-            if not ids:
+            words, t = indexed(batch.column(0).to_pylist(), _tokens)
+            if not words:
                 continue
-            t = np.array(tokens)
-            count = np.bincount(t[t >= 0], minlength=len(ids))
-            weight = np.array([weights.get(w, 1.0) for w in ids], np.float32)
-            base = np.stack([hashed(w) for w in ids]) * weight[:, None]
+            base = vectors.of(words, "around") * np.array([chance.get(w, 1.0) for w in words], np.float32)[:, None]
             base = np.concatenate([base, np.zeros((1, DIMS), np.float32)])
             around = np.zeros((len(t), DIMS), np.float32)
             for d in range(1, WINDOW + 1):
@@ -267,8 +231,8 @@ def skipgrams(bodies: DataFrame, body: str) -> DataFrame:
                 around[:-d] += base[t[d:]]
             real = t >= 0
             order = np.argsort(t[real], kind="stable")
-            sums = np.add.reduceat(around[real][order], np.concatenate([[0], np.cumsum(count)[:-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(list(ids)), *(pa.array(c) for c in sums.T)], names=["word", *columns])
+            begin = np.searchsorted(t[real][order], np.arange(len(words)))
+            yield pa.RecordBatch.from_arrays([pa.array(words), *(pa.array(c) for c in np.add.reduceat(around[real][order], begin).T)], names=["word", *columns])
 
     return bodies.select(body).mapInArrow(run, "word string, " + ", ".join(f"{c} float" for c in columns)).groupBy("word").agg(*(F.sum(c).alias(c) for c in columns))
 
@@ -290,15 +254,15 @@ def corrections(surveyed: DataFrame, bodies: DataFrame, body: str) -> DataFrame:
     frequent = vocabulary.where((F.col("n") >= FREQUENT) & ~F.col("word").rlike("[0-9]")).select(F.col("word").alias("fix"), F.col("n").alias("many"), F.col("lower").alias("many_lower"), "skeleton")
     links = rare.join(frequent, "skeleton").where((F.col("word") != F.col("fix")) & (F.col("many") >= RATIO * F.col("few")))
     links = links.withColumn("edits", _edits("fix", "word")).where("edits > 0")
-    vectors = written(skipgrams(bodies, body), "skipgrams")
+    around = written(contexts(bodies, body, *learn(bodies, body, _tokens)), "contexts")
     names = [f"v{i}" for i in range(DIMS)]
-    a = vectors.select(F.col("word"), F.array(*names).alias("a"))
-    b = vectors.select(F.col("word").alias("fix"), F.array(*names).alias("b"))
+    a = around.select(F.col("word"), F.array(*names).alias("a"))
+    b = around.select(F.col("word").alias("fix"), F.array(*names).alias("b"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     scored = links.join(a, "word", "left").join(b, "fix", "left").withColumn("likeness", F.coalesce(F.try_divide(dot("a", "b"), F.sqrt(dot("a", "a") * dot("b", "b"))), F.lit(0.0)))
     # a name differs from another by a letter as easily as by a misreading: only digits and doubled glyphs tell there
     name = (F.col("few_lower") == 0) & (F.col("many_lower") == 0)
-    good = scored.where((F.col("likeness") >= LIKE) & (~name | F.col("word").rlike("[0-9]") | (F.col("many") >= 4 * RATIO * F.col("few"))))
+    good = scored.where((F.col("likeness") >= 1 - UNLIKE / F.sqrt("few")) & (~name | F.col("word").rlike("[0-9]") | (F.col("many") >= 4 * RATIO * F.col("few"))))
     return good.groupBy("word").agg(F.max(F.struct("likeness", "many", "edits", "fix")).alias("x")).select("word", "x.fix", "x.edits", "x.likeness")
 
 
@@ -314,9 +278,7 @@ class Scans:
         self.surveyed = written(survey(self.bodies, key, body), "scan-survey")
         self.corrections = written(corrections(self.surveyed, self.bodies, body), "scan-corrections")
         words = self.surveyed.select(key, F.explode("words").alias("w")).select(key, F.ltrim(F.col("w"), F.lit("^")).alias("word"))
-        fixed = words.join(self.corrections, "word")
-        odd = words.where(F.col("word").rlike("^[^0-9]+[0-9]")).where(_inside("word")).select(key, "word", F.lit(None).cast("string").alias("fix"))
-        self.fixes = fixed.select(key, "word", "fix").unionByName(odd).groupBy(key).agg(F.collect_set(F.struct("word", "fix")).alias("fixes"))
+        self.fixes = words.join(self.corrections, "word").groupBy(key).agg(F.collect_set(F.struct("word", "fix")).alias("fixes"))
 
     def defects(self) -> DataFrame:
         """(key, defect): hyphen, char, header, pageno, one row each that the body shows."""
@@ -328,7 +290,7 @@ class Scans:
     def texts(self) -> DataFrame:
         """(key, paragraphs, text, fixed): each body as continuous paragraphs, and the number of distinct misread words put right."""
         k = self.key
-        known = self.fixes.select(F.col(k).alias("_k"), F.map_from_entries(F.filter("fixes", lambda f: f["fix"].isNotNull())).alias("fixes"))
+        known = self.fixes.select(F.col(k).alias("_k"), F.map_from_entries("fixes").alias("fixes"))
         rows = self.bodies.join(known, F.col(k) == F.col("_k"), "left").select(k, self.body, "fixes")
         kind = self.bodies.schema[k].dataType.simpleString()
 
@@ -343,7 +305,7 @@ class Scans:
 
     def labels(self, vectors: DataFrame) -> DataFrame:
         """(id, label): the labels of the vectors of these bodies, split and misread words put right; a null label stays null."""
-        known = self.fixes.select(F.col(self.key).alias("_k"), F.map_from_entries(F.filter("fixes", lambda f: f["fix"].isNotNull())).alias("fixes"))
+        known = self.fixes.select(F.col(self.key).alias("_k"), F.map_from_entries("fixes").alias("fixes"))
         rows = vectors.where(F.col("source").isin("page", "pdf_text", "pdf_summary")).select("id", "hash", "label").join(self.bodies.select(F.col(self.key).alias("_b")), F.col("hash") == F.col("_b"), "left_semi")
         rows = rows.join(known, F.col("hash") == F.col("_k"), "left").select("id", "label", "fixes")
 

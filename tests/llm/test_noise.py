@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quarry.llm.scans import Scans, clean, digit_inside, furniture, hyphens, misread, repaired, skeleton, skipgrams
+from quarry.llm.scans import Scans, _tokens, clean, furniture, hyphens, misread, repaired, skeleton
+from quarry.llm.skipgram import learn
 from quarry.llm.truncation import cut_share, ending, fit_lengths, learn_endings, limits, truncated
 
 WORDS = "the modern kitchen opens towards a quiet garden while visitors measure every corridor and describe framed windows behind the station".split()
@@ -22,7 +23,6 @@ def sentence(rng):
 def test_glyphs():
     assert misread("kitchen", "kitcben") == 1 and misread("modern", "moclern") == 1 and misread("garden", "garden") == 0 and misread("garden", "window") == 0
     assert skeleton("moclern") == skeleton("modern") and skeleton("k1tchen") == skeleton("kitchen")
-    assert digit_inside("narr0w") and digit_inside("cover5") and not digit_inside("2nd") and not digit_inside("h264") and not digit_inside("word")
 
 
 def test_furniture_and_hyphens():
@@ -30,6 +30,11 @@ def test_furniture_and_hyphens():
     drop, header, pageno = furniture([p.split("\n") for p in pages])
     assert header and pageno and drop == {(p, i) for p in range(3) for i in (0, 2)}
     assert furniture([["A heading", "", "Some text."], ["Another one", "", "Other text."]]) == (set(), False, False)
+    # left and right pages with headers of their own; line ends that happen to come twice are none
+    sides = [["Part One", "Some text."], ["The Guide", "Other text."], ["Part One", "More."], ["The Guide", "Last."]]
+    assert furniture(sides)[1] and len(furniture(sides)[0]) == 4
+    assert furniture([["Text a b.", "harbour."], ["Text c.", "d"], ["Text e.", "harbour."], ["Text f.", "g"]]) == (set(), False, False)
+    assert not furniture([["Text a b.", "37"], ["Text c."], ["Text d."], ["Text e."], ["Text f.", "41"]])[2]
     table = "Prices\n\ndrawing\n84\nbridge\n9\nphotograph\n59"
     assert not furniture([table.split("\n")])[2]
     assert hyphens("photo-\ngraph and cov¬\nered and vi\xad\nsible") == 3 and hyphens("Two- \nand three-room flats") == 0
@@ -68,12 +73,34 @@ def test_labels_of_bodies_without_misread_words(spark):
     assert sorted((r["id"], r["label"]) for r in Scans(rows).labels(vectors).collect()) == [(1, "a garden"), (2, None)]
 
 
-def test_skipgrams_depend_on_no_partitioning(spark):
+@pytest.fixture(scope="module")
+def themes(spark):
+    """Two themes with words of their own, and words that a misreading may have come from."""
     rng = random.Random(4)
-    rows = [(i, " ".join(sentence(rng) for _ in range(1 + 20 * (i % 2))) + f" rare{'abcdefgh'[i % 8]} the the") for i in range(24)]
-    df = spark.createDataFrame(rows, "id long, body string")
-    one, many = ({r["word"]: np.array(r[1:]) for r in skipgrams(df.repartition(k, "id"), "body").collect()} for k in (1, 12))
-    assert one.keys() == many.keys() and all(np.allclose(one[w], many[w], atol=1e-3) for w in one)
+    house, field = "marble stairs tall windows lobby carpet curtains doors".split(), "green grass goal player whistle referee team boots".split()
+    line = lambda words, w: " ".join([*rng.sample(words, 3), w, *rng.sample(words, 3)]) + "."
+    rows = [(f"h{i}", "pdf", "\n".join(line(house, "hall") for _ in range(20))) for i in range(60)]
+    rows += [(f"f{i}", "pdf", "\n".join(line(field, w) for w in ["ball", "bat"] * 10)) for i in range(60)]
+    rows += [(f"n{i}", "pdf", "\n".join(line(house, w) for w in ["boll", *["hall"] * 9])) for i in range(3)]
+    rows += [(f"m{i}", "pdf", "\n".join(line(house, w) for w in ["bof", *["hall"] * 9])) for i in range(3)]
+    return spark.createDataFrame(rows, "hash string, kind string, body string")
+
+
+def test_vectors_decide(themes):
+    """'boll' is nearer to 'ball', but stands where 'hall' does; 'bof' could be a misread 'bat', but stands where no 'bat' does."""
+    assert misread("ball", "boll") == 1 and misread("hall", "boll") == 2 and misread("bat", "bof") == 2
+    scans = Scans(themes)
+    assert {r["word"]: r["fix"] for r in scans.corrections.collect()} == {"boll": "hall"}
+    assert {r["hash"] for r in scans.defects().collect()} == {"n0", "n1", "n2"}
+
+
+def test_vectors_of_like_words_are_alike(themes):
+    vectors, chance = learn(themes.repartition(5, "hash"), "body", _tokens)
+    assert vectors.own.dtype == np.float32 and all(0 < c < 1 for c in chance.values())
+    x = vectors.of(["hall", "lobby", "ball", "goal", "team"], "own")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    assert s[2, 3] > s[0, 3] + 0.2 and s[0, 1] > s[1, 3] + 0.2 and s[3, 4] > s[1, 4] + 0.2
 
 
 def test_no_bodies(spark, noisy):
