@@ -64,13 +64,13 @@ def main(args: list[str], spark=None, out=print) -> int:
         for r in answer.results.collect():
             out(json.dumps({k: r[k] for k in ("score", "confidence", "kind", "path", "caption") if k in r.asDict()}, ensure_ascii=False))
     else:
-        queries = table(spark, d, "eval_queries").selectExpr("id", "query", "cast(null as string) as filters")
+        queries = table(spark, d, "eval_queries").selectExpr("id", "query", "intent", "expected", "cast(null as string) as filters")
         if given.ids:
             queries = queries.where(queries.id.isin(*[int(i) for i in given.ids.split(",")]))
         judgments = table(spark, d, "judgments")
         results, per, _ = evaluate.run(_searcher(spark, d), queries, judgments, _embedder(spark, d))
         folder = Path(given.out).resolve()
-        text = evaluation.export(results, judgments, per, folder.as_uri())
+        text = evaluation.export(results, judgments, per, folder.as_uri(), queries=queries)
         (folder / "RESULTS.md").write_text(text, encoding="utf-8")
         out(text)
     return 0

@@ -76,9 +76,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), product)
 
 
+def vector_sql(values) -> str:
+    """A vector as SQL text of doubles."""
+    return "array(" + ", ".join(f"{float(x)!r}D" if math.isfinite(x) else f"double('{float(x)}')" for x in values) + ")" if len(values) else "cast(array() AS array<double>)"
+
+
 def vector(values) -> Column:
     """A vector as a literal of doubles, parsed at once instead of element by element."""
-    return F.expr("array(" + ", ".join(f"{float(x)!r}D" if math.isfinite(x) else f"double('{float(x)}')" for x in values) + ")") if len(values) else F.array().cast("array<double>")
+    return F.expr(vector_sql(values))
 
 
 def unit(v: Column) -> Column:

@@ -7,6 +7,10 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.scalar import where_label
+
+from .reports import markdown_table
+
 
 def judged_results(results: DataFrame, judgments: DataFrame) -> DataFrame:
     """Results (query, rank, hash, ...) with ``relevant``, null where nobody judged."""
@@ -44,27 +48,39 @@ def summary(per_query: DataFrame) -> DataFrame:
     )
 
 
-def export(results: DataFrame, judgments: DataFrame, per_query: DataFrame, folder: str, k: int = 5) -> str:
-    """Write judged results and metrics as JSON lines under ``folder``; returns a Markdown report of the summary and each query's first
-    ``k`` rows. ``results`` may carry filename, kind, score, source, ref and label for the report."""
-    judged_results(results, judgments).write.mode("overwrite").json(f"{folder}/results")
+def export(results: DataFrame, judgments: DataFrame, per_query: DataFrame, folder: str, k: int = 5, queries: DataFrame | None = None, notes: DataFrame | None = None) -> str:
+    """Write judged results and metrics as JSON lines under ``folder``; returns a Markdown report: the summary, a table of the queries, and each
+    query with its first ``k`` rows. ``results`` may carry filename, kind, score, source, ref and label; ``queries`` (query, intent,
+    expected, and where known detected_type and ms) and ``notes`` (query, note) say more about a query."""
+    judged = judged_results(results, judgments)
+    judged.write.mode("overwrite").json(f"{folder}/results")
     per_query.write.mode("overwrite").json(f"{folder}/metrics")
-    s = summary(per_query).first()
-    out = ["# Search evaluation", "", "| Metric | Value |", "|---|---|"]
-    out += [f"| {name} | {s[c]} |" for name, c in (("Queries", "queries"), ("Fully judged", "fully_judged"), (f"Mean precision@{k}", "mean_p_at_k"), ("Mean reciprocal rank", "mean_mrr"), (f"Hit rate@{k}", "hit_rate_at_k"), ("Mean recall@10", "mean_recall_at_10"))]
-    mark = {1: "✅", 0: "❌", None: "–"}
-    rows = judged_results(results.where(F.col("rank") <= k), judgments).orderBy("query", "rank")
+    have = lambda df, name, kind: F.col(name) if df is not None and name in df.columns else F.lit(None).cast(kind)
+    told = per_query
+    if queries is not None:
+        told = told.join(queries.select("query", *[have(queries, c, "string").alias(c) for c in ("intent", "expected", "detected_type")], have(queries, "ms", "long").alias("ms")).dropDuplicates(["query"]), "query", "left")
+    if notes is not None:
+        told = told.join(notes.select("query", "note").dropDuplicates(["query"]), "query", "left")
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("not judged"))
+    table = told.orderBy("query").select(F.col("query").alias("Query"), have(told, "detected_type", "string").alias("Kind"), value("p_at_k").alias(f"P@{k}"), value("mrr").alias("MRR"), have(told, "ms", "long").alias("ms"))
+    names = {"queries": "Queries", "fully_judged": "Fully judged", "mean_p_at_k": f"Mean precision@{k}", "mean_mrr": "Mean reciprocal rank", "hit_rate_at_k": f"Hit rate@{k}", "mean_recall_at_10": "Mean recall@10"}
+    numbers = summary(per_query).select(F.explode(F.array(*[F.struct(F.lit(n).alias("Metric"), F.col(c).cast("string").alias("Value")) for c, n in names.items()])).alias("x")).select("x.*")
+    # The marks of a judgment.
+    mark = F.when(F.col("relevant") == 1, "✅").when(F.col("relevant") == 0, "❌").otherwise("–")
+    place = F.concat_ws(" ", have(judged, "source", "string"), where_label(have(judged, "source", "string"), have(judged, "ref", "double"), have(judged, "kind", "string")))
+    match = F.concat_ws(": ", F.nullif(F.btrim(place), F.lit("")), F.nullif(F.substring(have(judged, "label", "string"), 1, 80), F.lit("")))
+    lines = judged.where(F.col("rank") <= k).orderBy("query", "rank").select(
+        "query", F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit("")) for c in (F.col("rank"), F.coalesce(have(judged, "filename", "string"), F.col("hash")), have(judged, "kind", "string"), have(judged, "score", "double"), F.translate(match, "|", "/"), mark)]).alias("line")
+    )
+    out = ["# Search evaluation", "", *markdown_table(numbers), "", *markdown_table(table)]
+    about = {r["query"]: r.asDict() for r in told.toLocalIterator()}  # a row a query, of a set a person has judged
     last = None
-    for r in rows.toLocalIterator():
-        r = r.asDict()
-        if r["query"] != last:
-            last = r["query"]
-            out += ["", f"## {last}", "", "| Rank | File | Score | Match | Relevant |", "|---|---|---|---|---|"]
-        place = ""
-        if r.get("source"):
-            ref = r.get("ref")
-            place = r["source"] + (f" @ {ref:.0f}s" if r["source"] == "frame" and ref is not None else f" p.{ref:.0f}" if r["source"] in ("page", "pdf_text") and ref else "") + ": " + (r.get("label") or "")[:80]
-        out.append(f"| {r['rank']} | `{r.get('filename', r['hash'])}` | {r.get('score', '')} | {place.replace('|', '/')} | {mark[r['relevant']]} |")
+    for query, line in lines.toLocalIterator():
+        if query != last:
+            last, said = query, about.get(query, {})
+            out += ["", f"## {query}", "", *[f"{name}: {said[c]}" for c, name in (("intent", "Intent"), ("expected", "Expected"), ("note", "Note")) if said.get(c)]]
+            out += ["", "| Rank | File | Kind | Score | Match | Relevant |", "|---|---|---|---|---|---|"]
+        out.append(f"| {line} |")
     return "\n".join(out) + "\n"
 
 

@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.scalar import dot, vector
-
 TAGS, LEAST = 5, 0.2
 
 
@@ -50,7 +48,48 @@ def mean_vectors(vectors: DataFrame, space: str, length: int, key: str = "hash")
 
 def zero_shot_tags(means: DataFrame, tags: list[tuple[str, list[float]]], key: str = "hash", most: int = TAGS, least: float = LEAST) -> DataFrame:
     """(key, tags): up to ``most`` tags whose vector has at least ``least`` similarity, most similar first, then by name. The tag vectors
-    are a fixed vocabulary, given as literals."""
-    entries = F.array(*[F.struct((-dot(F.col("vec"), vector(v))).alias("d"), F.lit(t).alias("tag")) for t, v in tags])
-    good = F.filter(entries, lambda e: e["d"] <= -least)
-    return means.select(key, F.transform(F.slice(F.array_sort(good), 1, most), lambda e: e["tag"]).alias("tags"))
+    are a fixed vocabulary; one product of matrices a batch."""
+    kind = means.schema[key].dataType.simpleString()
+    given = sorted(tags, key=lambda t: t[0])
+    names, matrix = np.array([t for t, _ in given], object), np.array([v for _, v in given], float).reshape(len(given), -1)
+    sent = means.sparkSession.sparkContext.broadcast((names, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            sims = np.round(x @ matrix.T, 12) if len(names) else np.zeros((len(x), 0))
+            order = np.argsort(-sims, axis=1, kind="stable")[:, :most]
+            good = np.take_along_axis(sims, order, 1) >= least
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(names[o[g]]) for o, g in zip(order, good, strict=True)], pa.list_(pa.string()))], names=[key, "tags"])
+
+    return means.select(key, "vec").mapInArrow(run, f"`{key}` {kind}, tags array<string>")
+
+
+#: The vocabulary of tags, and the text that is embedded for one.
+VOCABULARY = (
+    "person", "woman", "man", "child", "group of people", "crowd", "family", "couple",
+    "cat", "dog", "bird", "horse", "animal",
+    "living room", "bedroom", "kitchen", "bathroom", "office", "meeting room", "interior design",
+    "modern interior", "furniture", "sofa",
+    "house", "apartment building", "residential building", "skyscraper", "city skyline", "street",
+    "construction site", "crane", "construction worker", "excavator", "building under construction",
+    "road", "car", "traffic", "bicycle", "airplane", "train", "boat",
+    "beach", "ocean", "mountain", "forest", "park", "garden", "lake", "river", "snow", "desert",
+    "sunset", "night", "aerial view",
+    "food", "coffee", "restaurant", "fruit",
+    "laptop", "computer", "smartphone", "document", "text", "chart", "map", "logo", "floor plan",
+    "person talking to camera", "interview", "presentation", "handshake", "teamwork",
+    "sports", "fitness", "yoga", "music", "concert", "wedding", "party",
+    "hospital", "school", "classroom", "factory", "warehouse", "shop", "shopping",
+    "swimming pool", "real estate", "villa", "hotel", "church", "bridge",
+)
+PROMPT = "a photo of {}"
+
+
+def vocabulary_vectors(models) -> list[tuple[str, list[float]]]:
+    """The tags of the vocabulary with the vectors their prompts have in the image space."""
+    rows = models.clip_text([PROMPT.format(t) for t in VOCABULARY])
+    return [(t, list(map(float, v))) for t, v in zip(VOCABULARY, rows, strict=True)]

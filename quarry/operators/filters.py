@@ -73,12 +73,10 @@ def allowed(assets: DataFrame, files: DataFrame, filters: Filters | None = None)
     for p in (filters or Filters()).predicates():
         rows = rows.where(p)
     place = F.struct("folder", "filename", "file_id", "path", "ext", "size", "mtime")
-    first = rows.groupBy("hash").agg(F.min(place).alias("f"), F.sort_array(F.collect_list(F.struct("folder", "filename", "file_id", "path"))).alias("all"))
-    info = assets.where(F.col("status") == "done").select("hash", "kind", "caption", "tags", "meta", "thumb", "warnings")
-    return first.join(info, "hash").select(
-        "hash", "kind", "caption", "tags", "meta", "thumb", "warnings", "f.file_id", "f.path", "f.filename", "f.folder", "f.ext", "f.size", "f.mtime",
-        F.transform(F.slice(F.col("all"), 2, F.greatest(F.size("all"), F.lit(1))), lambda x: F.struct(x["file_id"].alias("file_id"), x["path"].alias("path"))).alias("duplicates"),
-    )
+    info = F.first(F.struct(F.col("asset_kind").alias("kind"), "caption", "tags", "meta", "thumb", "warnings"))
+    first = rows.groupBy("hash").agg(info.alias("a"), F.min(place).alias("f"), F.sort_array(F.collect_list(F.struct("folder", "filename", "file_id", "path"))).alias("all"))
+    others = "transform(slice(all, 2, greatest(size(all), 1)), x -> struct(x.file_id AS file_id, x.path AS path)) AS duplicates"
+    return first.selectExpr("hash", *[f"a.{c}" for c in ("kind", "caption", "tags", "meta", "thumb", "warnings")], *[f"f.{c}" for c in ("file_id", "path", "filename", "folder", "ext", "size", "mtime")], others)
 
 
 def browse(found: DataFrame, top_k: int = 24) -> DataFrame:

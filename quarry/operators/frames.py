@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.scalar import histogram_distance
+from quarry.session import numbered
 
 # Frames darker than this are black; a scene changes beyond this distance; a frame is kept after so many seconds anyway.
 BLACK, SCENE, GAP = 12.0, 0.35, 4.0
@@ -59,6 +64,44 @@ def evenly(items: Column, most: int = MOST_FRAMES) -> Column:
     return F.when(n <= most, items).otherwise(F.transform(places, lambda p: F.element_at(items, p + 1)))
 
 
+def evenly_rows(rows: DataFrame, key: str, order: str, most: int = MOST_FRAMES) -> DataFrame:
+    """``rows`` thinned to at most ``most`` of each key, evenly spread by ``order``, as ``evenly`` does in an array. Rows are numbered over
+    all keys in ranges, so a key with many rows is in no single task."""
+    placed = numbered(rows, [key, order], "places")
+    bounds = placed.groupBy(key).agg(F.min("_place").alias("_low"), F.count("*").alias("_n"))
+    spread = F.sequence(F.lit(0), F.lit(most - 1))
+    wanted = F.array_distinct(F.transform(spread, lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(float(max(1, most - 1)))).cast("long")))
+    k = bounds.select(F.col(key).alias("_k"), "_low", F.when(F.col("_n") > most, wanted).alias("_wanted"))
+    joined = placed.join(k, F.col(key).eqNullSafe(F.col("_k")))
+    return joined.where(F.col("_wanted").isNull() | F.array_contains("_wanted", F.col("_place") - F.col("_low"))).select(*rows.columns)
+
+
+def kept_rows(rows: DataFrame, key: str, time: str, gap: float) -> DataFrame:
+    """(key, time) of the rows at least ``gap`` after the last kept one of their key, as ``kept_times`` does in an array. Rows pass in order,
+    a batch at a time; what is held of a key is its last kept time. Null times are left out."""
+    chosen = rows.select(key, time).where(F.col(time).isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        for batch in batches:
+            keys, times = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            code = keys.indices.fill_null(-1).to_numpy()
+            kept: list[int] = []
+            edges = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                name = keys.dictionary[int(code[a])].as_py() if code[a] >= 0 else None
+                at = a if held is None or held[0] != name else int(np.searchsorted(times[a:b], held[1] + gap)) + a
+                last = None if held is None or held[0] != name else held[1]
+                while at < b:
+                    kept.append(at)
+                    last = float(times[at])
+                    at = a + int(np.searchsorted(times[a:b], last + gap))
+                held = (name, last) if last is not None else held
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return chosen.repartition(key).sortWithinPartitions(key, time).mapInArrow(run, chosen.schema)
+
+
 def keyframes(frames: DataFrame, key: str = "hash") -> DataFrame:
     """(key, times): the key frames of every video from rows (key, t, brightness, hist). Equal times go by histogram. A video's frames, a
     few dozen candidates, come together in one array; no frames, no row."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.scalar import confidence, relevance
@@ -14,36 +14,28 @@ KEYWORD, BOOST, PENALTY = 0.35, 1.5, 0.5
 SPEECH = 0.45
 
 
-def _weight(kind: Column, which: int) -> Column:
-    out = None
-    for k, w in WEIGHTS.items():
-        out = F.when(kind == k, w[which]) if out is None else out.when(kind == k, w[which])
-    return out.otherwise(OTHER[which])
+_MATCH = "struct<id:long,source:string,ref:double,thumb:string,label:string>"
 
 
-def fused(found: DataFrame, visual: DataFrame | None, semantic: DataFrame | None, keyword: DataFrame | None, intent: str | None = None) -> DataFrame:
-    """``found`` with the signals joined and scored. ``visual`` and ``semantic``: (hash, score, match, z); ``keyword``: (hash, keyword).
+def fused(found: DataFrame, near: DataFrame | None, keyword: DataFrame | None, intent: str | None = None) -> DataFrame:
+    """``found`` with the signals joined and scored. ``near``: (hash, and visual, semantic or both, each with z and match) as ``signals`` gives;
+    ``keyword``: (hash, keyword).
 
-    An asset without any signal is dropped. With only one of visual and semantic that one has weight 1. Signals that failed are None.
+    An asset without any signal is dropped. With only one of visual and semantic that one has weight 1. Signals that failed are None, or
+    missing among the columns.
     """
-    none = lambda t: F.lit(None).cast(t)
-    rows = found
-    for name, signal in (("visual", visual), ("semantic", semantic)):
-        if signal is None:
-            rows = rows.withColumns({name: none("double"), f"z_{name}": none("double"), f"{name}_match": none("struct<id:long,source:string,ref:double,thumb:string,label:string>")})
-        else:
-            rows = rows.join(signal.select("hash", F.col("score").alias(name), F.col("z").alias(f"z_{name}"), F.col("match").alias(f"{name}_match")), "hash", "left")
-    rows = rows.withColumn("keyword", none("double")) if keyword is None else rows.join(keyword.select("hash", "keyword"), "hash", "left")
-    zv, zs, kw, kind = F.col("z_visual"), F.col("z_semantic"), F.col("keyword"), F.col("kind")
-    rows = rows.where(F.coalesce(zv, zs, kw).isNotNull())
-    wv = F.when(zv.isNotNull() & zs.isNull(), 1.0).when(zs.isNotNull() & zv.isNull(), 0.0).otherwise(_weight(kind, 0))
-    ws = F.when(zs.isNotNull() & zv.isNull(), 1.0).when(zv.isNotNull() & zs.isNull(), 0.0).otherwise(_weight(kind, 1))
-    zero = F.lit(0.0)
-    raw = wv * F.coalesce(zv, zero) + ws * F.coalesce(zs, zero) + KEYWORD * F.coalesce(kw, zero)
+    rows = found if near is None else found.join(near, "hash", "left")
+    for name in ("visual", "semantic"):
+        if near is None or name not in near.columns:
+            rows = rows.selectExpr("*", f"cast(null AS double) AS {name}", f"cast(null AS double) AS z_{name}", f"cast(null AS {_MATCH}) AS {name}_match")
+    rows = rows.selectExpr("*", "cast(null AS double) AS keyword") if keyword is None else rows.join(keyword.select("hash", "keyword"), "hash", "left")
+    kinds = lambda i: "CASE kind " + " ".join(f"WHEN '{k}' THEN {w[i]}D" for k, w in WEIGHTS.items()) + f" ELSE {OTHER[i]}D END"
+    alone = lambda own, other, i: f"CASE WHEN {own} IS NOT NULL AND {other} IS NULL THEN 1D WHEN {other} IS NOT NULL AND {own} IS NULL THEN 0D ELSE {kinds(i)} END"
+    raw = f"{alone('z_visual', 'z_semantic', 0)} * coalesce(z_visual, 0D) + {alone('z_semantic', 'z_visual', 1)} * coalesce(z_semantic, 0D) + {KEYWORD}D * coalesce(keyword, 0D)"
     if intent:
-        raw = raw + F.when(kind == intent, BOOST).otherwise(-PENALTY)
-    rows = rows.withColumn("raw_score", raw)
-    return rows.withColumns({"score": F.round("raw_score", 3), "relevance": relevance(F.col("raw_score"))}).withColumn("confidence", confidence(F.col("score")))
+        raw += f" + CASE WHEN kind = '{intent}' THEN {BOOST}D ELSE -{PENALTY}D END"
+    rows = rows.where("coalesce(z_visual, z_semantic, keyword) IS NOT NULL").selectExpr("*", f"{raw} AS raw_score")
+    return rows.select("*", F.round("raw_score", 3).alias("score"), relevance(F.col("raw_score")).alias("relevance"), confidence(F.round("raw_score", 3)).alias("confidence"))
 
 
 def explained(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -65,10 +66,13 @@ class KeywordIndex:
     """Postings in the shared folder, so that a search reads only its own terms.
 
     ``postings`` (bucket, term, hash, f = weighted occurrences, dl) is partitioned by the hash of the term and sorted by term, so a search
-    opens a bucket per term and skips the row groups of others; ``totals`` is one row. With ``stems`` the terms are stems.
+    opens a bucket per term and skips the row groups of others; ``terms`` has how many documents hold each term, ``totals`` is one row. The
+    number of buckets grows with the postings, and every bucket is split by document, the more the more documents there are: a term of
+    all documents is read by many tasks. With ``stems`` the terms are stems.
     """
 
-    BUCKETS = 64
+    #: Postings of a bucket's part, about, and documents from which buckets are split.
+    ROWS, SPLIT = 2_000_000, 500_000
 
     def __init__(self, docs: DataFrame, path: str, weights: dict[str, float] | None = None, stems: bool = False):
         self.spark, self.path, self.stems = docs.sparkSession, path, stems
@@ -84,11 +88,21 @@ class KeywordIndex:
         if stems:
             forms = counted.select("term").where("term is not null").distinct().withColumn("stem", stemmed(F.col("term")))
             counted = counted.join(forms, "term", "left").groupBy("hash", "dl", F.col("stem").alias("term")).agg(F.sum("f").alias("f"))
-        bucket = F.coalesce(F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)), F.lit(-1)).cast("int")
-        counted.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("hash"), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-        docs_ = tokens.select("hash", length.alias("dl"))
-        docs_.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).write.parquet(f"{path}/totals")
-        self.totals = self.spark.read.parquet(f"{path}/totals").first()
+        counted = written(counted, "postings")  # a document without words has one row, its term null
+        self.totals = counted.select("hash", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), F.lit(counted.count()).alias("postings")).first()
+        parts = max(1, -(-self.totals["n"] // self.SPLIT))
+        self.buckets = max(8, -(-self.totals["postings"] // (self.ROWS * parts)))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+        kept = counted.where("term is not null").withColumn("bucket", bucket)
+        kept.repartition(self.buckets * parts, "bucket", F.pmod(F.xxhash64("hash"), F.lit(parts))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        kept.groupBy("bucket", "term").agg(F.count("*").alias("d")).repartition("bucket").sortWithinPartitions("bucket", "term").write.parquet(f"{path}/terms")
+        schema = kept.select("hash", "dl", "term", "f", "bucket").schema
+        self.rows = self.spark.read.schema(schema).parquet(f"{path}/postings")
+        self.terms = self.spark.read.schema("bucket int, term string, d long").parquet(f"{path}/terms")
+
+    def _bucket(self, terms: Sequence[str]) -> set[int]:
+        one = self.spark.sql("SELECT * FROM VALUES (1) AS t(x)")
+        return set(one.select(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(self.buckets)).cast("int").alias(f"b{i}") for i, t in enumerate(terms)]).first())
 
     def search(self, terms: Sequence[str]) -> DataFrame:
         """(hash, bm25, keyword), as ``bm25`` gives."""
@@ -96,17 +110,16 @@ class KeywordIndex:
         for t in terms:
             t = stem(t) if self.stems else t
             weight[t] = weight.get(t, 0) + 1
-        rows = self.spark.read.parquet(f"{self.path}/postings")
         if not weight:
-            return rows.select("hash", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("keyword")).limit(0)
-        one = self.spark.sql("SELECT * FROM VALUES (1) AS t(x)")
-        buckets = one.select(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(self.BUCKETS)).cast("int").alias(f"b{i}") for i, t in enumerate(weight)]).first()
-        hits = rows.where(F.col("bucket").isin(*set(buckets)) & F.col("term").isin(*weight))
-        df = hits.groupBy("term").agg(F.count("*").alias("d"))
+            return self.rows.select("hash", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("keyword")).limit(0)
+        mine = F.col("bucket").isin(*self._bucket(list(weight))) & F.col("term").isin(*weight)
         n, mean = self.totals["n"], self.totals["mean"] or 1.0
-        times = F.element_at(F.create_map(*[F.lit(x) for t, c in weight.items() for x in (t, float(c))]), F.col("term"))
-        idf = F.greatest(F.log((n - F.col("d") + 0.5) / (F.col("d") + 0.5)), F.lit(1e-6))
-        part = times * idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / mean))
-        scored = hits.join(F.broadcast(df), "term").groupBy("hash").agg(F.sum(part).alias("bm25"))
+        # a row a term of the query
+        idf = {r["term"]: weight[r["term"]] * max(math.log((n - r["d"] + 0.5) / (r["d"] + 0.5)), 1e-6) for r in self.terms.where(mine).collect()}
+        if not idf:
+            return self.rows.select("hash", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("keyword")).limit(0)
+        times = F.element_at(F.create_map(*[F.lit(x) for pair in idf.items() for x in pair]), F.col("term"))
+        part = times * F.expr(f"f * {K1 + 1}D / (f + {K1}D * ({1 - B}D + {B}D * dl / {float(mean)!r}D))")
+        scored = self.rows.where(mine).groupBy("hash").agg(F.sum(part).alias("bm25"))
         top = scored.agg(F.max("bm25").alias("_top"))
-        return scored.crossJoin(F.broadcast(top)).select("hash", "bm25", F.when(F.col("_top") > 0, F.col("bm25") / F.col("_top")).otherwise(0.0).alias("keyword"))
+        return scored.crossJoin(F.broadcast(top)).selectExpr("hash", "bm25", "CASE WHEN _top > 0 THEN bm25 / _top ELSE 0D END AS keyword")

@@ -108,9 +108,9 @@ def process_videos(frames: DataFrame, transcripts: DataFrame, models) -> tuple[D
 
 
 def process_pdfs(pages: DataFrame, models) -> tuple[DataFrame, DataFrame]:
-    """Pages (hash, page, text, colour, title) to (results, vectors). The first pages are captioned; the text is cut into chunks with
+    """Pages (hash, page, text, colour, title) to (results, vectors). The first pages are captioned where they have a picture; the text is cut into chunks with
     their page; one more vector stands for the whole document."""
-    seen = captioned(pages.where(F.col("page") <= CAPTIONED_PAGES).select("hash", F.col("page").cast("double").alias("ref"), "colour"), models)
+    seen = captioned(pages.where((F.col("page") <= CAPTIONED_PAGES) & F.col("colour").isNotNull()).select("hash", F.col("page").cast("double").alias("ref"), "colour"), models)
     first = seen.groupBy("hash").agg(F.min(F.struct("ref", "caption")).alias("f"), F.array_distinct(F.collect_list("warning")).alias("warnings"))
     whole = pages.groupBy("hash").agg(F.max("title").alias("title"), F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
     whole = whole.select("hash", F.array_join(F.transform("p", lambda x: F.coalesce(x["text"], F.lit(""))), "\f").alias("body"), "title")

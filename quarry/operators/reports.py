@@ -92,23 +92,32 @@ def folders(files: DataFrame) -> DataFrame:
     return _present(files).select("folder").distinct().orderBy("folder")
 
 
+def markdown_table(rows: DataFrame) -> list[str]:
+    """A few rows as lines of a Markdown table, headed by their column names; nulls are empty."""
+    lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
+    return lines + ["| " + " | ".join("" if x is None else str(x).replace("|", "/") for x in r) + " |" for r in rows.toLocalIterator()]
+
+
 def dataset_markdown(files: DataFrame, assets: DataFrame) -> str:
-    """The dataset report as Markdown, made from a few aggregated rows."""
+    """The dataset report as Markdown, made from a few aggregated rows whose columns are formatted by Spark."""
     from quarry.functions.scalar import bytes_text
 
-    kinds = by_kind(files).withColumn("shown", bytes_text(F.col("bytes").cast("double"))).orderBy("kind").collect()
-    all_ = totals(files).where("is_total").withColumn("shown", bytes_text(F.coalesce(F.col("bytes"), F.lit(0)).cast("double"))).collect()
-    out = ["# Dataset summary", "", "| Type | Files | Unique | Size |", "|---|---|---|---|"]
-    out += [f"| {r['kind']} | {r['files']} | {r['unique_assets']} | {r['shown']} |" for r in kinds]
-    out += [f"| **All** | **{r['files']}** | | **{r['shown']}** |" for r in all_]
-    left = skipped_by_status(files, "ext").orderBy("file_status", "ext").collect()
-    if left:
-        out += ["", "Skipped files:", "", *[f"- {r['n']} × `{r['ext'] or '(no ending)'}`: {r['file_status']}" for r in left]]
-    out += ["", "| Type | Status | Count | Mean time |", "|---|---|---|---|"]
-    out += [f"| {r['kind']} | {r['status']} | {r['n']} | {(r['ms'] or 0) / 1000:.1f} s |" for r in status_by_kind(assets, files).orderBy("kind", "status").collect()]
-    m = media_totals(assets).first()
-    out += ["", f"Videos: {m['videos']}, {(m['seconds'] or 0) / 60:.0f} min, {m['frames'] or 0} frames, {m['with_speech'] or 0} with speech. PDF pages: {m['pages'] or 0}."]
-    return "\n".join(out) + "\n"
+    shown = bytes_text(F.coalesce(F.col("bytes"), F.lit(0)).cast("double")).alias("Size")
+    kinds = by_kind(files).orderBy("kind").select(F.col("kind").alias("Type"), F.col("files").alias("Files"), F.col("unique_assets").alias("Unique"), shown)
+    whole = totals(files).where("is_total").select(F.lit("all").alias("Type"), F.col("files").alias("Files"), F.lit(None).cast("long").alias("Unique"), shown)
+    left = skipped_by_status(files, "ext").orderBy("file_status", "ext").select(F.col("file_status").alias("Reason"), F.coalesce(F.nullif("ext", F.lit("")), F.lit("(no ending)")).alias("Ending"), F.col("n").alias("Files"))
+    seconds = F.format_string("%.1f s", F.coalesce("ms", F.lit(0.0)) / 1000).alias("Mean time")
+    times = status_by_kind(assets, files).orderBy("kind", "status").select(F.col("kind").alias("Type"), F.col("status").alias("Status"), F.col("n").alias("Assets"), seconds)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    media = media_totals(assets).select(
+        F.col("videos").alias("Videos"), F.round(zero(F.col("seconds")) / 60).cast("long").alias("Minutes"), zero(F.col("frames")).alias("Frames"),
+        zero(F.col("with_speech")).alias("With speech"), zero(F.col("pages")).alias("PDF pages"),
+    )
+    parts = [["# Dataset summary"], [*markdown_table(kinds), *markdown_table(whole)[2:]], markdown_table(times), markdown_table(media)]
+    skipped_lines = markdown_table(left)
+    if len(skipped_lines) > 2:
+        parts.insert(2, ["Skipped files:", "", *skipped_lines])
+    return "\n\n".join("\n".join(p) for p in parts) + "\n"
 
 
 def write_manifest(files: DataFrame, sources: DataFrame, path: str) -> None:

@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.scalar import dot, vector
+from quarry.functions.scalar import dot, vector, vector_sql
 
 #: Rows of ``vectors`` a match tells about.
 MATCH = ("source", "ref", "thumb", "label")
 
 
-def finished_vectors(vectors: DataFrame, assets: DataFrame, space: str) -> DataFrame:
-    """Vectors of one space whose asset is done, whether a file of it is present or not."""
-    return vectors.where(F.col("space") == space).join(assets.where(F.col("status") == "done").select("hash"), "hash", "left_semi")
+def finished_vectors(vectors: DataFrame, assets: DataFrame, *spaces: str) -> DataFrame:
+    """Vectors of these spaces whose asset is done, whether a file of it is present or not."""
+    return vectors.where(F.col("space").isin(*spaces)).join(assets.where(F.col("status") == "done").select("hash"), "hash", "left_semi")
 
 
 def best_per_asset(rows: DataFrame, query: Sequence[float]) -> DataFrame:
@@ -36,6 +36,25 @@ def best_per_asset(rows: DataFrame, query: Sequence[float]) -> DataFrame:
     return out.select("hash", score.alias("score"), F.struct((-F.col("b.n")).alias("id"), *[F.col(f"b.{c}").alias(c) for c in MATCH]).alias("match"))
 
 
+def signals(rows: DataFrame, asked: dict[str, tuple[str, Sequence[float]]]) -> DataFrame:
+    """(hash, then for each name asked: the score, ``z_`` its standardisation and ``_match``) from one pass over ``rows``, finished vectors of
+    all spaces. ``asked`` gives the space and the query vector of each name; scores and matches are those of ``best_per_asset``, z those of
+    ``zscored``. An asset without a usable vector in a space has nulls there."""
+    names = list(asked)
+    sims = {n: f"CASE WHEN space = '{s}' AND size(vec) = {len(v)} THEN aggregate(zip_with(vec, {vector_sql(v)}, (x, y) -> cast(x AS double) * y), 0D, (s, x) -> s + x) END" for n, (s, v) in asked.items()}
+    scored = rows.where(F.col("space").isin(*{s for s, _ in asked.values()})).selectExpr("hash", "id", *MATCH, *[f"{x} AS sim_{n}" for n, x in sims.items()])
+    match = ", ".join(MATCH)
+    real = lambda n: f"sim_{n} IS NOT NULL AND NOT isnan(sim_{n})"
+    best = [F.expr(f"max(CASE WHEN {real(n)} THEN struct(sim_{n} AS sim, -id AS n, {match}) END)").alias(f"b_{n}") for n in names]
+    summary = [F.expr(f"max(CASE WHEN {real(n)} AND source = 'pdf_summary' THEN struct(id, sim_{n} AS sim) END)").alias(f"s_{n}") for n in names]
+    found = scored.groupBy("hash").agg(*best, *summary).where(" OR ".join(f"b_{n} IS NOT NULL" for n in names))
+    each = [x for n in names for x in (f"CASE WHEN s_{n} IS NOT NULL THEN 0.5D * b_{n}.sim + 0.5D * s_{n}.sim ELSE b_{n}.sim END AS {n}", f"CASE WHEN b_{n} IS NOT NULL THEN struct(-b_{n}.n AS id, {', '.join(f'b_{n}.{c} AS {c}' for c in MATCH)}) END AS {n}_match")]
+    found = found.selectExpr("hash", *each)
+    stats = found.selectExpr(*[x for n in names for x in (f"avg({n}) AS mu_{n}", f"stddev_pop({n}) AS sd_{n}")])
+    z = [f"({n} - mu_{n}) / CASE WHEN sd_{n} > 1e-6 THEN sd_{n} ELSE 1D END AS z_{n}" for n in names]
+    return found.crossJoin(F.broadcast(stats)).selectExpr("hash", *names, *z, *[f"{n}_match" for n in names])
+
+
 def best_per_asset_many(rows: DataFrame, queries: list[tuple[int, Sequence[float]]]) -> DataFrame:
     """(query_id, hash, score, vec_id): ``best_per_asset`` for a block of queries at once. One product of matrices per batch, reduced to
     one row per query and asset before the shuffle."""

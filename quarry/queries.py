@@ -312,10 +312,22 @@ def _fusion(intent: str | None) -> str:
         x_id IS NOT NULL AND (v_id IS NULL OR kind = 'pdf' OR (x_source = 'transcript' AND semantic > 0.45)) AS by_text FROM scored)"""
 
 
+_SEARCHERS: dict[tuple, HybridSearcher] = {}
+
+
+def _searcher(spark: SparkSession, d: str, stems: bool) -> HybridSearcher:
+    """A searcher of the catalogue, kept with its vectors and postings as long as the catalogue's version stays."""
+    version = t(spark, d, "meta").where(F.col("key") == "vectors_version").first()["value"]
+    own = (spark.sparkContext.applicationId, d, stems)
+    if own not in _SEARCHERS:
+        _SEARCHERS[own] = HybridSearcher(t(spark, d, "assets"), t(spark, d, "files"), t(spark, d, "vectors"), stems=stems)
+    _SEARCHERS[own].keep_fresh(version, lambda: t(spark, d, "vectors"), scratch(spark, "postings"))
+    return _SEARCHERS[own]
+
+
 def _searched(spark: SparkSession, d: str, filters: Filters | None = None, stems: bool = False):
     q = t(spark, d, "eval_queries").where(F.col("id") == ROW).first()
-    searcher = HybridSearcher(t(spark, d, "assets"), t(spark, d, "files"), t(spark, d, "vectors"), stems=stems)
-    return _whole(searcher.search(TEXT, filters, 24, q["clip_vec"], q["text_vec"]))
+    return _whole(_searcher(spark, d, stems).search(TEXT, filters, 24, q["clip_vec"], q["text_vec"]))
 
 
 def _whole(response: Response) -> Response:
@@ -335,21 +347,18 @@ def fused_ranking_stemmed(spark: SparkSession, d: str) -> DataFrame:
     return _searched(spark, d, stems=True).results.select("hash", "kind", "score", "relevance", "confidence")
 
 
-_SEARCHERS: dict[tuple[str, str], HybridSearcher] = {}
+@query(_fusion("image") + " SELECT hash, kind, score, relevance, CASE WHEN score >= 2 THEN 'high' WHEN score >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM final ORDER BY score DESC, place LIMIT 24")
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship search, with the filter that lets every kind pass."""
+    return _searched(spark, d, Filters(min_mb=0)).results.select("hash", "kind", "score", "relevance", "confidence")
 
 
 @query(_fusion("image") + " SELECT hash, kind, score, relevance, CASE WHEN score >= 2 THEN 'high' WHEN score >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM final ORDER BY score DESC, place LIMIT 24")
-def indexed_search(spark: SparkSession, d: str) -> DataFrame:
-    """The same search by a searcher that keeps its vectors and postings until the catalogue's version changes."""
-    own = (spark.sparkContext.applicationId, d)
-    if own not in _SEARCHERS:
-        _SEARCHERS[own] = HybridSearcher(t(spark, d, "assets"), t(spark, d, "files"), t(spark, d, "vectors"), stems=False)
-    searcher = _SEARCHERS[own]
-    version = t(spark, d, "meta").where(F.col("key") == "vectors_version").first()["value"]
-    searcher.keep_fresh(version, lambda: t(spark, d, "vectors"), scratch(spark, "postings"))
+def unindexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same search without anything kept: every text is cut into words."""
     q = t(spark, d, "eval_queries").where(F.col("id") == ROW).first()
-    found = _whole(searcher.search(TEXT, None, 24, q["clip_vec"], q["text_vec"])).results
-    return found.select("hash", "kind", "score", "relevance", "confidence")
+    searcher = HybridSearcher(t(spark, d, "assets"), t(spark, d, "files"), t(spark, d, "vectors"), stems=False)
+    return _whole(searcher.search(TEXT, None, 24, q["clip_vec"], q["text_vec"])).results.select("hash", "kind", "score", "relevance", "confidence")
 
 
 @query(_fusion("image") + " SELECT kind, count(*) AS n, round(avg(score), 3) AS mean_score, max(score) AS best FROM final GROUP BY kind")
@@ -659,11 +668,11 @@ def mean_vector(spark: SparkSession, d: str) -> DataFrame:
     return m.select("hash", F.round(F.col("vec")[0], 4).alias("first"), F.round(F.col("vec")[95], 4).alias("last"))
 
 
-@query(f"""WITH {_MEANS}, sims AS (SELECT hash, 'tag' || e.id AS tag, list_dot_product(mean, e.clip_vec::DOUBLE[]) / CASE WHEN norm = 0 THEN 1 ELSE norm END AS sim FROM means, eval_queries e WHERE e.id <= 20),
+@query(f"""WITH {_MEANS}, sims AS (SELECT hash, 'tag' || e.id AS tag, list_dot_product(mean, e.clip_vec::DOUBLE[]) / CASE WHEN norm = 0 THEN 1 ELSE norm END AS sim FROM means, eval_queries e),
     top AS (SELECT hash, tag, row_number() OVER (PARTITION BY hash ORDER BY sim DESC, tag) AS k FROM sims WHERE sim >= 0.2)
     SELECT m.hash, coalesce(string_agg(tag, ' ' ORDER BY k), '') AS tags FROM means m LEFT JOIN (SELECT * FROM top WHERE k <= 5) t ON m.hash = t.hash GROUP BY m.hash""")
 def zero_shot_tags(spark: SparkSession, d: str) -> DataFrame:
-    vocabulary = [(f"tag{x['id']}", x["clip_vec"]) for x in t(spark, d, "eval_queries").where("id <= 20").select("id", "clip_vec").collect()]
+    vocabulary = [(f"tag{x['id']}", x["clip_vec"]) for x in t(spark, d, "eval_queries").select("id", "clip_vec").collect()]
     found = features.zero_shot_tags(features.mean_vectors(t(spark, d, "vectors"), "clip", 96), vocabulary)
     return found.select("hash", F.array_join("tags", " ").alias("tags"))
 
@@ -673,15 +682,14 @@ def zero_shot_tags(spark: SparkSession, d: str) -> DataFrame:
         UNION ALL SELECT e.user_id, e.k, e.t, CASE WHEN e.t - p.last >= 172800 THEN e.t ELSE p.last END, e.t - p.last >= 172800 FROM kept p JOIN ev e ON e.user_id = p.user_id AND e.k = p.k + 1)
     SELECT user_id, t FROM kept WHERE keep""")
 def greedy_keyframes(spark: SparkSession, d: str) -> DataFrame:
-    times = t(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)).alias("times"))
-    return times.select("user_id", F.explode(frames.kept_times(F.col("times"), 172_800.0)).alias("t"))
+    times = t(spark, d, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    return frames.kept_rows(times, "user_id", "t", 172_800.0)
 
 
 @query("""WITH g AS (SELECT user_id, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY user_id)
     SELECT user_id, unnest(list_distinct(CASE WHEN len(ids) <= 4 THEN ids ELSE list_transform(range(0, 4), lambda i: ids[round_even(i * (len(ids) - 1) / 3.0::DOUBLE, 0)::BIGINT + 1]) END)) AS event_id FROM g""")
 def even_downsample(spark: SparkSession, d: str) -> DataFrame:
-    ids = t(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-    return ids.select("user_id", F.explode(frames.evenly(F.col("ids"), 4)).alias("event_id"))
+    return frames.evenly_rows(t(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id", 4)
 
 
 @query("""SELECT hash, unnest(list_transform(range(0, least(floor(meta.duration / greatest(1, meta.duration / 60))::BIGINT, 59) + 1), lambda i: round(i * greatest(1, meta.duration / 60), 4))) AS t FROM assets WHERE kind = 'video' AND meta.duration > 0""")

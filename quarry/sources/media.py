@@ -1,22 +1,31 @@
-"""Decoding of media in Python workers. The decoders are optional libraries; without one, each file fails with a lasting error, as a
-corrupt one does, and the run goes on."""
+"""Decoding of media in Python workers. The decoders are optional libraries. A file that is itself at fault fails for good; without a
+decoder it fails for now, and is tried again once the library is there."""
 
 from __future__ import annotations
 
 import io
 import math
+import struct
+import zlib
+from dataclasses import dataclass
+
+import numpy as np
 
 
 class ProcessingError(Exception):
     """The file itself is at fault: trying again is no use."""
 
 
+class MissingDecoder(RuntimeError):
+    """The library that reads such files isn't installed: the file may be fine."""
+
+
 def image(data: bytes, largest: int = 768):
     """(RGB pixels as nested lists of rows, {width, height, format}) of the first frame, upright, no side over ``largest``."""
     try:
         from PIL import Image, ImageOps
     except ImportError as e:
-        raise ProcessingError("no image decoder") from e
+        raise MissingDecoder("no image decoder") from e
     try:
         Image.open(io.BytesIO(data)).verify()
         im = Image.open(io.BytesIO(data))
@@ -29,12 +38,12 @@ def image(data: bytes, largest: int = 768):
         raise ProcessingError(f"corrupt or unreadable image: {e}") from e
 
 
-def video_frames(path: str, most: int = 60, fallback: int = 240):
+def video_frames(path: str, most: int = 60, fallback: int = 240, misses: int = 3):
     """(list of (t, frame), {duration, fps, width, height}) at the candidate times of a video."""
     try:
         import cv2
     except ImportError as e:
-        raise ProcessingError("no video decoder") from e
+        raise MissingDecoder("no video decoder") from e
     cap = cv2.VideoCapture(path)
     if not cap.isOpened():
         raise ProcessingError("corrupt or unreadable video")
@@ -44,27 +53,51 @@ def video_frames(path: str, most: int = 60, fallback: int = 240):
         count = cap.get(cv2.CAP_PROP_FRAME_COUNT)
         duration = count / fps if count > 0 else 0.0
         step = max(1.0, duration / most)
-        out, n, due = [], 0, 0.0
-        while len(out) < (most if duration else fallback) and cap.grab():
-            if n / fps >= due:
-                ok, frame = cap.retrieve()
-                if ok:
-                    out.append((n / fps, frame))
-                due += step
-            n += 1
+        out = _sought(cap, cv2, duration, step, most, misses) if duration else []
+        if not out:  # no length, or the file can't be sought in: read on from the start
+            cap.set(cv2.CAP_PROP_POS_FRAMES, 0)
+            out, seen = _read_on(cap, fps, step, most if duration else fallback)
+            duration = duration or seen / fps
         if not out:
             raise ProcessingError("no frame could be decoded")
-        return out, {"duration": duration or n / fps, "fps": fps, "width": int(cap.get(3)), "height": int(cap.get(4))}
+        return out, {"duration": duration, "fps": fps, "width": int(cap.get(3)), "height": int(cap.get(4))}
     finally:
         cap.release()
 
 
+def _sought(cap, cv2, duration: float, step: float, most: int, misses: int) -> list:
+    """(t, frame) at the candidate times, each sought; given up after so many misses in a row, keeping what was found."""
+    out, missed = [], 0
+    for i in range(min(most, int(duration / step) + 1)):
+        cap.set(cv2.CAP_PROP_POS_MSEC, 1000.0 * i * step)
+        ok, frame = cap.read()
+        missed = 0 if ok else missed + 1
+        if ok:
+            out.append((i * step, frame))
+        elif missed >= misses:
+            break
+    return out
+
+
+def _read_on(cap, fps: float, step: float, most: int) -> tuple[list, int]:
+    """(t, frame) at the candidate times by reading every frame, and the number of frames read."""
+    out, n, due = [], 0, 0.0
+    while len(out) < most and cap.grab():
+        if n / fps >= due:
+            ok, frame = cap.retrieve()
+            if ok:
+                out.append((n / fps, frame))
+            due += step
+        n += 1
+    return out, n
+
+
 def pdf_pages(data: bytes, most: int = 60) -> tuple[list[str], dict]:
     """(text of the first pages, {pages, title})."""
     try:
         import fitz
     except ImportError as e:
-        raise ProcessingError("no PDF decoder") from e
+        raise MissingDecoder("no PDF decoder") from e
     try:
         doc = fitz.open(stream=data, filetype="pdf")
     except Exception as e:
@@ -74,3 +107,64 @@ def pdf_pages(data: bytes, most: int = 60) -> tuple[list[str], dict]:
     if not doc.page_count:
         raise ProcessingError("PDF without pages")
     return [doc[i].get_text() for i in range(min(most, doc.page_count))], {"pages": doc.page_count, "title": (doc.metadata or {}).get("title") or ""}
+
+
+def histogram(rgb: np.ndarray, bins: tuple[int, int, int] = (8, 4, 4)) -> np.ndarray:
+    """The share of an image's pixels in each cell of hue, saturation and value, hue first."""
+    x = np.asarray(rgb, np.float64).reshape(-1, 3) / 255.0
+    high, low = x.max(1), x.min(1)
+    spread = high - low
+    safe = np.where(spread > 0, spread, 1.0)
+    r, g, b = x.T
+    hue = np.where(high == r, (g - b) / safe % 6, np.where(high == g, (b - r) / safe + 2, (r - g) / safe + 4)) / 6
+    hue = np.where(spread > 0, hue, 0.0)
+    saturation = np.where(high > 0, spread / np.where(high > 0, high, 1.0), 0.0)
+    cell = [np.minimum((v * n).astype(int), n - 1) for v, n in zip((hue, saturation, high), bins, strict=True)]
+    counts = np.bincount((cell[0] * bins[1] + cell[1]) * bins[2] + cell[2], minlength=int(np.prod(bins)))
+    return counts / max(1, len(x))
+
+
+def brightness(rgb: np.ndarray) -> float:
+    """The mean luma of an image, 0 to 255."""
+    return float(np.asarray(rgb, np.float64).reshape(-1, 3).mean(0) @ np.array([0.299, 0.587, 0.114])) if np.size(rgb) else 0.0
+
+
+def thumbnail(rgb: np.ndarray, largest: int = 320) -> bytes:
+    """The image with no side over ``largest``, by averaging blocks of pixels, as a PNG."""
+    x = np.asarray(rgb, np.uint8)
+    block = max(1, math.ceil(max(x.shape[:2]) / largest))
+    h, w = max(1, x.shape[0] // block), max(1, x.shape[1] // block)
+    x = x[: h * block, : w * block].reshape(h, min(block, x.shape[0]), w, min(block, x.shape[1]), 3).mean((1, 3)).astype(np.uint8)
+    raw = b"".join(b"\0" + row.tobytes() for row in x)
+    part = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+@dataclass
+class Part:
+    """What a decoder gives of a file: a picture, a frame at time ``ref`` or a page ``ref``, each with pixels, text or both."""
+
+    ref: float | None = None
+    rgb: np.ndarray | None = None
+    text: str | None = None
+
+
+def read_image(path: str) -> tuple[list[Part], dict]:
+    with open(path, "rb") as f:
+        im, meta = image(f.read())
+    return [Part(None, np.asarray(im))], meta
+
+
+def read_video(path: str) -> tuple[list[Part], dict]:
+    frames, meta = video_frames(path)
+    return [Part(t, frame[:, :, ::-1]) for t, frame in frames], meta | {"candidates_checked": len(frames)}
+
+
+def read_pdf(path: str) -> tuple[list[Part], dict]:
+    with open(path, "rb") as f:
+        pages, meta = pdf_pages(f.read())
+    return [Part(float(i), None, text) for i, text in enumerate(pages, 1)], meta
+
+
+#: The decoder of each kind: from a path to parts and metadata.
+DECODERS = {"image": read_image, "video": read_video, "pdf": read_pdf}

@@ -244,7 +244,11 @@ def test_export_and_query_set(spark, tmp_path):
     results = spark.createDataFrame([("q", 1, "b", "frame", 3.0, "a|b")], "query string, rank int, hash string, source string, ref double, label string")
     judgments = spark.createDataFrame([("q", "b", 1)], "query string, hash string, relevant int")
     text = e.export(results, judgments, e.metrics(results, judgments), f"file://{tmp_path}/out")
-    assert "frame @ 3s: a/b" in text and "✅" in text
+    assert "frame ▶ 0:03: a/b" in text and "✅" in text and "| q |  | 1.0 | 1.0 |  |" in text
+    told = spark.createDataFrame([("q", "find it", "an image", "image", 12)], "query string, intent string, expected string, detected_type string, ms long")
+    notes = spark.createDataFrame([("q", "worked")], "query string, note string")
+    text = e.export(results, judgments, e.metrics(results, judgments), f"file://{tmp_path}/out", queries=told, notes=notes)
+    assert "Intent: find it" in text and "Expected: an image" in text and "Note: worked" in text and "| q | image | 1.0 | 1.0 | 12 |" in text
     path = tmp_path / "queries.json"
     path.write_text('[{"id": 1, "query": "red", "filters": {"kinds": ["pdf"]}}, {"id": 2, "query": "blue"}]')
     rows = e.query_set(spark, str(path)).orderBy("id").collect()
@@ -297,7 +301,7 @@ def test_mean_vectors_and_tags(spark):
 def test_reports(catalogue):
     assets, files, _ = catalogue
     text = r.dataset_markdown(files, assets)
-    assert "not read" not in text and "`.txt`: unsupported" in text
+    assert "| unsupported | .txt | 1 |" in text
     assert r.duplicate_files(files).first()[0] == 1 and r.duplicate_files(files.limit(0)).first()[0] == 0
     assert {x["state"] for x in r.problems(assets, files).collect()} == {"unsupported"}
 

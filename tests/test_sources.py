@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
+import sys
+import types
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators.processors import FakeModels, process_images, process_pdfs, process_videos
+from quarry.operators.processors import COLOURS, FakeModels, process_images, process_pdfs, process_videos
+from quarry.plans.ingest import Ingest
+from quarry.plans.media import media_process
 from quarry.session import scratch
 from quarry.sources.folder import content_hashes, scan
-from quarry.sources.media import ProcessingError, image
+from quarry.sources.media import MissingDecoder, Part, ProcessingError, brightness, histogram, image, thumbnail, video_frames
 from quarry.streaming.keyframes import newest_stream, spaced_stream
 
 
@@ -38,9 +45,107 @@ def test_content_hashes(spark, tree):
     assert [tuple(r) for r in content_hashes(paths).collect()] == [(str(tree / "a/two.txt"), hashlib.sha256(b"a/two.txt").hexdigest())]
 
 
-def test_decoders_fail_for_good():
-    with pytest.raises(ProcessingError):
-        image(b"no image")
+def test_decoders_say_what_is_at_fault():
+    try:
+        import PIL  # noqa: F401
+
+        with pytest.raises(ProcessingError):
+            image(b"no image")
+    except ImportError:
+        with pytest.raises(MissingDecoder):  # the file may be fine
+            image(b"no image")
+
+
+def test_picture_features():
+    red, grey = np.full((40, 30, 3), (220, 30, 30), np.uint8), np.full((4, 4, 3), 128, np.uint8)
+    h = histogram(red)
+    assert h.shape == (128,) and h.sum() == pytest.approx(1) and (h > 0).sum() == 1 and h.argmax() == (0 * 4 + 3) * 4 + 3
+    assert histogram(grey).argmax() == 2 and brightness(grey) == pytest.approx(128)
+    mixed = histogram(np.stack([red[:4, :4], np.full((4, 4, 3), (30, 30, 220), np.uint8)]))
+    assert mixed[15] == 0.5 and mixed[(5 * 4 + 3) * 4 + 3] == 0.5
+    for shape in ((1, 1, 3), (700, 500, 3), (1, 900, 3)):
+        png = thumbnail(np.zeros(shape, np.uint8), 320)
+        w, h = struct.unpack(">II", png[16:24])
+        assert png.startswith(b"\x89PNG") and max(w, h) <= 320 and min(w, h) >= 1
+        assert len(zlib.decompress(png[41:-16])) == h * (3 * w + 1)
+
+
+class Cap:
+    """A capture of ``frames`` frames at one a second, of which those in ``bad`` can't be read; ``seeks`` says whether it can be sought in."""
+
+    def __init__(self, frames, bad=(), length=True, seeks=True):
+        self.frames, self.bad, self.length, self.seeks, self.at = frames, set(bad), length, seeks, 0
+
+    def isOpened(self): return True
+    def release(self): pass
+    def get(self, what): return {"fps": 1.0, "count": float(self.frames if self.length else 0)}.get(what, 8)
+    def set(self, what, value): self.at = int(value / 1000 if what == "ms" else value)
+    def grab(self): self.at += 1; return self.at <= self.frames
+    def retrieve(self): return self.at - 1 not in self.bad, self.at - 1
+    def read(self):
+        ok = self.seeks and self.at < self.frames and self.at not in self.bad
+        return ok, self.at
+
+
+@pytest.mark.parametrize(
+    ("cap", "times"),
+    [
+        (Cap(5), [0, 1, 2, 3, 4]), (Cap(6, bad=[1]), [0, 2, 3, 4, 5]), (Cap(9, bad=[2, 3, 4]), [0, 1]), (Cap(4, seeks=False), [0, 1, 2, 3]), (Cap(3, length=False), [0, 1, 2]), (Cap(2, bad=[0, 1]), None),
+    ],
+)
+def test_video_sampling(monkeypatch, cap, times):
+    module = types.SimpleNamespace(VideoCapture=lambda path: cap, CAP_PROP_FPS="fps", CAP_PROP_FRAME_COUNT="count", CAP_PROP_POS_MSEC="ms", CAP_PROP_POS_FRAMES="frame")
+    monkeypatch.setitem(sys.modules, "cv2", module)
+    if times is None:
+        with pytest.raises(ProcessingError):
+            video_frames("x")
+    else:
+        assert [t for t, _ in video_frames("x")[0]] == times
+
+
+def reader():
+    """A decoder made inside a function, so that workers get it by value."""
+
+    def read(path):
+        """Files of these tests: colours by comma, or pages by form feed."""
+        with open(path) as f:
+            text = f.read()
+        if text == "broken":
+            raise ProcessingError("corrupt file")
+        if text == "later":
+            raise MissingDecoder("no decoder")
+        if path.endswith(".pdf"):
+            return [Part(float(i), None if page else np.full((2, 2, 3), COLOURS["red"], np.uint8), page) for i, page in enumerate(text.split("\f"), 1)], {"pages": text.count("\f") + 1, "title": ""}
+        frames = [np.full((8, 6, 3), COLOURS[c], np.uint8) for c in text.split(",")]
+        return [Part(None if len(frames) == 1 else 2.0 * i, f) for i, f in enumerate(frames)], {"width": 6, "height": 8, "duration": 2.0 * len(frames)}
+
+    return read
+
+
+def test_a_folder_is_indexed_by_kind(spark, tmp_path):
+    root = tmp_path / "media"
+    root.mkdir()
+    files = {"red.jpg": "red", "clip.mp4": "green,green,blue", "doc.pdf": "Luxury yellow homes for all families of the town.\f", "bad.jpg": "broken", "late.png": "later", "notes.txt": "x"}
+    for name, text in files.items():
+        (root / name).write_text(text)
+    process = media_process(FakeModels(), dict.fromkeys(("image", "video", "pdf"), reader()), lambda path: "a quiet speech about the green garden", lambda rgb: "scanned words of a page")
+    ingest = Ingest(spark, scratch(spark, "catalogue"), "sig", lambda r: scan(spark, r, 1.0), content_hashes, process)
+    counters = ingest.run(str(root))
+    assert (counters["processed"], counters["failed"], counters["unsupported"]) == (3, 2, 1)
+    names = {r["hash"]: r["filename"] for r in ingest.read("files").where("hash is not null").collect()}
+    assets = {names[r["hash"]]: r for r in ingest.read("assets").collect()}
+    assert assets["red.jpg"]["caption"] == "a red picture" and assets["red.jpg"]["meta"]["width"] == 6 and assets["red.jpg"]["thumb"].startswith("data:image/png;base64,")
+    assert "TRANSCRIPT: a quiet speech" in assets["clip.mp4"]["body"] and assets["clip.mp4"]["meta"]["has_speech"] and assets["clip.mp4"]["meta"]["frames_sampled"] == 2
+    assert assets["doc.pdf"]["body"].endswith("\fscanned words of a page") and assets["doc.pdf"]["meta"]["ocr_pages"] == 1 and assets["doc.pdf"]["meta"]["pages"] == 2
+    assert (assets["bad.jpg"]["status"], assets["bad.jpg"]["attempts"]) == ("failed", 3)
+    assert (assets["late.png"]["status"], assets["late.png"]["attempts"]) == ("failed", 1) and "no decoder" in assets["late.png"]["error"]
+    sources = {(names[r["hash"]], r["space"], r["source"]) for r in ingest.read("vectors").collect()}
+    assert {("red.jpg", "clip", "image"), ("clip.mp4", "clip", "frame"), ("clip.mp4", "text", "transcript"), ("doc.pdf", "clip", "page"), ("doc.pdf", "text", "pdf_text"), ("doc.pdf", "text", "pdf_summary")} <= sources
+    # the decoder is there now: only the file that failed for want of it is done
+    (root / "late.png").touch()
+    ingest.process = media_process(FakeModels(), {"image": lambda path: ([Part(None, np.full((2, 2, 3), COLOURS["blue"], np.uint8))], {})})
+    assert ingest.run(str(root))["processed"] == 1
+    assert {names[r["hash"]] for r in ingest.read("assets").where("status = 'done'").collect()} == {"red.jpg", "clip.mp4", "doc.pdf", "late.png"}
 
 
 def test_processors(spark):
