@@ -157,6 +157,7 @@ def split_pages(assets: DataFrame, key: str = "hash", body: str = "body", limit:
     return spread(source).mapInArrow(split, f"`{key}` {key_type}, ref long, {PIECE}")
 
 
-def oversized_pages(cut: DataFrame, key: str = "hash", limit: int = LIMIT) -> DataFrame:
-    """(key, ref) of the pages that had to be cut: each is known from its first piece, so nothing is shuffled."""
-    return cut.where((F.col("piece") == 1) & (F.col("page_chars") > limit)).select(key, "ref")
+def oversized_pages(cut: DataFrame, key: str = "hash") -> DataFrame:
+    """(key, ref) of the pages that had to be cut, each known from its second piece: only a page over the limit has one, and nothing is
+    shuffled."""
+    return cut.where(F.col("piece") == 2).select(key, "ref")
