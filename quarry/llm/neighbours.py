@@ -323,8 +323,49 @@ def _search(index: Space, name: str, files: _Files, k: int) -> Iterator[tuple[np
             yield who, top[keep].reshape(-1, k), np.minimum(score[keep].reshape(-1, k), 1.0)
 
 
-def neighbours(vectors: DataFrame, id_column: str = "id", vec: str = "vec", k: int = K) -> DataFrame:
-    """(id, space, rank, neighbour, cosine): of every usable row, the ``k`` most similar other rows of its space.
+def _compared(index: Space, name: str, files: _Files, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``_search`` yields, by comparing the rows of one file with every row of the space; only the best so far are held."""
+    d = index.centroids.shape[1]
+    own = files(name, d)
+    if own is None:
+        return
+    ids, sizes, starts, queries = own[:4]
+    for a in range(0, len(queries), BLOCK):
+        q = queries[a : a + BLOCK].astype(np.float64)
+        q /= np.linalg.norm(q, axis=1, keepdims=True)
+        score, other = np.full((len(q), k + 1), -2.0), np.full((len(q), k + 1), np.iinfo(np.int64).max)
+        for n in (n for f in range(len(index.blocks)) for n in index.names(f)):
+            entry = files(n, d)
+            if entry is None:
+                continue
+            for b in range(0, len(entry[3]), 8192):
+                y = entry[3][b : b + 8192].astype(np.float64)
+                s = q @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+                best = best_columns(s, min(k + 1, s.shape[1]))
+                least = np.take_along_axis(s, best, 1).min(1)
+                r, c = np.nonzero(s >= least[:, None] - 1e-12)  # ties go by id
+                many = np.minimum(entry[1][b + c], k + 1)
+                total = np.cumsum(many)
+                inner = np.arange(total[-1]) - np.repeat(total - many, many)
+                rows, cosine = np.repeat(r, many), np.repeat(s[r, c], many)
+                member = entry[0][np.repeat(entry[2][b + c], many) + inner]
+                rows, cosine, member = np.concatenate([np.repeat(np.arange(len(q)), k + 1), rows]), np.concatenate([score.ravel(), cosine]), np.concatenate([other.ravel(), member])
+                order = np.lexsort((member, -np.round(cosine, 12), rows))
+                begin = np.searchsorted(rows[order], np.arange(len(q)))
+                pick = order[begin[:, None] + np.arange(k + 1)]
+                score, other = cosine[pick], member[pick]
+        mine = np.arange(a, a + len(q))
+        copies = sizes[mine]
+        who = ids[np.repeat(starts[mine] - (np.cumsum(copies) - copies), copies) + np.arange(copies.sum())]
+        top, value = np.repeat(other, copies, axis=0), np.repeat(score, copies, axis=0)
+        itself = (top == who[:, None]) & (value > -1.5)
+        keep = np.arange(k + 1)[None, :] != np.where(itself.any(1), itself.argmax(1), k)[:, None]
+        yield who, top[keep].reshape(-1, k), np.minimum(value[keep].reshape(-1, k), 1.0)
+
+
+def neighbours(vectors: DataFrame, id_column: str = "id", vec: str = "vec", k: int = K, exact: bool = False) -> DataFrame:
+    """(id, space, rank, neighbour, cosine): of every usable row, the ``k`` most similar other rows of its space. With ``exact`` every row is
+    compared with every other, in blocks: no neighbour is missed, and the work grows with the square of the rows.
 
     Usable: usual length, finite, not all zero, a known space and an id. Equal cosines (to 12 places) go by id. Fewer than ``k`` other
     rows give fewer neighbours; unusable rows have none. Ids are taken to be unique: rows that repeat an id with the same vector count as copies.
@@ -343,7 +384,7 @@ def neighbours(vectors: DataFrame, id_column: str = "id", vec: str = "vec", k: i
         files = _Files()
         for batch in batches:
             for space, name in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for who, other, cosine in _search(sent.value[space], name, files, k):
+                for who, other, cosine in (_compared if exact else _search)(sent.value[space], name, files, k):
                     rank = np.tile(np.arange(1, k + 1, dtype=np.int32), len(who))
                     real = cosine.ravel() > -1.5
                     yield pa.RecordBatch.from_arrays(

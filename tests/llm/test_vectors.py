@@ -68,6 +68,21 @@ def test_neighbours(table):
     assert pairs <= close
 
 
+def test_exact_neighbours_miss_none(table):
+    df, rows = table
+    found = neighbours(df, exact=True).toPandas()
+    for space in LENGTHS:
+        ids, x = usable(rows, space)
+        s = x @ x.T
+        np.fill_diagonal(s, -2)
+        by = dict(tuple(found[found.space == space].sort_values("rank").groupby("id")))
+        assert set(by) == set(ids.tolist())
+        for k, i in enumerate(ids.tolist()):
+            assert by[i].cosine.to_numpy() == pytest.approx(np.sort(s[k])[::-1][:10], abs=1e-6) and i not in set(by[i].neighbour) and by[i].neighbour.is_unique
+    few = neighbours(df.where("id in (1, 2, 3)"), exact=True)
+    assert few.count() == 6
+
+
 def test_few_rows_have_few_neighbours(spark, table):
     df, _ = table
     few = neighbours(df.where("id in (1, 2, 3)")).collect()
