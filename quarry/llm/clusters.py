@@ -15,7 +15,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.session import scratch, spread, written
@@ -28,6 +30,8 @@ STEP, LEAST = 0.75, 5
 TAG_DIMS, TAG_WEIGHT = 32, 0.1
 #: Rounds of oversampling and of k-means; cells a record is sent to; rows from which a cell gets more centroids, one for each FILL rows.
 SEED_ROUNDS, MEAN_ROUNDS, CELLS, FULL, FILL = 4, 2, 3, 4096, 1024
+#: Centroids on the driver from seeding, and as many again from full cells, at most: 2 * MOST * 512 bytes are broadcast. Beyond it cells grow.
+MOST = 65_536
 #: A record whose nearest centroid is under this cosine lies between cells, and is sent to so many.
 LOOSE, LOOSE_CELLS = 0.7, 10
 #: In the exact pass a row of at least this cosine to its centre is compared by its angles; rows taken together of the others.
@@ -85,7 +89,7 @@ class Cells:
 
     def __init__(self, rows: DataFrame, total: int):
         self.rows, self.spark = rows.select("id", "feature"), rows.sparkSession
-        self.k = max(1, round(1.5 * total**0.5))
+        self.k = max(1, min(MOST, round(1.5 * total**0.5)))
         first = np.array(self.rows.orderBy(F.xxhash64("id"), "id").limit(1).collect()[0]["feature"], np.float32)
         seeds, cost = first[None], 2.0 * total
         for turn in range(SEED_ROUNDS):
@@ -99,25 +103,27 @@ class Cells:
             self.centroids = np.where(norm > 0, sums / np.maximum(norm, 1e-12), self.centroids).astype(np.float32)
         full = counts > FULL
         if full.any():
-            self.centroids = np.concatenate([self.centroids[~full], self._inside(self.centroids, full)])
+            self.centroids = np.concatenate([self.centroids[~full], self._inside(self.centroids, full, float(counts[full].sum()))])
 
     def _oversample(self, centres: np.ndarray, cost: float, turn: int) -> tuple[np.ndarray, float]:
-        """Rows drawn with a chance in proportion to their squared distance, about k of them; and the cost of the centres so far."""
+        """Rows drawn with a chance in proportion to their squared distance, about k of them; and the cost of the centres so far. What comes to
+        the driver is these rows, k on average and at most a few standard deviations more, and a number a partition."""
         sent, k = self.spark.sparkContext.broadcast(centres), self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0.0
             for batch in batches:
                 x = _features(batch)
                 away = np.maximum(0.0, 2 - 2 * nearest(x, sent.value)[1].astype(np.float64))
+                total += float(away.sum())
                 drawn = np.flatnonzero(_chance(batch.column(0).to_numpy(), turn) < k * away / max(cost, 1e-9))
-                flat = x[drawn].ravel()
-                offsets = np.concatenate([np.arange(len(drawn) + 1) * x.shape[1], [len(flat)]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([0.0] * len(drawn) + [float(away.sum())]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["cost", "feature"])
+                if len(drawn):
+                    yield pa.RecordBatch.from_arrays([pa.array([0.0] * len(drawn)), batch.column(1).take(pa.array(drawn))], names=["cost", "feature"])
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([[]], pa.list_(pa.float32()))], names=["cost", "feature"])
 
-        out = self.rows.mapInArrow(run, "cost double, feature array<float>")
-        got = out.groupBy((F.size("feature") == 0).alias("sum")).agg(F.sum("cost").alias("cost"), F.collect_list("feature").alias("rows")).collect()
-        drawn = [f for r in got if not r["sum"] for f in r["rows"]]
-        return np.array(drawn, np.float32).reshape(-1, centres.shape[1]), next((r["cost"] for r in got if r["sum"]), 0.0)
+        got = self.rows.mapInArrow(run, "cost double, feature array<float>").toArrow()
+        drawn = got.column("feature").combine_chunks().flatten().to_numpy(zero_copy_only=False) if got.num_rows else np.zeros(0, np.float32)
+        return drawn.reshape(-1, centres.shape[1]), float(pa.compute.sum(got.column("cost")).as_py() or 0.0)
 
     def _means(self, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sum of the rows nearest each centre, their number); summed per partition first, then by centre."""
@@ -177,19 +183,20 @@ class Cells:
             c = np.where(norm > 0, sums / np.maximum(norm, 1e-12), c).astype(np.float32)
         return c
 
-    def _inside(self, centres: np.ndarray, full: np.ndarray) -> np.ndarray:
-        """New centroids for full cells: one of each FILL of their rows."""
-        sent = self.spark.sparkContext.broadcast((centres, full))
+    def _inside(self, centres: np.ndarray, full: np.ndarray, rows: float) -> np.ndarray:
+        """New centroids for full cells, which hold ``rows`` rows: one of each FILL of them, or fewer, so that about MOST come to the driver."""
+        sent, rate = self.spark.sparkContext.broadcast((centres, full)), min(1 / FILL, MOST / max(1.0, rows))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = _features(batch)
-                drawn = np.flatnonzero(_chance(batch.column(0).to_numpy(), 99) < 1 / FILL)
+                drawn = np.flatnonzero(_chance(batch.column(0).to_numpy(), 99) < rate)
                 drawn = drawn[sent.value[1][nearest(x[drawn], sent.value[0])[0]]] if len(drawn) else drawn
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(drawn))], names=["feature"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(drawn, pa.int64()))], names=["feature"])
 
-        rows = self.rows.mapInArrow(run, "feature array<float>").collect()
-        return np.array([r["feature"] for r in rows], np.float32).reshape(-1, centres.shape[1]) if rows else centres[full]
+        got = self.rows.mapInArrow(run, "feature array<float>").toArrow()
+        drawn = got.column("feature").combine_chunks().flatten().to_numpy(zero_copy_only=False) if got.num_rows else np.zeros(0, np.float32)
+        return drawn.reshape(-1, centres.shape[1]) if len(drawn) else centres[full]
 
 
 def chains(x: np.ndarray, step: float) -> np.ndarray:
@@ -411,8 +418,6 @@ class Groups:
             return self.spark.createDataFrame([], "id_a long, id_b long")
         width = max(1, (high - low + 1) * rows_a_bucket // n)
         rows = self.members.withColumn("bucket", F.floor(F.col("id") / F.lit(width)).cast("long"))
-        from pyspark.sql import Window as W
-
         inside = rows.select("id", F.lead("id").over(W.partitionBy("root", "bucket").orderBy("id")).alias("next")).where("next is not null")
         edges = rows.groupBy("root", "bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"))
         across = edges.select(F.col("high").alias("id"), F.lead("low").over(W.partitionBy("root").orderBy("bucket")).alias("next")).where("next is not null")
@@ -454,7 +459,9 @@ class Groups:
         best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "id"))), 1, TYPICAL)
         typical = near.groupBy("root").agg(best.alias("best"))
         counted = rows.select("root", F.explode("tags").alias("tag")).groupBy("root", "tag").agg(F.count("*").alias("n"))
-        tags = counted.groupBy("root").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("d"), "tag"))), 1, TAGS).alias("tags"))
+        # the first few of each part come before the shuffle: no group's tags meet in whole
+        ranked = counted.withColumn("place", F.row_number().over(W.partitionBy("root").orderBy(F.desc("n"), "tag"))).where(F.col("place") <= TAGS)
+        tags = ranked.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("place", "tag"))).alias("tags"))
         return (
             self.sizes.join(typical, "root").join(tags, "root", "left")
             .select(F.col("root").alias("group_id"), "size", F.col("best.id").alias("typical"), F.transform("best.d", lambda d: -d).alias("similarity"), F.coalesce("tags.tag", F.array().cast("array<string>")).alias("tags"))
