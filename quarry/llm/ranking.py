@@ -21,23 +21,23 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.session import scratch, spread, written
+from quarry.functions.scalar import STOP as KEYWORD_STOP
+from quarry.session import numbered, scratch, spread, written
 
 from .vectorspace import LENGTHS, get, matrix, pieces, put
 
 #: Weight of the scores by clip vector, text vector and words.
 WEIGHTS = np.array([1.0, 1.0, 0.75])
-#: Levels of a score; queries handled in one pass; assets of one query that are put in order together.
-LEVELS, QUERIES, TOGETHER = 8192, 128, 4000
+#: Levels of a score; queries handled in one pass.
+LEVELS, QUERIES = 8192, 128
 #: Assets of a block; scores of one query that are sorted together.
 BLOCK, RANGE = 512, 1_000_000
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"[^\W_]+")
-# Words of the query language that say nothing about the content.
-STOP = set("a an the of with and or in on to for showing containing related about show me find some any all is are that this at by from images image videos video brochures pages le la les de des du et un une el los las y con der die das und ein eine".split())
+#: Words that say nothing about the content: those of the keyword search, and the commonest of the other languages' queries.
+STOP = {*KEYWORD_STOP, "le", "la", "les", "de", "des", "du", "et", "un", "une", "el", "los", "las", "y", "con", "der", "die", "das", "und", "ein", "eine", "image", "images", "video", "videos", "brochures", "pages"}
 
 
 def folded(text: str) -> list[str]:
@@ -335,7 +335,7 @@ def _ranked(rows: list, assets: DataFrame, vectors: DataFrame, weights: np.ndarr
         return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("position"), "hash", "kind", "median_rank", "mean_rank", "scores")
     scored = written(scores(assets, vectors, rows), "scores")
     sizes = {r["kind"]: r["n"] for r in scored.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    kinds, total = sorted(sizes), sum(sizes.values())
+    kinds = sorted(sizes)
     folder = scratch(spark, "ranks")
     _tables(scored, n, kinds, folder)
     ids = np.array([int(r["id"]) for r in rows], np.int32)
@@ -363,9 +363,7 @@ def _ranked(rows: list, assets: DataFrame, vectors: DataFrame, weights: np.ndarr
     shares = _shares(scored, n, kinds, sizes, folder).withColumns({c: F.lit(None).cast(t) for c, t in {"row": "int", "hash": "string", "kind": "string"}.items()})
     met = heads.unionByName(shares).repartition("block").sortWithinPartitions("block")
     ranked = written(met.mapInArrow(run, schema), "ranked")
-    buckets = max(1, total // TOGETHER)
-    ranked = ranked.withColumn("bucket", F.least(F.floor(F.col("median_rank") * buckets), F.lit(buckets)).cast("int"))
-    placed = ranked.withColumn("inner", F.row_number().over(W.partitionBy("query_id", "bucket").orderBy("median_rank", "mean_rank", "hash")))
-    counts = ranked.groupBy("query_id", "bucket").agg(F.count("*").alias("n"))
-    before = counts.select("query_id", "bucket", F.coalesce(F.sum("n").over(W.partitionBy("query_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return placed.join(before, ["query_id", "bucket"]).select("query_id", (F.col("before") + F.col("inner")).cast("int").alias("position"), "hash", "kind", "median_rank", "mean_rank", "scores")
+    # places over all queries at once, in ranges: neither a query nor a crowd of equal ranks is in one task
+    placed = numbered(ranked, ["query_id", "median_rank", "mean_rank", "hash"], "placed")
+    first = placed.groupBy("query_id").agg(F.min("_place").alias("_first"))  # a row a query of this pass
+    return placed.join(F.broadcast(first), "query_id").select("query_id", (F.col("_place") - F.col("_first") + 1).cast("int").alias("position"), "hash", "kind", "median_rank", "mean_rank", "scores")
