@@ -185,8 +185,8 @@ def _edits(fix: pd.Series, word: pd.Series) -> pd.Series:
 
 
 def survey(bodies: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, hyphen, header, pageno, words): what a body shows by itself, and its distinct words, lower-case, in which a leading '^' marks a
-    word only met capitalised."""
+    """(key, hyphen, header, pageno, words, tokens): what a body shows by itself; its distinct words, lower-case, in which a leading '^' marks a
+    word only met capitalised; and all its words in order, lower-case, parted by blanks."""
     kind = bodies.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,29 +198,26 @@ def survey(bodies: DataFrame, key: str, body: str) -> DataFrame:
                 if words and text.rstrip().endswith(words[-1]):
                     words.pop()  # a body may be cut inside its last word
                 met = set(words)
+                tokens = " ".join(words).lower()
                 lower = {w for w in met if not w[0].isupper()}
-                rows.append((split, header, pageno, [*lower, *{"^" + w.lower() for w in met if w[0].isupper() and w.lower() not in lower}]))
+                rows.append((split, header, pageno, [*lower, *{"^" + w.lower() for w in met if w[0].isupper() and w.lower() not in lower}], tokens))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.list_(pa.string()))],
-                names=[key, "hyphen", "header", "pageno", "words"],
+                [batch.column(0), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.list_(pa.string())), pa.array([r[4] for r in rows], pa.string())],
+                names=[key, "hyphen", "header", "pageno", "words", "tokens"],
             )
 
-    return bodies.mapInArrow(run, f"`{key}` {kind}, hyphen int, header boolean, pageno boolean, words array<string>")
+    return bodies.mapInArrow(run, f"`{key}` {kind}, hyphen int, header boolean, pageno boolean, words array<string>, tokens string")
 
 
-def _tokens(value: str) -> list[str]:
-    return _WORD.findall(_SPLIT.sub(_joined, value).lower())
-
-
-def contexts(bodies: DataFrame, body: str, vectors: Vectors, chance: dict[str, float]) -> DataFrame:
-    """(word, v0 ... ): of every word of all bodies, the sum of its neighbours' vectors; frequent neighbours count less."""
+def contexts(texts: DataFrame, tokens: str, vectors: Vectors, chance: dict[str, float]) -> DataFrame:
+    """(word, v0 ... ): of every word of all texts, the sum of its neighbours' vectors; frequent neighbours count less."""
     columns = [f"v{i}" for i in range(DIMS)]
-    sent = bodies.sparkSession.sparkContext.broadcast((vectors, chance))
+    sent = texts.sparkSession.sparkContext.broadcast((vectors, chance))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, chance = sent.value
         for batch in batches:
-            words, t = indexed(batch.column(0).to_pylist(), _tokens)
+            words, t = indexed(batch.column(0).to_pylist())
             if not words:
                 continue
             base = vectors.of(words, "around") * np.array([chance.get(w, 1.0) for w in words], np.float32)[:, None]
@@ -234,10 +231,10 @@ def contexts(bodies: DataFrame, body: str, vectors: Vectors, chance: dict[str, f
             begin = np.searchsorted(t[real][order], np.arange(len(words)))
             yield pa.RecordBatch.from_arrays([pa.array(words), *(pa.array(c) for c in np.add.reduceat(around[real][order], begin).T)], names=["word", *columns])
 
-    return bodies.select(body).mapInArrow(run, "word string, " + ", ".join(f"{c} float" for c in columns)).groupBy("word").agg(*(F.sum(c).alias(c) for c in columns))
+    return texts.select(tokens).mapInArrow(run, "word string, " + ", ".join(f"{c} float" for c in columns)).groupBy("word").agg(*(F.sum(c).alias(c) for c in columns))
 
 
-def corrections(surveyed: DataFrame, bodies: DataFrame, body: str) -> DataFrame:
+def corrections(surveyed: DataFrame) -> DataFrame:
     """(word, fix, edits, likeness): rare words that are misread frequent ones. One fix for a word: most alike in context, then most
     frequent, then first in the alphabet."""
     met = surveyed.select(F.explode("words").alias("w"))
@@ -254,7 +251,7 @@ def corrections(surveyed: DataFrame, bodies: DataFrame, body: str) -> DataFrame:
     frequent = vocabulary.where((F.col("n") >= FREQUENT) & ~F.col("word").rlike("[0-9]")).select(F.col("word").alias("fix"), F.col("n").alias("many"), F.col("lower").alias("many_lower"), "skeleton")
     links = rare.join(frequent, "skeleton").where((F.col("word") != F.col("fix")) & (F.col("many") >= RATIO * F.col("few")))
     links = links.withColumn("edits", _edits("fix", "word")).where("edits > 0")
-    around = written(contexts(bodies, body, *learn(bodies, body, _tokens)), "contexts")
+    around = written(contexts(surveyed, "tokens", *learn(surveyed, "tokens")), "contexts")
     names = [f"v{i}" for i in range(DIMS)]
     a = around.select(F.col("word"), F.array(*names).alias("a"))
     b = around.select(F.col("word").alias("fix"), F.array(*names).alias("b"))
@@ -276,7 +273,7 @@ class Scans:
         self.key, self.body = key, body
         self.bodies = spread(assets.where((F.col("kind") == "pdf") & F.col(body).isNotNull() & (F.length(F.trim(F.col(body))) > 0)).select(key, body))
         self.surveyed = written(survey(self.bodies, key, body), "scan-survey")
-        self.corrections = written(corrections(self.surveyed, self.bodies, body), "scan-corrections")
+        self.corrections = written(corrections(self.surveyed), "scan-corrections")
         words = self.surveyed.select(key, F.explode("words").alias("w")).select(key, F.ltrim(F.col("w"), F.lit("^")).alias("word"))
         self.fixes = words.join(self.corrections, "word").groupBy(key).agg(F.collect_set(F.struct("word", "fix")).alias("fixes"))
 

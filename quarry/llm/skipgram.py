@@ -8,7 +8,7 @@ collected has a proven bound whatever the vocabulary, and rare words have vector
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -51,29 +51,20 @@ class Vectors:
         return rows[at[:, 0]] + rows[at[:, 1]]
 
 
-def frequent_weights(texts: DataFrame, text: str, tokens: Callable[[str], list[str]]) -> dict[str, float]:
+def frequent_weights(texts: DataFrame, tokens: str) -> dict[str, float]:
     """The chance to be met of each word that is more than SUBSAMPLE of all words; fewer than 1 / SUBSAMPLE words can be."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            met: dict[str, int] = {}
-            for value in batch.column(0).to_pylist():
-                for w in tokens(value):
-                    met[w] = met.get(w, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string()), pa.array(list(met.values()), pa.int64())], names=["word", "n"])
-
-    counted = written(texts.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    counted = written(texts.select(F.explode(F.split(tokens, " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "word-counts")
     total = counted.agg(F.sum("n")).first()[0] or 0
-    frequent = counted.where(F.col("n") > max(LEAST_MET, SUBSAMPLE * total)).collect()
+    frequent = counted.where((F.col("n") > max(LEAST_MET, SUBSAMPLE * total)) & (F.col("word") != "")).collect()
     return {r["word"]: max(LEAST_MET / r["n"], float(np.sqrt(SUBSAMPLE * total / r["n"]))) for r in frequent}
 
 
-def indexed(values: list[str], tokens: Callable[[str], list[str]]) -> tuple[list[str], np.ndarray]:
-    """(distinct words, the place among them of each word of all texts, with WINDOW places of -1 after each text)."""
+def indexed(values: list[str]) -> tuple[list[str], np.ndarray]:
+    """(distinct words, the place among them of each word of all texts, with WINDOW places of -1 after each text). Words are parted by blanks."""
     ids: dict[str, int] = {}
     out: list[int] = []
     for value in values:
-        out += [ids.setdefault(w, len(ids)) for w in tokens(value)]
+        out += [ids.setdefault(w, len(ids)) for w in value.split()]
         out += [-1] * WINDOW
     return list(ids), np.array(out, np.int64)
 
@@ -112,10 +103,10 @@ def trained(own: np.ndarray, around: np.ndarray, t: np.ndarray, keep: np.ndarray
     return own, around
 
 
-def learn(texts: DataFrame, text: str, tokens: Callable[[str], list[str]], rounds: int = ROUNDS) -> tuple[Vectors, dict[str, float]]:
-    """(vectors, chances of the frequent words) from all texts. Without texts the vectors are as they start."""
+def learn(texts: DataFrame, tokens: str, rounds: int = ROUNDS) -> tuple[Vectors, dict[str, float]]:
+    """(vectors, chances of the frequent words) from all texts, whose words are parted by blanks. Without texts the vectors are as they start."""
     spark = texts.sparkSession
-    chance = frequent_weights(texts, text, tokens)
+    chance = frequent_weights(texts, tokens)
     vectors = Vectors.start()
     names = [f"d{i}" for i in range(DIMS)]
     schema = "side int, row int, n double, " + ", ".join(f"{c} double" for c in names)
@@ -128,7 +119,7 @@ def learn(texts: DataFrame, text: str, tokens: Callable[[str], list[str]], round
             met = np.zeros(ROWS)
             for batch in batches:
                 values = batch.column(0).to_pylist()
-                words, t = indexed(values, tokens)
+                words, t = indexed(values)
                 if not words:
                     continue
                 at = np.array([rows_of(w) for w in words])
@@ -147,7 +138,7 @@ def learn(texts: DataFrame, text: str, tokens: Callable[[str], list[str]], round
                 change = (table[hit] - old[hit]) * met[hit, None]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), side, np.int32)), pa.array(hit.astype(np.int32)), pa.array(met[hit]), *(pa.array(c) for c in change.T)], names=["side", "row", "n", *names])
 
-        moved = texts.select(text).mapInArrow(run, schema).groupBy("side", "row").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names)).toArrow()
+        moved = texts.select(tokens).mapInArrow(run, schema).groupBy("side", "row").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names)).toArrow()
         side, row, n = (moved.column(c).to_numpy() for c in ("side", "row", "n"))
         change = np.stack([moved.column(c).to_numpy() for c in names], 1) / np.maximum(n, 1e-9)[:, None] if len(n) else np.zeros((0, DIMS))
         own, around = vectors.own.copy(), vectors.around.copy()

@@ -8,8 +8,9 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from quarry.llm.scans import Scans, _tokens, clean, furniture, hyphens, misread, repaired, skeleton
+from quarry.llm.scans import Scans, clean, furniture, hyphens, misread, repaired, skeleton
 from quarry.llm.skipgram import learn
 from quarry.llm.truncation import cut_share, ending, fit_lengths, learn_endings, limits, truncated
 
@@ -95,7 +96,7 @@ def test_vectors_decide(themes):
 
 
 def test_vectors_of_like_words_are_alike(themes):
-    vectors, chance = learn(themes.repartition(5, "hash"), "body", _tokens)
+    vectors, chance = learn(themes.repartition(5, "hash").withColumn("tokens", F.regexp_replace("body", r"[.\n]+", " ")), "tokens")
     assert vectors.own.dtype == np.float32 and all(0 < c < 1 for c in chance.values())
     x = vectors.of(["hall", "lobby", "ball", "goal", "team"], "own")
     x /= np.linalg.norm(x, axis=1, keepdims=True)
