@@ -8,24 +8,27 @@ shuffled. Words outside the evaluation vocabulary are one symbol: no phrase can
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cache, reduce
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quarry.session import spread
+from quarry.session import scratch, spread
 
 from .codepoints import chunks, codepoints, run_hashes
+from .vectorspace import get, put
 
 #: Words of the shortest run that counts, and the share of an item's words that makes a case.
 RUN, SHARE = 6, 0.5
-#: Items searched in one pass over the corpus; more items take more passes, so what a task holds stays bounded.
+#: Items prepared and searched together; more items take more passes over a shard's index, so what is held stays bounded.
 ITEMS_PER_PASS = 4000
 #: Every so many text positions, one suffix position is kept.
 SAMPLED = 32
@@ -183,37 +186,75 @@ class Phrases:
         return cls(vocabulary, patterns, owners[np.argsort(owners[:, 0], kind="stable")], items, sizes)
 
 
+    def save(self, uri: str) -> None:
+        put(uri, {"vocabulary": self.vocabulary, "patterns": self.patterns.astype(np.int64), "owners": self.owners.astype(np.int64), "sizes": self.sizes.astype(np.int64), "items": np.frombuffer(pickle.dumps(self.items), np.uint8)})
+
+    @classmethod
+    def load(cls, uri: str, run: int) -> Phrases:
+        """What ``save`` wrote; arrays are views of the file."""
+        data = get(uri)
+        of = lambda name, kind, width=1: np.frombuffer(data[name], kind).reshape(*((-1, width) if width > 1 else (-1,)))
+        return cls(of("vocabulary", np.uint64), of("patterns", np.int64, run), of("owners", np.int64, 3), pickle.loads(bytes(data["items"])), of("sizes", np.int64))
+
+
+class Shard:
+    """The FM-index of some texts. Its symbols are the words that any of the vocabularies has, all others are one; so one index serves
+    the phrases of every pass."""
+
+    def __init__(self, texts: list[str | None], vocabularies: Iterable[np.ndarray]):
+        self.texts = len(texts)
+        word, self.text = words(texts)
+        self.index = None
+        if not len(word):
+            return
+        own = np.unique(word)
+        known = np.zeros(len(own), bool)
+        for vocabulary in vocabularies:
+            known |= np.isin(own, vocabulary, assume_unique=True)
+        self.vocabulary = own[known]
+        if not len(self.vocabulary):
+            return
+        at = np.minimum(np.searchsorted(self.vocabulary, word), len(self.vocabulary) - 1)
+        symbol = np.where(self.vocabulary[at] == word, at + FIRST, OTHER)
+        # a separator after each text; the position of a word in the indexed text
+        self.place = np.arange(len(word)) + self.text
+        t = np.full(len(word) + int(self.text[-1]) + 1, SEPARATOR, np.int32)
+        t[self.place] = symbol
+        t[-1] = END
+        self.index = FMIndex(t, len(self.vocabulary) + FIRST)
+
+    def occurrences(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, offset in the item, word position in the text) of every occurrence of every phrase."""
+        nothing = (np.zeros(0, np.int64),) * 4
+        if self.index is None or not len(phrases.patterns):
+            return nothing
+        # the shard's symbols of the phrases' words; a phrase with a word the shard hasn't can't occur
+        at = np.minimum(np.searchsorted(self.vocabulary, phrases.vocabulary), len(self.vocabulary) - 1)
+        here = np.append(np.zeros(FIRST, np.int64), np.where(self.vocabulary[at] == phrases.vocabulary, at + FIRST, -1))
+        asked = here[phrases.patterns]
+        asked_at = np.flatnonzero((asked >= 0).all(1))
+        low, high = self.index.search(asked[asked_at])
+        hit = np.flatnonzero(high > low)
+        if not len(hit):
+            return nothing
+        count = (high - low)[hit]
+        total = np.cumsum(count)
+        rows = np.repeat(low[hit] - (total - count), count) + np.arange(total[-1])
+        position = self.index.locate(rows)
+        pattern = np.repeat(asked_at[hit], count)
+        bounds = np.searchsorted(phrases.owners[:, 0], np.arange(len(phrases.patterns) + 1))
+        owners = (bounds[1:] - bounds[:-1])[pattern]
+        ends = np.cumsum(owners)
+        pick = np.repeat(bounds[pattern] - (ends - owners), owners) + np.arange(ends[-1])
+        position = np.repeat(position, owners)
+        where = np.searchsorted(self.place, position)
+        begins = np.searchsorted(self.text, np.arange(self.texts))
+        return self.text[where], phrases.owners[pick, 1], phrases.owners[pick, 2], where - begins[self.text[where]]
+
+
 def occurrences(phrases: Phrases, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, item, offset in the item, word position in the text) of every occurrence of every phrase."""
-    nothing = (np.zeros(0, np.int64),) * 4
-    word, text = words(texts)
-    if not len(word) or not len(phrases.patterns):
-        return nothing
-    at = np.minimum(np.searchsorted(phrases.vocabulary, word), len(phrases.vocabulary) - 1)
-    symbol = np.where(phrases.vocabulary[at] == word, at + FIRST, OTHER)
-    # a separator after each text; the position of a word in the indexed text
-    place = np.arange(len(word)) + text
-    t = np.full(len(word) + int(text[-1]) + 1, SEPARATOR, np.int32)
-    t[place] = symbol
-    t[-1] = END
-    index = FMIndex(t, len(phrases.vocabulary) + FIRST)
-    low, high = index.search(phrases.patterns)
-    hit = np.flatnonzero(high > low)
-    if not len(hit):
-        return nothing
-    count = (high - low)[hit]
-    total = np.cumsum(count)
-    rows = np.repeat(low[hit] - (total - count), count) + np.arange(total[-1])
-    position = index.locate(rows)
-    pattern = np.repeat(hit, count)
-    bounds = np.searchsorted(phrases.owners[:, 0], np.arange(len(phrases.patterns) + 1))
-    owners = (bounds[1:] - bounds[:-1])[pattern]
-    ends = np.cumsum(owners)
-    pick = np.repeat(bounds[pattern] - (ends - owners), owners) + np.arange(ends[-1])
-    position = np.repeat(position, owners)
-    where = np.searchsorted(place, position)
-    begins = np.searchsorted(text, np.arange(len(texts)))
-    return text[where], phrases.owners[pick, 1], phrases.owners[pick, 2], where - begins[text[where]]
+    """The occurrences of the phrases in a shard of these texts."""
+    return Shard(texts, [phrases.vocabulary]).occurrences(phrases)
 
 
 def _union(group: np.ndarray, at: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,62 +268,73 @@ def _union(group: np.ndarray, at: np.ndarray, run: int) -> tuple[np.ndarray, np.
     return group[start], at[start], np.maximum.reduceat(at, start) + run
 
 
-SCHEMA = "item_words int, found_words int, share double, spans array<struct<start:int,end:int>>"
+SCHEMA = "item_words int, found_words int, share double, spans array<struct<start:int,end:int>>, items_too_short long"
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "id", item_text: str = "expected", run: int = RUN, share: float = SHARE) -> DataFrame:
-    """(key, item_id, item_words, found_words, share, spans) of each document and item where runs of ``run`` or more words of the item
-    that occur in the document cover at least ``share`` of the item's words.
+    """(key, item_id, item_words, found_words, share, spans, items_too_short) of each document and item where runs of ``run`` or more words of
+    the item that occur in the document cover at least ``share`` of the item's words.
 
     ``spans`` are the merged stretches of the document to remove, as word positions from 0, end exclusive. Null, empty and wordless
-    texts match nothing; an item of fewer than ``run`` words can't be found. Repeated documents are reported each, repeated items under
-    each of their ids. Items are searched ITEMS_PER_PASS at a time.
+    texts match nothing; an item of fewer than ``run`` words can't be found, and ``items_too_short`` says how many of those there are. Repeated
+    documents are reported each, repeated items under each of their ids. Items are prepared ITEMS_PER_PASS at a time and left in the shared
+    folder; a shard of the corpus is indexed once and takes one pass after the other from there.
     """
     spark = docs.sparkSession
     source = spread(docs.select(key, text))
     key_type, item_type = source.schema[key].dataType.simpleString(), items.schema[item_key].dataType
-    passes = -(-items.count() // ITEMS_PER_PASS) or 1
-
-    def of(part: int) -> DataFrame:
-        own = items.select(item_key, item_text).where(F.col(item_text).isNotNull())
-        if passes > 1:
-            own = own.where(F.pmod(F.xxhash64(item_text), F.lit(passes)) == part)
-        rows = own.collect()
-        sent = spark.sparkContext.broadcast(Phrases.of([r[0] for r in rows], [r[1] for r in rows], run))
-
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = sent.value
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for a, b in chunks(texts):
-                    doc, item, offset, position = occurrences(phrases, texts[a:b])
+    own = items.select(item_key, item_text).where(F.col(item_text).isNotNull())
+    passes = -(-own.count() // ITEMS_PER_PASS) or 1
+    folder, short = scratch(spark, "phrases"), 0
+    for part in range(passes):
+        rows = (own.where(F.pmod(F.xxhash64(item_text), F.lit(passes)) == part) if passes > 1 else own).collect()
+        phrases = Phrases.of([r[0] for r in rows], [r[1] for r in rows], run)
+        short += int((phrases.sizes < run).sum())
+        phrases.save(f"{folder}/{part}")
+    kind = to_arrow_type(item_type)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, Phrases] = {}
+
+        def of(part: int) -> Phrases:
+            if part not in kept:
+                if len(kept) >= 4:
+                    kept.clear()
+                kept[part] = Phrases.load(f"{folder}/{part}", run)
+            return kept[part]
+
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in chunks(texts):
+                shard = Shard(texts[a:b], (of(p).vocabulary for p in range(passes)))
+                for part in range(passes):
+                    phrases = of(part)
+                    doc, item, offset, position = shard.occurrences(phrases)
+                    if not len(doc):
+                        continue
                     pair = doc * len(phrases.items) + item
                     group, start, end = _union(pair, offset, run)
                     pairs, at = np.unique(group, return_inverse=True)
                     found = np.bincount(at, weights=end - start, minlength=len(pairs)).astype(np.int64)
-                    size = phrases.sizes[pairs % max(1, len(phrases.items))]
+                    size = phrases.sizes[pairs % len(phrases.items)]
                     good = found >= share * size
                     group, start, end = _union(pair, position, run)
-                    chosen = good[np.searchsorted(pairs, group)] if len(group) else np.zeros(0, bool)
+                    chosen = good[np.searchsorted(pairs, group)]
                     counts = np.bincount(np.searchsorted(pairs[good], group[chosen]), minlength=int(good.sum()))
                     pairs, found, size = pairs[good], found[good], size[good]
                     spans = pa.StructArray.from_arrays([pa.array(start[chosen], pa.int32()), pa.array(end[chosen], pa.int32())], names=["start", "end"])
                     offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column(0).slice(a, b - a).take(pa.array(pairs // max(1, len(phrases.items)))),
-                            pa.array([phrases.items[i] for i in (pairs % max(1, len(phrases.items))).tolist()], kind),
+                            batch.column(0).slice(a, b - a).take(pa.array(pairs // len(phrases.items))),
+                            pa.array([phrases.items[i] for i in (pairs % len(phrases.items)).tolist()], kind),
                             pa.array(size, pa.int32()),
                             pa.array(found, pa.int32()),
                             pa.array(found / np.maximum(size, 1)),
                             pa.ListArray.from_arrays(offsets, spans),
+                            pa.array(np.full(len(pairs), short, np.int64)),
                         ],
-                        names=[key, "item_id", "item_words", "found_words", "share", "spans"],
+                        names=[key, "item_id", "item_words", "found_words", "share", "spans", "items_too_short"],
                     )
 
-        return source.mapInArrow(find, f"`{key}` {key_type}, item_id {item_type.simpleString()}, {SCHEMA}")
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = to_arrow_type(item_type)
-    return reduce(DataFrame.unionAll, map(of, range(passes)))
+    return source.mapInArrow(find, f"`{key}` {key_type}, item_id {item_type.simpleString()}, {SCHEMA}")

@@ -226,6 +226,7 @@ def test_leaks(spark):
     items = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (4, "")], "id int, expected string")
     found = {r["doc_id"]: r for r in leaks(rows, items).collect()}
     assert set(found) == {0, 1, 2, 4, 5, 8, 9, 10} and {r["item_id"] for r in found.values()} == {1}
+    assert all(r["items_too_short"] == 2 for r in found.values())
     assert found[2]["found_words"] == 7 and [tuple(x) for x in found[2]["spans"]] == [(1, 8)]
     assert leaks(rows.limit(0), items).count() == 0 and leaks(rows, items.limit(0)).count() == 0
 
@@ -235,5 +236,8 @@ def test_many_items_take_several_passes(spark, monkeypatch):
 
     monkeypatch.setattr(module, "ITEMS_PER_PASS", 2)
     items = spark.createDataFrame([(i, f"alpha beta gamma delta epsilon zeta number{i}") for i in range(7)], "id int, expected string")
-    rows = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta number3")], "doc_id long, text string")
-    assert {r["item_id"] for r in module.leaks(rows, items).select("item_id").collect()} == set(range(7))
+    rows = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta number3"), (2, "other words alone"), (3, None)], "doc_id long, text string")
+    one = sorted(tuple(r) for r in module.leaks(rows, items).select("doc_id", "item_id", "found_words").collect())
+    assert [r[1] for r in one] == list(range(7)) and {r[0] for r in one} == {1}
+    monkeypatch.setattr(module, "ITEMS_PER_PASS", 4000)
+    assert one == sorted(tuple(r) for r in module.leaks(rows, items).select("doc_id", "item_id", "found_words").collect())
