@@ -698,7 +698,18 @@ def candidate_frames(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("hash", F.round("t", 4).alias("t"))
 
 
-@query()
+_OVERLAP = "list_sum(list_transform(list_zip(f.h, s.lh), lambda z: sqrt(z[1] * z[2])))"
+_SCALE = "sqrt(list_sum(f.h) * list_sum(s.lh))"
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT hash, ref AS t, list_transform(vec, lambda x: x::DOUBLE * x::DOUBLE) AS h, row_number() OVER (PARTITION BY hash ORDER BY ref, list_transform(vec, lambda x: x::DOUBLE * x::DOUBLE)) AS k
+        FROM vectors WHERE source = 'frame' AND ref IS NOT NULL AND len(vec) = 96 AND len(list_filter(vec, lambda x: isnan(x))) = 0),
+    s AS (SELECT hash, k, t, t AS lt, h AS lh, true AS keep FROM f WHERE k = 1
+        UNION ALL SELECT hash, k, t, CASE WHEN keep THEN t ELSE lt END, CASE WHEN keep THEN h ELSE lh END, keep FROM (
+            SELECT f.hash, f.k, f.t, f.h, s.lt, s.lh, f.t - s.lt >= 4 OR sqrt(greatest(0::DOUBLE, 1 - CASE WHEN {_SCALE} > 0 THEN {_OVERLAP} / {_SCALE} ELSE 0 END)) > 0.35 AS keep
+            FROM s JOIN f ON f.hash = s.hash AND f.k = s.k + 1)),
+    g AS (SELECT hash, list(t ORDER BY k) AS ts FROM s WHERE keep GROUP BY hash)
+    SELECT hash, unnest(CASE WHEN len(ts) <= 16 THEN ts ELSE list_transform(list_distinct(list_transform(range(0, 16), lambda i: round_even(i * (len(ts) - 1) / 15.0::DOUBLE, 0)::BIGINT)), lambda p: ts[p + 1]) END) AS t FROM g""")
 def scene_keyframes(spark: SparkSession, d: str) -> DataFrame:
     """Frame vectors as stand-ins for histograms: their squares sum to one, as a histogram's do."""
     v = t(spark, d, "vectors").where("source = 'frame' and ref is not null and size(vec) = 96").where(~F.exists("vec", lambda x: F.isnan(x)))
