@@ -127,6 +127,11 @@ def clock(seconds: Column) -> Column:
     return F.format_string("%d:%02d", F.floor(s / 60).cast("long"), s % 60)
 
 
+def day_text(seconds: Column) -> Column:
+    """Epoch seconds as a date, by the session's time zone; null of null."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd")
+
+
 def where_label(source: Column, ref: Column, kind: Column) -> Column:
     """Where in an asset a match lies: a time in a video, its speech, a page of a PDF; else ''."""
     return (

@@ -64,17 +64,24 @@ def scan_diff(listing: DataFrame, files: DataFrame, root: str | None = None) ->
     return rows.withColumn("change", change)
 
 
-def scan_counters(diff: DataFrame) -> DataFrame:
-    """One row of counters of a scan."""
+def scan_counters(diff: DataFrame, hashes: DataFrame | None = None, assets: DataFrame | None = None) -> DataFrame:
+    """One row of counters of a scan; with the ``hashes`` (path, content_hash) of touched files and the ``assets`` known before, also how many of
+    these files are ``duplicates``: copies of a known content or of another of them."""
     c = F.col("change")
     kind = kind_for_ext(F.col("ext"))
     touched = c.isin("new", "changed")
-    return diff.agg(
+    counted = diff.agg(
         F.count_if(c.isin("new", "changed", "unchanged")).alias("seen"), F.count_if(c == "new").alias("new"), F.count_if(c == "changed").alias("changed"),
         F.count_if(c == "unchanged").alias("unchanged"), F.count_if(c == "missing").alias("missing"),
         F.count_if((touched & kind.isNull()) | ((c == "unchanged") & (F.col("old_file_status") == "unsupported"))).alias("unsupported"),
         F.count_if(touched & kind.isNotNull() & ((F.col("size") == 0) | (F.col("size") > MAX_FILE_MB * 1024 * 1024))).alias("errors"),
     )
+    if hashes is None:
+        return counted
+    fresh = hashes.select(F.col("content_hash").alias("hash")).distinct()
+    fresh = fresh if assets is None else fresh.join(assets.select("hash"), "hash", "left_anti")
+    both = hashes.agg(F.count("*").alias("_all")).crossJoin(F.broadcast(fresh.agg(F.count("*").alias("_new"))))  # one row each
+    return counted.crossJoin(F.broadcast(both.select((F.col("_all") - F.col("_new")).alias("duplicates"))))
 
 
 def next_files(diff: DataFrame, hashes: DataFrame, now: float) -> DataFrame:

@@ -26,6 +26,11 @@ class Filters:
     max_duration: float | str | None = None
     has_speech: bool = False
 
+    @classmethod
+    def modified_within(cls, days: float, now: float, **more) -> Filters:
+        """Files modified in the last ``days`` (a form offers 1, 7 and 30)."""
+        return cls(modified_after=now - 86_400 * days, **more)
+
     def predicates(self) -> list[Column]:
         """Conditions on the joined columns of files and assets (``asset_kind``, ``meta``)."""
         f, out = F.col, []

@@ -105,8 +105,8 @@ def best_per_asset_many(rows: DataFrame, queries: list[tuple[int, Sequence[float
 
 def zscored(signal: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``signal`` with ``z``: the score in population standard deviations from the mean, over the whole collection (of each ``by``); a
-    deviation of 1e-6 or less counts as 1. The statistics are one row (per query), joined back; no window gathers the collection."""
+    deviation of 1e-6 or less counts as 1. The statistics, one row or one of each ``by``, are joined back; no window gathers the collection."""
     stats = [F.avg("score").alias("_mu"), F.stddev_pop("score").alias("_sd")]
     z = (F.col("score") - F.col("_mu")) / F.when(F.col("_sd") > 1e-6, F.col("_sd")).otherwise(1.0)
-    joined = signal.join(F.broadcast(signal.groupBy(*by).agg(*stats)), list(by)) if by else signal.crossJoin(F.broadcast(signal.agg(*stats)))
+    joined = signal.join(signal.groupBy(*by).agg(*stats), list(by)) if by else signal.crossJoin(F.broadcast(signal.agg(*stats)))
     return joined.withColumn("z", z).drop("_mu", "_sd")

@@ -11,10 +11,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.features import vocabulary_vectors, zero_shot_tags
+from quarry.operators.features import mean_vectors, vocabulary_vectors, zero_shot_tags
 from quarry.operators.frames import keyframes
 from quarry.operators.processors import process_images, process_pdfs, process_videos
 from quarry.session import written
@@ -27,13 +27,15 @@ Decoder = Callable[[str], tuple[list[Part], dict]]
 Transcriber = Callable[[str], str | None]
 #: Reads the text in a picture of a page; None where there is no such model.
 Reader = Callable[[np.ndarray], str]
+#: Characters of a page's text under which its picture is read.
+READ_UNDER = 30
 _META = [x.split(":")[0] for x in META.removeprefix("struct<").removesuffix(">").split(",")]
 DECODED = f"hash string, kind string, ref double, colour array<double>, brightness double, hist array<double>, text string, meta {META}, thumb binary, transcript string, error string, lasting boolean, ms long"
 
 
 def decoded(assets: DataFrame, decoders: dict[str, Decoder] | None = None, transcribe: Transcriber | None = None, read: Reader | None = None, thumbs: bool = True) -> DataFrame:
-    """The parts of assets (hash, kind, path), one row each; a file that fails has one row with its error. Pages without text are read by
-    ``read``, where their picture is there. The first part of a file carries its thumbnail and its speech."""
+    """The parts of assets (hash, kind, path), one row each; a file that fails has one row with its error. Pages with hardly any text are read
+    by ``read``, where their picture is there. The first part of a file carries its thumbnail and its speech, pages with a picture their own."""
     known = DECODERS if decoders is None else decoders
 
     def one(kind: str, path: str) -> list[dict]:
@@ -47,7 +49,7 @@ def decoded(assets: DataFrame, decoders: dict[str, Decoder] | None = None, trans
             spoken = transcribe(path) if kind == "video" and transcribe else None
             seen = 0
             for p in parts:
-                if kind == "pdf" and read and p.rgb is not None and not (p.text or "").strip():
+                if kind == "pdf" and read and p.rgb is not None and len((p.text or "").strip()) < READ_UNDER:
                     p.text = read(p.rgb)
                     seen += 1
             meta = meta | ({"has_speech": bool(spoken)} if kind == "video" else {"has_text": any((p.text or "").strip() for p in parts), "ocr_pages": seen} if kind == "pdf" else {})
@@ -55,7 +57,7 @@ def decoded(assets: DataFrame, decoders: dict[str, Decoder] | None = None, trans
             out = []
             for i, p in enumerate(parts):
                 shown = {} if p.rgb is None else {"colour": np.asarray(p.rgb, float).reshape(-1, 3).mean(0).tolist(), "brightness": brightness(p.rgb)} | ({"hist": histogram(p.rgb).tolist()} if kind == "video" else {})
-                first = {"thumb": thumbnail(picture) if thumbs and picture is not None else None, "transcript": spoken} if i == 0 else {}
+                first = {"thumb": thumbnail(picture) if thumbs and picture is not None else None, "transcript": spoken} if i == 0 else {"thumb": thumbnail(p.rgb)} if thumbs and kind == "pdf" and p.rgb is not None else {}
                 out.append({"ref": p.ref, "text": p.text, "meta": {c: meta.get(c) for c in _META}} | shown | first)
             ms = round(1000 * (time.perf_counter() - began))
             return [r | {"ms": ms} for r in out]
@@ -77,6 +79,10 @@ def decoded(assets: DataFrame, decoders: dict[str, Decoder] | None = None, trans
     return assets.select("hash", "kind", "path").mapInPandas(run, DECODED)
 
 
+def _uri(png: str) -> Column:
+    return F.when(F.col(png).isNotNull(), F.concat(F.lit("data:image/png;base64,"), F.base64(png)))
+
+
 def media_process(models, decoders: dict[str, Decoder] | None = None, transcribe: Transcriber | None = None, read: Reader | None = None) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
     """The ``process`` of an ``Ingest``: (results, vectors) of assets (hash, kind, path) by the decoder and the processor of their kind.
     Tags come from the vocabulary where ``models`` embed text for the image space."""
@@ -95,15 +101,19 @@ def media_process(models, decoders: dict[str, Decoder] | None = None, transcribe
             process_pdfs(pages, models),
         ]
         results = made[0][0].unionByName(made[1][0]).unionByName(made[2][0])
-        vectors = written(made[0][1].unionByName(made[1][1]).unionByName(made[2][1]), "made-vectors")
+        vectors = made[0][1].unionByName(made[1][1]).unionByName(made[2][1])
+        # a page's own thumbnail, else the file's first
+        shown = good.where("thumb is not null and ref is not null").select(F.col("hash").alias("_hash"), F.col("ref").alias("_ref"), _uri("thumb").alias("_own"))
+        first = good.where("thumb is not null").groupBy("hash").agg(F.min_by(_uri("thumb"), F.coalesce("ref", F.lit(0.0))).alias("_first"))
+        paged = F.col("source").isin("page", "pdf_text", "pdf_summary")
+        vectors = vectors.join(shown, (F.col("hash") == F.col("_hash")) & paged & (F.col("ref") == F.col("_ref")), "left").drop("_hash").join(first, "hash", "left")
+        vectors = written(vectors.withColumn("thumb", F.coalesce("_own", "_first")).drop("_ref", "_own", "_first"), "made-vectors")
         counts = chosen.groupBy("hash").agg(F.count("*").cast("int").alias("_frames"))
-        whole = good.groupBy("hash").agg(F.first("meta", ignorenulls=True).alias("meta"), F.first("thumb", ignorenulls=True).alias("_thumb"), F.max("ms").alias("process_ms"))
+        whole = good.groupBy("hash").agg(F.first("meta", ignorenulls=True).alias("meta"), F.min_by("thumb", F.when(F.col("thumb").isNotNull(), F.coalesce("ref", F.lit(0.0)))).alias("_thumb"), F.max("ms").alias("process_ms"))
         whole = whole.join(counts, "hash", "left").withColumn("meta", F.when(F.col("_frames").isNotNull(), F.col("meta").withField("frames_sampled", F.col("_frames"))).otherwise(F.col("meta")))
-        results = results.join(whole.drop("_frames"), "hash").withColumn("thumb", F.when(F.col("_thumb").isNotNull(), F.concat(F.lit("data:image/png;base64,"), F.base64("_thumb")))).drop("_thumb")
+        results = results.join(whole.drop("_frames"), "hash").withColumn("thumb", _uri("_thumb")).drop("_thumb")
         if hasattr(models, "clip_text"):
             vocabulary = vocabulary_vectors(models)
-            from quarry.operators.features import mean_vectors
-
             tags = zero_shot_tags(mean_vectors(vectors, "clip", len(vocabulary[0][1])), vocabulary)
             results = results.join(tags, "hash", "left")
         bad = parts.where("error is not null").select("hash", "error", F.coalesce("lasting", F.lit(False)).alias("lasting"))

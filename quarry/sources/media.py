@@ -7,6 +7,7 @@ import io
 import math
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ class MissingDecoder(RuntimeError):
 
 
 def image(data: bytes, largest: int = 768):
-    """(RGB pixels as nested lists of rows, {width, height, format}) of the first frame, upright, no side over ``largest``."""
+    """(the first frame in RGB, upright, no side over ``largest``; {width, height, format} of the file)."""
     try:
         from PIL import Image, ImageOps
     except ImportError as e:
@@ -29,9 +30,9 @@ def image(data: bytes, largest: int = 768):
     try:
         Image.open(io.BytesIO(data)).verify()
         im = Image.open(io.BytesIO(data))
-        form = im.format
+        form, size = im.format, im.size  # as stored, before the picture is turned upright
+        im.draft("RGB", (largest, largest))  # a JPEG is read at a fraction of its size
         im = ImageOps.exif_transpose(im).convert("RGB")
-        size = im.size
         im.thumbnail((largest, largest))
         return im, {"width": size[0], "height": size[1], "format": form}
     except Exception as e:
@@ -92,8 +93,8 @@ def _read_on(cap, fps: float, step: float, most: int) -> tuple[list, int]:
     return out, n
 
 
-def pdf_pages(data: bytes, most: int = 60) -> tuple[list[str], dict]:
-    """(text of the first pages, {pages, title})."""
+def pdf_pages(data: bytes, most: int = 60, pictures: int = 6) -> tuple[list[str], list[np.ndarray], dict]:
+    """(text of the first pages, pictures of the very first ones, {pages, title})."""
     try:
         import fitz
     except ImportError as e:
@@ -106,7 +107,70 @@ def pdf_pages(data: bytes, most: int = 60) -> tuple[list[str], dict]:
         raise ProcessingError("encrypted PDF")
     if not doc.page_count:
         raise ProcessingError("PDF without pages")
-    return [doc[i].get_text() for i in range(min(most, doc.page_count))], {"pages": doc.page_count, "title": (doc.metadata or {}).get("title") or ""}
+    shown = []
+    for i in range(min(pictures, doc.page_count)):
+        pix = doc[i].get_pixmap(alpha=False)
+        shown.append(np.frombuffer(pix.samples, np.uint8).reshape(pix.height, pix.width, -1)[:, :, :3])
+    return [doc[i].get_text() for i in range(min(most, doc.page_count))], shown, {"pages": doc.page_count, "title": (doc.metadata or {}).get("title") or ""}
+
+
+#: Samples a second of decoded sound, and seconds read of a file.
+SAMPLES, SECONDS = 16_000, 180
+
+
+def audio(path: str, most: int = SECONDS) -> np.ndarray:
+    """The first seconds of a file's sound, mono at SAMPLES a second, from -1 to 1. What was read before damage is kept; a file without
+    sound gives none. WAV files need no library."""
+    if path.lower().endswith(".wav"):
+        return _wave(path, most)
+    try:
+        import av
+    except ImportError as e:
+        raise MissingDecoder("no audio decoder") from e
+    parts: list[np.ndarray] = []
+    try:
+        with av.open(path) as file:
+            if not file.streams.audio:
+                return np.zeros(0, np.float32)
+            plain = av.AudioResampler(format="flt", layout="mono", rate=SAMPLES)
+            for frame in file.decode(audio=0):
+                parts += [x.to_ndarray().ravel() for x in plain.resample(frame)]
+                if sum(map(len, parts)) >= most * SAMPLES:
+                    break
+    except Exception:  # noqa: BLE001 - damaged: keep what there is
+        pass
+    return np.concatenate(parts).astype(np.float32)[: most * SAMPLES] if parts else np.zeros(0, np.float32)
+
+
+def _wave(path: str, most: int) -> np.ndarray:
+    import wave
+
+    try:
+        with wave.open(path, "rb") as f:
+            rate, width, channels = f.getframerate(), f.getsampwidth(), f.getnchannels()
+            raw = f.readframes(most * rate)
+    except (wave.Error, EOFError):
+        return np.zeros(0, np.float32)
+    raw = raw[: len(raw) // (width * channels) * width * channels]
+    if width == 1:
+        x = np.frombuffer(raw, np.uint8).astype(np.float64) / 128 - 1
+    elif width == 3:
+        x = (np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32) @ np.array([1 << 8, 1 << 16, 1 << 24], np.int32)) / 2.0**31
+    else:
+        x = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]) / 2.0 ** (8 * width - 1)
+    x = x.reshape(-1, channels).mean(1)
+    at = np.arange(int(len(x) * SAMPLES / rate)) * rate / SAMPLES
+    return np.interp(at, np.arange(len(x)), x).astype(np.float32) if len(x) else np.zeros(0, np.float32)
+
+
+def transcriber(model: Callable[[np.ndarray], list[tuple[str, float]]], most: int = SECONDS, silent: float = 0.6) -> Callable[[str], str]:
+    """Reads the speech of a file by a model that gives (text, chance of no speech) of segments; under a second of sound there is none."""
+
+    def read(path: str) -> str:
+        sound = audio(path, most)
+        return "" if len(sound) < SAMPLES else " ".join(t.strip() for t, none in model(sound) if none < silent)
+
+    return read
 
 
 def histogram(rgb: np.ndarray, bins: tuple[int, int, int] = (8, 4, 4)) -> np.ndarray:
@@ -162,8 +226,8 @@ def read_video(path: str) -> tuple[list[Part], dict]:
 
 def read_pdf(path: str) -> tuple[list[Part], dict]:
     with open(path, "rb") as f:
-        pages, meta = pdf_pages(f.read())
-    return [Part(float(i), None, text) for i, text in enumerate(pages, 1)], meta
+        pages, shown, meta = pdf_pages(f.read())
+    return [Part(float(i), shown[i - 1] if i <= len(shown) else None, text) for i, text in enumerate(pages, 1)], meta
 
 
 #: The decoder of each kind: from a path to parts and metadata.

@@ -129,6 +129,17 @@ def test_filters(catalogue):
     assert one["path"] == "b/red_house.jpg" and not one["duplicates"]
 
 
+def test_small_texts_and_presets(spark):
+    row = spark.sql("select 0D a, cast(null as double) n").select(s.day_text(F.col("a")).alias("d"), s.day_text(F.col("n")).alias("n")).first()
+    assert tuple(row) == ("1970-01-01", None)
+    assert Filters.modified_within(7, 1e6, kinds=("pdf",)) == Filters(modified_after=1e6 - 604_800, kinds=("pdf",))
+    listing = spark.createDataFrame([sighting("m/a.jpg"), sighting("m/b.jpg"), sighting("m/c.jpg")], LISTING)
+    diff = c.scan_diff(listing, spark.createDataFrame([], FILES))
+    hashes = spark.createDataFrame([("m/a.jpg", "x"), ("m/b.jpg", "x"), ("m/c.jpg", "known")], "path string, content_hash string")
+    known = spark.createDataFrame([("known",)], "hash string")
+    assert c.scan_counters(diff, hashes, known).first()["duplicates"] == 2 and c.scan_counters(diff, hashes).first()["duplicates"] == 1
+
+
 def test_signals(catalogue):
     _, _, vectors = catalogue
     clip = {x["hash"]: x for x in best_per_asset(vectors.where("space = 'clip'"), [1.0, 0.0]).collect()}

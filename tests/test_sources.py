@@ -7,6 +7,7 @@ import os
 import struct
 import sys
 import types
+import wave
 import zlib
 
 import numpy as np
@@ -18,7 +19,7 @@ from quarry.plans.ingest import Ingest
 from quarry.plans.media import media_process
 from quarry.session import scratch
 from quarry.sources.folder import content_hashes, scan
-from quarry.sources.media import MissingDecoder, Part, ProcessingError, brightness, histogram, image, thumbnail, video_frames
+from quarry.sources.media import MissingDecoder, Part, ProcessingError, audio, brightness, histogram, image, thumbnail, transcriber, video_frames
 from quarry.streaming.keyframes import newest_stream, spaced_stream
 
 
@@ -70,6 +71,29 @@ def test_picture_features():
         assert len(zlib.decompress(png[41:-16])) == h * (3 * w + 1)
 
 
+def wav(path, x, rate, channels=1, width=2):
+    with wave.open(str(path), "wb") as f:
+        f.setnchannels(channels)
+        f.setsampwidth(width)
+        f.setframerate(rate)
+        f.writeframes((np.repeat(x, channels) * (2 ** (8 * width - 1) - 1)).astype({2: "<i2", 4: "<i4"}[width]).tobytes())
+    return str(path)
+
+
+def test_sound(tmp_path):
+    tone = np.sin(np.arange(32_000) * 2 * np.pi * 440 / 8000) / 2
+    for width, channels in ((2, 1), (4, 2)):
+        sound = audio(wav(tmp_path / "a.wav", tone, 8000, channels, width), most=3)
+        assert sound.dtype == np.float32 and len(sound) == 3 * 16_000 and abs(sound).max() == pytest.approx(0.5, abs=0.01)
+    cut = tmp_path / "cut.wav"
+    cut.write_bytes((tmp_path / "a.wav").read_bytes()[:4001])
+    assert 0 < len(audio(str(cut))) < 16_000
+    (tmp_path / "none.wav").write_bytes(b"nothing")
+    assert len(audio(str(tmp_path / "none.wav"))) == 0
+    read = transcriber(lambda sound: [(" hello ", 0.1), ("noise", 0.9), ("there", 0.2)])
+    assert read(str(tmp_path / "a.wav")) == "hello there" and read(str(cut)) == ""
+
+
 class Cap:
     """A capture of ``frames`` frames at one a second, of which those in ``bad`` can't be read; ``seeks`` says whether it can be sought in."""
 
@@ -141,6 +165,8 @@ def test_a_folder_is_indexed_by_kind(spark, tmp_path):
     assert (assets["late.png"]["status"], assets["late.png"]["attempts"]) == ("failed", 1) and "no decoder" in assets["late.png"]["error"]
     sources = {(names[r["hash"]], r["space"], r["source"]) for r in ingest.read("vectors").collect()}
     assert {("red.jpg", "clip", "image"), ("clip.mp4", "clip", "frame"), ("clip.mp4", "text", "transcript"), ("doc.pdf", "clip", "page"), ("doc.pdf", "text", "pdf_text"), ("doc.pdf", "text", "pdf_summary")} <= sources
+    thumbs = {(r["source"], r["ref"]): r["thumb"] for r in ingest.read("vectors").collect() if names[r["hash"]] == "doc.pdf"}
+    assert thumbs["page", 2.0] and thumbs["pdf_text", 1.0] == thumbs["page", 2.0]  # the first page has no picture
     # the decoder is there now: only the file that failed for want of it is done
     (root / "late.png").touch()
     ingest.process = media_process(FakeModels(), {"image": lambda path: ([Part(None, np.full((2, 2, 3), COLOURS["blue"], np.uint8))], {})})
