@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.scalar import STOP as KEYWORD_STOP
@@ -30,8 +31,8 @@ from .vectorspace import LENGTHS, get, matrix, pieces, put
 
 #: Weight of the scores by clip vector, text vector and words.
 WEIGHTS = np.array([1.0, 1.0, 0.75])
-#: Levels of a score; queries handled in one pass.
-LEVELS, QUERIES = 8192, 128
+#: Levels of a score; queries handled in one pass; assets of one query put in order together, about, and at most.
+LEVELS, QUERIES, TOGETHER, CROWD = 8192, 128, 4000, 250_000
 #: Assets of a block; scores of one query that are sorted together.
 BLOCK, RANGE = 512, 1_000_000
 K1, B = 1.2, 0.75
@@ -363,7 +364,17 @@ def _ranked(rows: list, assets: DataFrame, vectors: DataFrame, weights: np.ndarr
     shares = _shares(scored, n, kinds, sizes, folder).withColumns({c: F.lit(None).cast(t) for c, t in {"row": "int", "hash": "string", "kind": "string"}.items()})
     met = heads.unionByName(shares).repartition("block").sortWithinPartitions("block")
     ranked = written(met.mapInArrow(run, schema), "ranked")
-    # places over all queries at once, in ranges: neither a query nor a crowd of equal ranks is in one task
-    placed = numbered(ranked, ["query_id", "median_rank", "mean_rank", "hash"], "placed")
-    first = placed.groupBy("query_id").agg(F.min("_place").alias("_first"))  # a row a query of this pass
-    return placed.join(F.broadcast(first), "query_id").select("query_id", (F.col("_place") - F.col("_first") + 1).cast("int").alias("position"), "hash", "kind", "median_rank", "mean_rank", "scores")
+    buckets = max(1, sum(sizes.values()) // TOGETHER)
+    ranked = ranked.withColumn("bucket", F.least(F.floor(F.col("median_rank") * buckets), F.lit(buckets)).cast("int"))
+    counts = written(ranked.groupBy("query_id", "bucket").agg(F.count("*").alias("n")), "buckets")
+    before = counts.select("query_id", "bucket", "n", F.coalesce(F.sum("n").over(W.partitionBy("query_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    out = ["query_id", (F.col("before") + F.col("inner")).cast("int").alias("position"), "hash", "kind", "median_rank", "mean_rank", "scores"]
+    inner = F.row_number().over(W.partitionBy("query_id", "bucket").orderBy("median_rank", "mean_rank", "hash"))
+    if not counts.where(F.col("n") > CROWD).limit(1).count():
+        return ranked.withColumn("inner", inner).join(before, ["query_id", "bucket"]).select(*out)
+    # a crowd of equal ranks is put in order in ranges, so that no task sorts it alone
+    told = ranked.join(before, ["query_id", "bucket"])
+    crowd = numbered(told.where(F.col("n") > CROWD), ["query_id", "median_rank", "mean_rank", "hash"], "crowds")
+    first = crowd.groupBy("query_id", "bucket").agg(F.min("_place").alias("_first"))
+    crowd = crowd.join(first, ["query_id", "bucket"]).withColumn("inner", F.col("_place") - F.col("_first") + 1)
+    return told.where(F.col("n") <= CROWD).withColumn("inner", inner).select(*out).unionByName(crowd.select(*out))

@@ -165,7 +165,9 @@ def test_weighted_median():
     assert median[:, 0].tolist()[:2] == [0.5, 0.3] and np.isnan(median[2, 0]) and mean[1, 0] == pytest.approx((0.3 + 0.15) / 1.75)
 
 
-def test_ranking(spark, table):
+def test_ranking(spark, table, monkeypatch):
+    import quarry.llm.ranking as module
+
     df, rows = table
     hashes = sorted({r[1] for r in rows if r[1]})
     assets = spark.createDataFrame(
@@ -195,6 +197,10 @@ def test_ranking(spark, table):
             same = [x for x in clip if kinds[x] == kinds[h]]
             share = (sum(clip[x] > clip[h] for x in same) + (sum(clip[x] == clip[h] for x in same) + 1) / 2) / sum(k == kinds[h] for k in kinds.values())
             assert float(got[got.hash == h].median_rank.iloc[0]) == pytest.approx(share, abs=2e-2)
+    # crowds put in order in ranges: the same places
+    monkeypatch.setattr(module, "CROWD", 20)
+    again = ranking(queries, assets, df).where("query_id = 1").toPandas().sort_values("position")
+    assert again.position.tolist() == got.position.tolist() and again.hash.tolist() == got.hash.tolist()
     assert ranking(queries.limit(0), assets, df).count() == 0
     assert ranking(queries, assets.limit(0), df).count() == 0
 
