@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scalar as s
 from quarry.functions.porter import stem
+from quarry.functions.scalar import histogram_distance
 from quarry.operators import catalogue as c
 from quarry.operators import evaluation as e
 from quarry.operators import features, frames
@@ -290,6 +292,54 @@ def test_keyframes_equal_a_loop(spark):
     assert frames.keyframes(rows.limit(0)).count() == 0
 
 
+def test_keyframes_of_a_long_video(spark):
+    """A video of many thousand frames, over many batches, beside short ones: every frame is looked at, in linear time."""
+    x = F.rand(5)
+    hist = F.array(*[F.pow(F.rand(i), 3.0) for i in range(8)])
+    rows = spark.range(60_000).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("v"), F.col("id") % 97)).otherwise(F.lit("long")).alias("hash"), (F.col("id") / 2).alias("t"), F.when(x < 0.3, 5.0).otherwise(90.0).alias("brightness"), hist.alias("hist"))
+    began = time.time()
+    got = {r["hash"]: r["times"] for r in frames.keyframes(rows).collect()}
+    took = time.time() - began
+    videos = {}
+    for r in rows.orderBy("t").collect():
+        if r["brightness"] > frames.BLACK:
+            videos.setdefault(r["hash"], []).append((r["t"], r["hist"]))
+    assert set(got) == set(videos) and len(videos["long"]) > 30_000
+    for v, fs in videos.items():
+        want = kept(fs)
+        assert got[v] == (want if len(want) <= 16 else [want[round(i * (len(want) - 1) / 15)] for i in range(16)])
+    assert took < 60
+
+
+def test_keyframes_of_odd_frames(spark):
+    """Null and NaN times, empty, null and unequal histograms, dark beginnings: as the distance of whole arrays has it."""
+    nan, inf = float("nan"), float("inf")
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    videos = {
+        "dark": [(0.0, 1.0, a), (1.0, 2.0, b), (2.0, 50.0, a), (3.0, None, b), (4.0, 60.0, a), (7.0, 60.0, b)],
+        "nulls": [(None, 90.0, a), (None, 90.0, b), (3.0, 90.0, a), (4.0, 90.0, a), (5.0, nan, b)],
+        "hist": [(0.0, 90.0, a), (1.0, 90.0, [1.0, 0.0, 0.0]), (2.0, 90.0, []), (2.5, 90.0, a), (2.75, 90.0, None), (3.0, 90.0, a), (3.25, 90.0, [None, 1.0]), (3.5, 90.0, a), (3.6, 90.0, [nan, 1.0]), (3.7, 90.0, [inf, 1.0])],
+        "nan": [(0.0, 90.0, a), (1.0, 90.0, a), (nan, 90.0, a), (nan, 90.0, a)],
+        None: [(0.0, 90.0, a), (1.0, 90.0, b)],
+    }
+    rows = spark.createDataFrame([(v, *f) for v, fs in videos.items() for f in fs], "hash string, t double, brightness double, hist array<double>")
+
+    def want(fs):
+        above = [f for f in fs if f[1] is not None and not f[1] <= frames.BLACK] or fs
+        out, last = [], None
+        for t, _, h in above:
+            if last is not None and last[0] is not None:
+                pair = spark.createDataFrame([(h, last[1], t, last[0])], "a array<double>, b array<double>, t double, u double")
+                if not pair.select((histogram_distance(F.col("a"), F.col("b")) > frames.SCENE) | (F.col("t") - F.col("u") >= frames.GAP)).first()[0]:
+                    continue
+            out.append(t)
+            last = (t, h)
+        return out
+
+    got = {r["hash"]: r["times"] for r in frames.keyframes(rows).collect()}
+    assert {k: str(v) for k, v in got.items()} == {k: str(want(fs)) for k, fs in videos.items()}
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.floats(-5, 5), min_size=1, max_size=30))
 def test_zscores_have_mean_zero_and_deviation_one(spark, values):
