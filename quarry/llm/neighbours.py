@@ -5,6 +5,9 @@ product-quantised residual to it. Lists are kept in files of the shared folder,
 as queries, block by block: the lists its rows are nearest to are opened, their rows scored by asymmetric distance, and the best
 candidates ranked by the exact cosine.
 
+The lists nearest to the rows themselves come first. By the angles of rows to their centroid, kept for shells of each list, the other lists
+of a block are asked only for queries to which they can still bring a neighbour; so rows with near neighbours don't pay for the others.
+
 The asymmetric distance of a query is a sum over one table per sub-quantiser. For a few queries the tables are made and added up; for a
 block, the same sums come cheaper as a product of the queries with the rows decoded from their codes.
 
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quarry.session import scratch, spread
 
-from .vectorspace import LENGTHS, best_columns, codebook_kmeans, codes_of, get, matrix, nearest, pieces, put, sampled, spherical_kmeans
+from .vectorspace import LENGTHS, above, best_columns, codebook_kmeans, codes_of, get, matrix, nearest, pieces, put, sampled, spherical_kmeans
 
 K = 10
 #: Rows per space the index is fitted on, at most (the hash of the id chooses, up to twice as many when the total is no multiple).
@@ -41,6 +44,10 @@ BLOCK, SPARSE, SPARSE_BLOCK = 512, 0.6, 64
 SURE, VOTES, ROWS, RERANK, FEW = 8, 64, 24_576, 64, 8
 #: Entries of a space from which the rows of a block's lists grow.
 GROWS = 131_072
+#: A list's rows lie in shells by their cosine to its centroid: from the first value, from the second, ...
+SHELLS = np.array([0.9, 0.75, SPARSE], np.float32)
+#: What rounding may take from an angle and from a cosine.
+ANGLE_ERROR, COSINE_ERROR = 1e-3, 1e-5
 
 
 @dataclass
@@ -52,6 +59,8 @@ class Space:
     rows: np.ndarray  # entries of each list, copies in one file as one: as the sample has it, after build as counted
     cohesion: np.ndarray  # mean cosine of a list's rows to the centroid
     blocks: list[int]  # of each file
+    near: np.ndarray | None = None  # (list, shell): the least angle of a row to the centroid, infinite without rows; build sets both
+    far: np.ndarray | None = None  # and the greatest
 
     def names(self, file: int) -> list[str]:
         return [f"{self.folder}/{self.name}/{file}-{b}" for b in range(self.blocks[file])]
@@ -68,7 +77,8 @@ class Space:
         return np.stack([codes_of(rest[:, m], self.books[m]) for m in range(SUBSPACES)], 1).astype(np.uint8), length
 
     def decode(self, codes: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
-        out = np.concatenate([self.books[m][codes[:, m]] for m in range(SUBSPACES)], 1)
+        flat = codes + np.arange(0, SUBSPACES * self.books.shape[1], self.books.shape[1], dtype=np.int64)
+        out = np.take(self.books.reshape(-1, self.books.shape[2]), flat, axis=0).reshape(len(codes), -1)
         out *= length[:, None]
         out += self.centroids[at]
         return out
@@ -165,22 +175,33 @@ def build(vectors: DataFrame, id_column: str = "id", vec: str = "vec") -> dict[s
             # copies of a vector: one entry, the ids in order behind it; entries in order of their list
             view = x.view(np.dtype((np.void, x.shape[1] * 4))).ravel()
             _, first, group = np.unique(view, return_index=True, return_inverse=True)
-            by = np.argsort(at[first], kind="stable")
+            cosine = np.einsum("ij,ij->i", x[first], index.centroids[at[first]])
+            shell = (cosine[:, None] < SHELLS).sum(1)
+            by = np.lexsort((shell, at[first]))
             place = np.empty(len(by), np.int64)
             place[by] = np.arange(len(by))
-            group, first = place[group.ravel()], first[by]
+            group, first, cosine = place[group.ravel()], first[by], np.clip(cosine[by], -1, 1)
             members, size = np.argsort(group, kind="stable"), np.bincount(group, minlength=len(first))
             codes, length = index.encode(x[first], at[first])
-            put(f"{index.folder}/{space}/{file}-{block}", {"ids": ids[members], "sizes": size.astype(np.int64), "lists": at[first].astype(np.int64), "vecs": x[first], "codes": codes, "lengths": length})
-            own, entries = np.unique(at[first], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([space] * len(own)), pa.array(own.astype(np.int32)), pa.array(entries.astype(np.int64))], names=["space", "list", "n"])
+            parts = at[first].astype(np.int64) * (len(SHELLS) + 1) + shell[by]
+            put(
+                f"{index.folder}/{space}/{file}-{block}",
+                {"ids": ids[members], "sizes": size.astype(np.int64), "starts": np.cumsum(size) - size, "lists": at[first].astype(np.int64), "parts": parts, "vecs": x[first], "codes": codes, "lengths": length},
+            )
+            own, begin, entries = np.unique(parts, return_index=True, return_counts=True)
+            near, far = np.arccos(np.maximum.reduceat(cosine, begin)), np.arccos(np.minimum.reduceat(cosine, begin))
+            yield pa.RecordBatch.from_arrays([pa.array([space] * len(own)), pa.array(own), pa.array(entries.astype(np.int64)), pa.array(near.astype(np.float32)), pa.array(far.astype(np.float32))], names=["space", "part", "n", "near", "far"])
 
     keyed = rows.select(F.format_string('["%s", %d, %d]', "space", "file", "block").alias("key"), "list", "id", "vec")
-    told = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(write, "space string, list int, n long").groupBy("space", "list").agg(F.sum("n").alias("n")).collect()
-    for index in spaces.values():
-        index.rows = np.zeros(len(index.centroids))
-    for r in told:
-        spaces[r["space"]].rows[r["list"]] = r["n"]
+    written = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(write, "space string, part long, n long, near float, far float")
+    told = written.groupBy("space", "part").agg(F.sum("n").alias("n"), F.min("near").alias("near"), F.max("far").alias("far")).toArrow()
+    names, part, n, near, far = (told.column(c).to_numpy() for c in ("space", "part", "n", "near", "far"))
+    for space, index in spaces.items():
+        own, shape = names == space, (len(index.centroids), len(SHELLS) + 1)
+        rows, index.near, index.far = np.zeros(shape), np.full(shape, np.inf, np.float32), np.full(shape, -np.inf, np.float32)
+        for to, value in ((rows, n), (index.near, near), (index.far, far)):
+            to.reshape(-1)[part[own]] = value[own]
+        index.rows = rows.sum(1)
     return spaces
 
 
@@ -192,14 +213,15 @@ class _Files:
         self.bound = bound
 
     def __call__(self, name: str, d: int) -> tuple | None:
-        """(ids, copies of each entry, where an entry's ids begin, vectors, codes, list of each entry, residual lengths) or None for a file nothing fell into."""
+        """(ids, copies of each entry, where an entry's ids begin, vectors, codes, list of each entry, residual lengths, list and shell of each
+        entry as one number) or None for a file nothing fell into."""
         if name not in self.open:
             data = get(name)
             if data:
-                sizes = np.frombuffer(data["sizes"], np.int64)
                 self.open[name] = (
-                    np.frombuffer(data["ids"], np.int64), sizes, np.cumsum(sizes) - sizes, np.frombuffer(data["vecs"], np.float32).reshape(-1, d),
+                    np.frombuffer(data["ids"], np.int64), np.frombuffer(data["sizes"], np.int64), np.frombuffer(data["starts"], np.int64), np.frombuffer(data["vecs"], np.float32).reshape(-1, d),
                     np.frombuffer(data["codes"], np.uint8).reshape(-1, SUBSPACES), np.frombuffer(data["lists"], np.int64), np.frombuffer(data["lengths"], np.float32),
+                    np.frombuffer(data["parts"], np.int64),
                 )
             else:
                 self.open[name] = None
@@ -221,7 +243,12 @@ def _fitting(order: np.ndarray, rows: np.ndarray, room: float) -> np.ndarray:
 
 
 def _visited(index: Space, q: np.ndarray) -> np.ndarray:
-    """The lists a block of queries looks into, in order. Empty ones are no lists."""
+    """The lists a block of queries looks into, in order."""
+    return np.sort(np.concatenate(_lists(index, q)))
+
+
+def _lists(index: Space, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists nearest to a block of queries, and those that fill up its room. Empty ones are no lists."""
     alive, limit = np.flatnonzero(index.rows > 0), index.room
     sims, rows = q @ index.centroids[alive].T, index.rows[alive]
     votes = best_columns(sims, min(VOTES, len(alive)))
@@ -237,7 +264,85 @@ def _visited(index: Space, q: np.ndarray) -> np.ndarray:
         rest = np.setdiff1d(np.arange(len(alive)), np.concatenate([wanted, more]))
         rest = rest[np.argsort(-sims[:, rest].mean(0), kind="stable")]
         more = np.concatenate([more, _fitting(rest, rows, limit / 2 - rows[wanted].sum() - rows[more].sum())])
-    return alive[np.sort(np.concatenate([wanted, more]))]
+    return alive[wanted], alive[more]
+
+
+class _Opened:
+    """The rows a block of queries has opened, and of each query the best ones so far by asymmetric distance."""
+
+    def __init__(self, index: Space, files: _Files, q: np.ndarray):
+        self.index, self.files, self.q = index, files, q
+        self.parts: list[tuple] = []  # (file's arrays, entries)
+        self.best, self.score = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.float32)
+        self.rows = 0
+
+    def ask(self, parts: np.ndarray, who: np.ndarray) -> None:
+        """Score the rows of these parts of lists for the queries ``who``: so many rows at a time as a block of ROWS holds."""
+        shells, d = len(SHELLS) + 1, self.q.shape[1]
+        tile: list[tuple] = []
+        held = 0
+        for file in np.unique(parts // (PACK * shells)).tolist():
+            inside = parts[parts // (PACK * shells) == file]
+            for n in self.index.names(file):
+                if (entry := self.files(n, d)) is None:
+                    continue
+                lo, hi = np.searchsorted(entry[7], inside), np.searchsorted(entry[7], inside, side="right")
+                take = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange((hi - lo).sum())
+                for a in range(0, len(take), ROWS):
+                    some = take[a : a + ROWS]
+                    if tile and held + len(some) > ROWS:
+                        self._score(tile, who)
+                        tile, held = [], 0
+                    tile.append((entry, some))
+                    held += len(some)
+        if tile:
+            self._score(tile, who)
+
+    def _score(self, tile: list[tuple], who: np.ndarray) -> None:
+        codes, at, length = (np.concatenate([e[c][t] for e, t in tile]) for c in (4, 5, 6))
+        scores = self.index.distances(self.q[who], codes, length, at)
+        if self.best.shape[1] == RERANK:
+            best, value = above(scores, self.score[who].min(1))
+        else:
+            best = best_columns(scores, min(RERANK, len(at)))
+            value = np.take_along_axis(scores, best, 1)
+        score = np.concatenate([self.score[who], value], 1)
+        best = np.concatenate([self.best[who], np.where(best < 0, -1, best + self.rows)], 1)
+        if best.shape[1] > RERANK:
+            keep = best_columns(score, RERANK)
+            best, score = np.take_along_axis(best, keep, 1), np.take_along_axis(score, keep, 1)
+        if best.shape[1] > self.best.shape[1]:  # those who weren't asked keep theirs; -1 is no row
+            more = ((0, 0), (0, best.shape[1] - self.best.shape[1]))
+            self.best, self.score = np.pad(self.best, more, constant_values=-1), np.pad(self.score, more, constant_values=-np.inf)
+        self.best[who], self.score[who] = best, score
+        self.parts += tile
+        self.rows += len(at)
+
+    def exact(self, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors, cosines in single precision) of the best rows of the queries ``who``; -2 for no row."""
+        flat = self.best[who].ravel()
+        vecs = np.zeros((len(flat), self.q.shape[1]), np.float32)
+        for entry, hit, at in self.each(flat):
+            vecs[hit] = entry[3][at]
+        vecs = vecs.reshape(len(who), -1, self.q.shape[1])
+        return vecs, np.where(self.best[who] < 0, np.float32(-2), np.einsum("qd,qrd->qr", self.q[who], vecs))
+
+    def each(self, rows: np.ndarray) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+        """(file's arrays, which of ``rows`` lie in it, their entries)."""
+        begin = np.cumsum([0, *(len(t) for _, t in self.parts)])
+        by = np.argsort(rows, kind="stable")
+        bounds = np.searchsorted(rows[by], begin)
+        for f in np.flatnonzero(np.diff(bounds)).tolist():
+            (entry, take), hit = self.parts[f], by[bounds[f] : bounds[f + 1]]
+            yield entry, hit, take[rows[hit] - begin[f]]
+
+
+def _needed(index: Space, q: np.ndarray, lists: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """(query, list, shell): whether the list's shell can hold a row with a cosine of ``least`` or more to the query. The angle between two
+    rows is at least the difference of their angles to a centroid."""
+    apart = np.arccos(np.clip(q @ index.centroids[lists].T, -1, 1))[:, :, None]
+    bound = np.arccos(np.clip(least - COSINE_ERROR, -1, 1)) + ANGLE_ERROR
+    return np.maximum(index.near[lists] - apart, apart - index.far[lists]) <= bound[:, None, None]
 
 
 def _search(index: Space, name: str, files: _Files, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -246,64 +351,57 @@ def _search(index: Space, name: str, files: _Files, k: int) -> Iterator[tuple[np
     own = files(name, d)
     if own is None:
         return
-    ids, sizes, starts, queries, _, home, _ = own
-    loose = index.cohesion[home] < SPARSE
-    for rows, step in ((np.flatnonzero(~loose), BLOCK), (np.flatnonzero(loose), SPARSE_BLOCK)):
-        step = max(FEW, step * ROWS // index.room)  # more rows a block, fewer queries: the same memory
+    ids, sizes, starts, queries, _, home, _, parts = own
+    shells = len(SHELLS) + 1
+    loose = (index.cohesion[home] < SPARSE) | (parts % shells == len(SHELLS))
+    for rows, step, alike in ((np.flatnonzero(~loose), BLOCK, True), (np.flatnonzero(loose), SPARSE_BLOCK, False)):
         for a in range(0, len(rows), step):
             mine = rows[a : a + step]
             q = queries[mine]
-            lists = _visited(index, q)
-            parts = []
-            for file in np.unique(lists // PACK).tolist():
-                inside = lists[lists // PACK == file]
-                for n in index.names(file):
-                    if (entry := files(n, d)) is not None:
-                        lo, hi = np.searchsorted(entry[5], inside), np.searchsorted(entry[5], inside, side="right")
-                        take = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange((hi - lo).sum())
-                        if len(take):
-                            parts.append((entry, take))
-            at = np.concatenate([e[5][i] for e, i in parts])
-            codes = np.concatenate([e[4][i] for e, i in parts])
-            length = np.concatenate([e[6][i] for e, i in parts])
-            source = np.repeat(np.arange(len(parts)), [len(i) for _, i in parts])
-            entry_at = np.concatenate([i for _, i in parts])
-            many = np.minimum(np.concatenate([e[1][i] for e, i in parts]), k + 1)
-            take = min(RERANK, len(at))
-            best = best_columns(index.distances(q, codes, length, at), take)
-            flat = best.ravel()
-            vecs = np.empty((len(flat), d), np.float32)
-            by = np.argsort(source[flat], kind="stable")
-            bounds = np.searchsorted(source[flat][by], np.arange(len(parts) + 1))
-            for f, (entry, _) in enumerate(parts):
-                hit = by[bounds[f] : bounds[f + 1]]
-                if len(hit):
-                    vecs[hit] = entry[3][entry_at[flat[hit]]]
-            exact = np.einsum("qd,qrd->qr", q, vecs.reshape(len(q), take, d))
+            sure, more = _lists(index, q)
+            if not alike:  # without near neighbours the angles rule out nothing
+                sure, more = np.concatenate([sure, more]), more[:0]
+            opened, every = _Opened(index, files, q), np.arange(len(q))
+            opened.ask((np.sort(sure)[:, None] * shells + np.arange(shells)).ravel(), every)
+            vecs, exact = opened.exact(every)
+            if len(more):
+                # with k + 1 rows at hand, itself among them, only what is as near as the last of them is still wanted
+                least = -np.partition(-exact, k, axis=1)[:, k] if exact.shape[1] > k else np.full(len(q), -2.0)
+                need = _needed(index, q, np.sort(more), least).reshape(len(q), -1)
+                asked, parts_of = need.sum(1), (np.sort(more)[:, None] * shells + np.arange(shells)).ravel()
+                wide = asked > 1.5 * np.median(asked)  # a few that ask for nearly all don't make the others ask for it
+                for some in (np.flatnonzero(~wide & (asked > 0)), np.flatnonzero(wide)):
+                    if len(some):
+                        opened.ask(parts_of[need[some].any(0)], some)
+                if asked.any():
+                    vecs, exact = opened.exact(every)
+            best, take = opened.best, opened.best.shape[1]
             # only the front is ranked, in double
             front = min(take, 2 * (k + 1))
             order = np.argpartition(-exact, front - 1, axis=1)[:, :front]
             best = np.take_along_axis(best, order, 1)
-            near = np.take_along_axis(vecs.reshape(len(q), take, d), order[:, :, None], 1).astype(np.float64)
-            near /= np.linalg.norm(near, axis=2, keepdims=True)
+            near = np.take_along_axis(vecs, order[:, :, None], 1).astype(np.float64)
+            near /= np.maximum(np.linalg.norm(near, axis=2, keepdims=True), 1e-12)
             whole = q.astype(np.float64)
             whole /= np.linalg.norm(whole, axis=1, keepdims=True)
             exact = np.einsum("qd,qrd->qr", whole, near)
             flat = best.ravel()
-            size = many[flat]
+            size, begins, inside = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+            for f, (entry, hit, at) in enumerate(opened.each(flat)):
+                size[hit], begins[hit], inside[hit] = np.minimum(entry[1][at], k + 1), entry[2][at], f
             query_row = np.repeat(np.repeat(np.arange(len(q)), front), size)
             cosine = np.repeat(exact.ravel(), size)
             total = np.cumsum(size)
             inner = np.arange(total[-1]) - np.repeat(total - size, size)
-            owner = np.repeat(source[flat], size)
-            place = np.repeat(entry_at[flat], size)
+            owner = np.repeat(inside, size)
+            place = np.repeat(begins, size) + inner
             other = np.empty(total[-1], np.int64)
             by = np.argsort(owner, kind="stable")
-            bounds = np.searchsorted(owner[by], np.arange(len(parts) + 1))
-            for f, (entry, _) in enumerate(parts):
+            used = [entry for entry, _, _ in opened.each(flat)]
+            bounds = np.searchsorted(owner[by], np.arange(len(used) + 1))
+            for f, entry in enumerate(used):
                 hit = by[bounds[f] : bounds[f + 1]]
-                if len(hit):
-                    other[hit] = entry[0][entry[2][place[hit]] + inner[hit]]
+                other[hit] = entry[0][place[hit]]
             order = np.lexsort((other, -np.round(cosine, 12), query_row))
             query_row, cosine, other = query_row[order], cosine[order], other[order]
             begin = np.searchsorted(query_row, np.arange(len(q)))

@@ -80,6 +80,27 @@ def best_columns(scores: np.ndarray, take: int, width: int = 16) -> np.ndarray:
     return np.take_along_axis(columns, inner, 1)
 
 
+def above(scores: np.ndarray, least: np.ndarray, width: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, values) of all values of each row over its ``least``, in no order; rows with fewer end in column -1, value -inf. Only strips
+    of ``width`` columns whose greatest value is over it are looked into."""
+    rows, n = scores.shape
+    strips = n // width
+    top = scores[:, : strips * width].reshape(rows, width, strips).max(1) if strips else np.zeros((rows, 0), scores.dtype)
+    r, s = np.divmod(np.flatnonzero(top > least[:, None]), max(1, strips))
+    columns = s[:, None] + strips * np.arange(width)
+    hit = scores[r[:, None], columns] > least[r, None]
+    rest, last = np.nonzero(scores[:, strips * width :] > least[:, None])
+    r, c = np.concatenate([np.repeat(r, hit.sum(1)), rest]), np.concatenate([columns[hit], last + strips * width])
+    by = np.argsort(r, kind="stable")
+    r, c = r[by], c[by]
+    count = np.bincount(r, minlength=rows)
+    place = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+    found = np.full((rows, count.max(initial=0)), -1, np.int64)
+    value = np.full(found.shape, -np.inf, scores.dtype)
+    found[r, place], value[r, place] = c, scores[r, c]
+    return found, value
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 7) -> np.ndarray:
     """Centroids of unit length; seeds are rows at random, so that dense regions get their share."""
     rng = np.random.default_rng(seed)

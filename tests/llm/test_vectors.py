@@ -8,7 +8,7 @@ import pytest
 from quarry.llm.clusters import Groups, chains, components
 from quarry.llm.neighbours import close_pairs, fit, neighbours
 from quarry.llm.ranking import _level, ranking, weighted_median
-from quarry.llm.vectorspace import LENGTHS, best_columns, get, matrix, put
+from quarry.llm.vectorspace import LENGTHS, above, best_columns, get, matrix, put
 from quarry.session import scratch
 
 SCHEMA = "id long, hash string, space string, vec array<float>, source string, neighbour int"
@@ -90,6 +90,70 @@ def test_few_rows_have_few_neighbours(spark, table):
     assert neighbours(df.limit(0)).count() == 0 and neighbours(df.where("id = 1")).count() == 0
 
 
+def searched(index, k=10):
+    """(id, cosines) of every row, searched in this process."""
+    import quarry.llm.neighbours as module
+
+    files = module._Files()
+    found = [x for f in range(len(index.blocks)) for n in index.names(f) for x in module._search(index, n, files, k)]
+    who, other, cosine = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(who)
+    return who[order], other[order], cosine[order]
+
+
+@pytest.fixture(scope="module")
+def groups(spark):
+    """The index of tight and loose groups of rows, and of rows without a group."""
+    import quarry.llm.neighbours as module
+
+    rng = np.random.default_rng(12)
+    c = rng.normal(size=(60, 96))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    x = np.concatenate([np.repeat(c, 50, axis=0) + rng.normal(size=(3000, 96)) * np.repeat(np.where(np.arange(60) % 3, 0.03, 0.08), 50)[:, None], rng.normal(size=(400, 96))])
+    return module.build(spark.createDataFrame([(i, "clip", [float(v) for v in r]) for i, r in enumerate(x)], "id long, space string, vec array<float>"))["clip"]
+
+
+def test_lists_that_the_angles_rule_out_hold_no_neighbour(groups, monkeypatch):
+    import quarry.llm.neighbours as module
+
+    asked, real = [], module._needed
+    monkeypatch.setattr(module, "SURE", 2)
+    monkeypatch.setattr(module, "_needed", lambda *a: asked.append(real(*a)) or asked[-1])
+    got = searched(groups)
+    assert asked and 0 < sum(n.sum() for n in asked) < 0.8 * sum(n.size for n in asked)
+    monkeypatch.setattr(module, "_needed", lambda *a: np.ones_like(real(*a)))
+    whole = searched(groups)
+    assert (got[0] == whole[0]).all() and (got[2] >= whole[2] - 1e-6).mean() > 0.9999
+
+
+def test_a_grown_room_takes_no_smaller_blocks(groups, monkeypatch):
+    """Rows of lists are decoded once for a block of the usual size, however many the room holds."""
+    import quarry.llm.neighbours as module
+
+    decoded = []
+    real = module.Space.distances
+    monkeypatch.setattr(module, "GROWS", groups.rows.sum() / 10_000)
+    monkeypatch.setattr(module.Space, "distances", lambda self, q, codes, length, at: decoded.append(len(at)) or real(self, q, codes, length, at))
+    assert groups.room == 100 * module.ROWS
+    got = searched(groups)
+    blocks = sum(-(-3400 // s) for s in (module.BLOCK, module.SPARSE_BLOCK))
+    assert sum(decoded) <= 3400 * (blocks + 2 * len(groups.blocks)) and max(decoded) <= module.ROWS
+    monkeypatch.setattr(module, "ROWS", 300)  # the same in many tiles
+    tiled = searched(groups)
+    assert max(decoded[-50:]) <= 300 and (tiled[2] == got[2]).mean() > 0.999
+
+
+def test_values_above_are_all_values_above():
+    rng = np.random.default_rng(6)
+    for n in (1, 15, 16, 333, 4000):
+        x = rng.normal(size=(7, n)).astype(np.float32)
+        least = np.array([-9, 9, 0, 1, 2, 2.5, 3], np.float32)
+        columns, values = above(x, least)
+        for r in range(7):
+            assert sorted(columns[r][columns[r] >= 0].tolist()) == np.flatnonzero(x[r] > least[r]).tolist()
+            assert (values[r][columns[r] >= 0] == x[r][columns[r][columns[r] >= 0]]).all() and (values[r][columns[r] < 0] == -np.inf).all()
+
+
 def test_tables_and_products_are_the_same_distance(table):
     df, rows = table
     index = fit(df, "clip", 600, "/nowhere")
